@@ -11,6 +11,8 @@ BLANK = r"\s\x1c-\x1f\x85\p{Z}"
 DIGIT = r"\p{Nd}"
 EDGE = rf"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
 
+ANY = r"[\s\S]"
+
 _CLASSES = {"w": WORD, "s": BLANK, "d": DIGIT}
 
 
@@ -21,6 +23,10 @@ def spell(pattern: str, flags: str = "") -> str:
     i = 0
     while i < len(pattern):
         char = pattern[i]
+        if pattern.startswith(ANY, i):
+            out.append("(?s:.)")
+            i += len(ANY)
+            continue
         if char == "\\":
             code = pattern[i + 1]
             if code in _CLASSES:

@@ -44,22 +44,18 @@ def in_version(table: DataFrame, version: str) -> DataFrame:
 
 
 def type_fields(fields: DataFrame) -> DataFrame:
-    """Field names of every type, as a sorted list."""
-    return fields.groupBy("schema", "version", "type_name").agg(
-        F.sort_array(F.collect_set("field_name")).alias("field_names")
-    )
+    """Field names of every type, one row each; a type without fields has none."""
+    return fields.select("schema", "version", "type_name", "field_name").distinct()
 
 
-def status_map(fields: DataFrame) -> DataFrame:
-    """Per type a map from field name to ``(exists, is_deprecated, reason)``."""
-    entry = F.struct(
+def field_status(fields: DataFrame) -> DataFrame:
+    """The status ``(exists, is_deprecated, reason)`` of every field, keyed by type and name."""
+    status = F.struct(
         F.lit(True).alias("exists"),
         F.coalesce("is_deprecated", F.lit(False)).alias("is_deprecated"),
         F.col("deprecation_reason").alias("reason"),
     )
-    return fields.groupBy("schema", "version", "type_name").agg(
-        F.map_from_entries(F.collect_set(F.struct("field_name", entry.alias("status")))).alias("status")
-    )
+    return fields.select("schema", "version", "type_name", "field_name", status.alias("status"))
 
 
 def deprecated_fields(fields: DataFrame) -> DataFrame:

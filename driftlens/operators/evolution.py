@@ -123,11 +123,14 @@ def field_counts(fields: DataFrame, old: str, new: str) -> DataFrame:
     return counted.withColumn("difference", F.format_string("%+d", F.col("new_fields") - F.col("old_fields")))
 
 
-def detail(types: DataFrame, fields: DataFrame, old: str, new: str) -> DataFrame:
-    """Per schema, change and type the sorted field names, joined with commas; null for changes of types."""
+def type_change_counts(types: DataFrame, fields: DataFrame, old: str, new: str) -> DataFrame:
+    """Number of changed fields per schema, change and type; null for changes of types themselves.
+
+    The names stay rows of ``changes``: a root type has as many fields as the schema has entry points, so they are
+    never gathered into one list.
+    """
     return changes(types, fields, old, new).groupBy("schema", "change", "type_name").agg(
-        F.nullif(F.array_join(F.sort_array(F.collect_set("field_name")), ","), F.lit("")).alias("field_names"),
-        F.count("field_name").alias("n_fields"),
+        F.count("field_name").alias("n_fields")
     )
 
 

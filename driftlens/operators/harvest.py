@@ -25,8 +25,7 @@ from driftlens.operators.facts import python_facts
 from driftlens.operators.locate import assignment_end_line, assignment_line
 from driftlens.operators.tokens import definitions, error_position
 
-# The patterns of the harvest strategies. Each pattern's head ends where the body begins.
-CALL_HEAD = r"gql\s*\(\s*(?:['\"]{1,3})"
+# The patterns of the harvest strategies.
 GQL_ASSIGNED = (r"^\s*\w+\s*=\s*gql\s*\(\s*(['\"]{1,3})([\s\S]*?)(\1)\s*\)", "m", 2)
 GQL_CALLED = (r"gql\s*\(\s*(['\"]{1,3})([\s\S]*?)(\1)\s*\)", "", 2)
 NAMED_LIKE_OPERATION = (r"^\s*(query|mutation|subscription)\s*=\s*(['\"]{1,3})([\s\S]*?)(\2)", "im", 3)
@@ -36,6 +35,7 @@ DYNAMIC = (
     r"gql\s*\(\s*(\w+)\[\s*['\"]query['\"]\s*\]\s*\)",
     r"gql\s*\(\s*(\w+)\s*\)",
 )
+TAIL = r"['\"]{1,3}\s*+\)?\s*+\z"
 OPERATION_NAMES = ("query", "mutation", "subscription")
 RETURN_PREFIX = 7  # len("return ")
 
@@ -58,12 +58,25 @@ def _quoted(source: Column, strategy: int, pattern: str, flags: str, group: int)
     """Bodies between quotes, found by pattern, with the lines of their first and last character."""
 
     def place(hit: Column) -> Column:
-        body = F.regexp_extract(hit["match"], spell(pattern, flags), group)
-        # What precedes the body: the pattern's head, found by cutting the body and its closing quotes off the end.
-        tail = F.regexp_extract(hit["match"], spell(r"['\"]{1,3}\s*\)?\s*\z"), 0)
-        head = F.substring(hit["match"], F.lit(1), F.length(hit["match"]) - F.length(body) - F.length(tail))
-        first = hit["lines"] + 1 + newlines(head)
-        return _candidate(strategy, body, first, first + newlines(body), "offset")
+        match = hit["match"]
+        body = F.regexp_extract(match, spell(pattern, flags), group)
+        tail = F.regexp_extract(match, TAIL, 0)
+        # What precedes the body is what is left of the match without the body and the closing quotes.
+        head = bind(
+            F.struct(body.alias("body"), F.length(tail).alias("tail")),
+            lambda p: F.struct(
+                p["body"].alias("body"),
+                newlines(
+                    F.substring(match, F.lit(1), F.length(match) - F.length(p["body"]) - p["tail"])
+                ).alias("lines"),
+            ),
+        )
+
+        def candidate(p: Column) -> Column:
+            first = hit["lines"] + 1 + p["lines"]
+            return _candidate(strategy, p["body"], first, first + newlines(p["body"]), "offset")
+
+        return bind(head, candidate)
 
     return F.transform(find_all(source, pattern, flags), place)
 
@@ -114,52 +127,61 @@ def without_slots(parts: Column) -> Column:
     return F.when(F.size(texts) > 0, F.array_join(F.transform(texts, lambda p: p["text"]), ""))
 
 
-def _from_strings(facts: Column, contexts: Iterable[str], make, wanted=None) -> Column:
-    """Candidates of the strings met in the given contexts; ``wanted`` sorts out strings before ``make`` looks."""
+def _from_strings(facts: Column, contexts: Iterable[str], value, wanted, make) -> Column:
+    """Candidates of the strings met in the given contexts.
+
+    ``value(item)`` is the string an item stands for, ``wanted(item, value)`` sorts out, ``make(item, value)`` gives
+    the candidate.
+    """
+    chosen = F.filter(facts["strings"], lambda s: s["ctx"].isin(*contexts))
+    valued = F.transform(chosen, lambda s: F.struct(s.alias("item"), value(s).alias("value")))
+    kept = F.filter(valued, lambda v: v["value"].isNotNull() & wanted(v["item"], v["value"]))
+    return F.transform(kept, lambda v: make(v["item"], v["value"]))
 
-    def test(item: Column) -> Column:
-        known = item["ctx"].isin(*contexts)
-        return known if wanted is None else known & F.coalesce(wanted(item), F.lit(False))
 
-    chosen = F.filter(facts["strings"], test)
-    return F.filter(F.transform(chosen, make), lambda c: c["body"].isNotNull())
+def _value(facts: Column):
+    return lambda item: resolved(item["parts"], facts["bindings"])
 
 
 def assigned_strings(facts: Column) -> Column:
     """Strategy 4a: string assignments with balanced braces."""
-
-    def make(item: Column) -> Column:
-        value = resolved(item["parts"], facts["bindings"])
-        return _candidate(4, F.when(balanced_braces(value), value), item["line"], item["last"], "node")
-
-    return _from_strings(facts, ["assign"], make)
+    return _from_strings(
+        facts,
+        ["assign"],
+        _value(facts),
+        lambda item, value: balanced_braces(value),
+        lambda item, value: _candidate(4, value, item["line"], item["last"], "node"),
+    )
 
 
 def annotated_strings(facts: Column, lines: Column) -> Column:
     """Strategy 4b: annotated assignments that are named or start like an operation, with balanced braces."""
 
-    def wanted(item: Column) -> Column:
-        value = resolved(item["parts"], facts["bindings"])
-        looks = F.lower(item["name"]).isin(*OPERATION_NAMES) | starts_like_operation(value)
-        return looks & balanced_braces(value)
-
-    def make(item: Column) -> Column:
-        value = resolved(item["parts"], facts["bindings"])
-        first = assignment_line(lines, item["name"], item["line"])
-        return _candidate(4, value, first, assignment_end_line(lines, first), "node")
+    def make(item: Column, value: Column) -> Column:
+        return bind(
+            assignment_line(lines, item["name"], item["line"]),
+            lambda first: _candidate(4, value, first, assignment_end_line(lines, first), "node"),
+        )
 
-    return _from_strings(facts, ["annotated"], make, wanted)
+    return _from_strings(
+        facts,
+        ["annotated"],
+        _value(facts),
+        lambda item, value: balanced_braces(value)
+        & (F.lower(item["name"]).isin(*OPERATION_NAMES) | starts_like_operation(value)),
+        make,
+    )
 
 
 def returned_strings(facts: Column) -> Column:
     """Strategy 4c: returned strings that start like an operation, and ``return gql(...)``."""
-
-    def make(item: Column) -> Column:
-        value = resolved(item["parts"], facts["bindings"])
-        wanted = (item["ctx"] == "return_gql") | starts_like_operation(value)
-        return _candidate(4, F.when(wanted, value), item["first"], item["last"], "node")
-
-    return _from_strings(facts, ["return", "return_gql"], make)
+    return _from_strings(
+        facts,
+        ["return", "return_gql"],
+        _value(facts),
+        lambda item, value: (item["ctx"] == "return_gql") | starts_like_operation(value),
+        lambda item, value: _candidate(4, value, item["first"], item["last"], "node"),
+    )
 
 
 def returned_fallback(facts: Column, source: Column) -> Column:
@@ -194,24 +216,28 @@ def dynamic_queries(facts: Column, source: Column) -> Column:
 
 def class_strings(facts: Column) -> Column:
     """Strategy 6, before it is known which classes are models: class fields whose value starts like an operation."""
-
-    def make(item: Column) -> Column:
-        value = resolved(item["parts"], facts["bindings"])
-        return _candidate(
-            6, F.when(starts_like_operation(value), value), item["first"], item["last"], "node", item["owner"]
-        )
-
-    return _from_strings(facts, ["field"], make)
+    return _from_strings(
+        facts,
+        ["field"],
+        _value(facts),
+        lambda item, value: starts_like_operation(value),
+        lambda item, value: _candidate(6, value, item["first"], item["last"], "node", item["owner"]),
+    )
 
 
 def concatenated_strings(facts: Column) -> Column:
     """Strategy 7: concatenated literals and interpolated strings anywhere that start like an operation."""
 
-    def make(item: Column) -> Column:
-        value = F.when(item["ctx"] == "concat", literal_only(item["parts"])).otherwise(without_slots(item["parts"]))
-        return _candidate(7, F.when(starts_like_operation(value), value), item["line"], item["last"], "node")
+    def value(item: Column) -> Column:
+        return F.when(item["ctx"] == "concat", literal_only(item["parts"])).otherwise(without_slots(item["parts"]))
 
-    return _from_strings(facts, ["concat", "fstring"], make)
+    return _from_strings(
+        facts,
+        ["concat", "fstring"],
+        value,
+        lambda item, value: starts_like_operation(value),
+        lambda item, value: _candidate(7, value, item["line"], item["last"], "node"),
+    )
 
 
 def read_python(files: DataFrame) -> DataFrame:

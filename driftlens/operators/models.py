@@ -35,7 +35,8 @@ def aliases(python: DataFrame) -> DataFrame:
         ]
     )
     return (
-        python.select("file", F.explode(roles).alias("r"))
+        python.filter(F.col("error").isNull())
+        .select("file", F.explode(roles).alias("r"))
         .select("file", F.col("r.role").alias("role"), F.explode("r.names").alias("alias"))
         .distinct()
     )

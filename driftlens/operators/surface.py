@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlens.operators.catalog import in_version
-from driftlens.operators.tokens import NAME, tokenize
-from driftlens.operators.usage import BLOCK_KEY, CLIENTS, UNKNOWN, block_selections
-from driftlens.session import stage
+from driftlens.operators.usage import BLOCK_KEY, CLIENTS, UNKNOWN
 
 # Error kinds in the order in which they are tried. Each row: the kind, words that must all stand in
 # the lower-case message, and words of which one must.
@@ -161,39 +159,6 @@ def missing_fragment_fields(found: DataFrame, types: DataFrame, fields: DataFram
     )
 
 
-def selection_arguments(blocks: DataFrame) -> DataFrame:
-    """Arguments given to fields: ``BLOCK_KEY, node, name, arg, line, col``; ``node`` is the field's selection."""
-    keyed = blocks.select(F.struct(*BLOCK_KEY).alias("_key"), "raw")
-    tokens = tokenize(keyed, "_key", "raw").drop("raw")
-    order = Window.partitionBy("_key").orderBy("n")
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tok, prev = F.col("tok"), F.coalesce(F.lag("tok").over(order), F.lit(""))
-    tokens = tokens.select("*", prev.alias("prev"))
-    name_outside = tok.rlike(NAME) & (F.col("paren") == 0)
-    owner = F.when(
-        name_outside, F.struct("n", "tok", ((F.col("brace") >= 1) & (F.col("prev") != "@")).alias("is_field"), "brace")
-    )
-    tokens = tokens.withColumn("owner", F.last(owner, ignorenulls=True).over(upto))
-    o = F.col("owner")
-    given = (
-        tok.rlike(NAME)
-        & (F.col("paren") == 1)
-        & (F.col("square") == 0)
-        & (F.col("next_tok") == ":")
-        & (F.col("prev") != "$")
-        & (F.col("brace") == o["brace"])
-        & o["is_field"]
-    )
-    return tokens.filter(given).select(
-        *[F.col(f"_key.{k}").alias(k) for k in BLOCK_KEY],
-        o["n"].alias("node"),
-        o["tok"].alias("name"),
-        tok.alias("arg"),
-        "line",
-        "col",
-    )
-
-
 def argument_issues(uses: DataFrame, given: DataFrame, args: DataFrame, version: str) -> DataFrame:
     """Unknown arguments, missing required arguments and unknown fields, as messages with their place.
 
@@ -214,7 +179,7 @@ def argument_issues(uses: DataFrame, given: DataFrame, args: DataFrame, version:
         F.concat(F.lit("Cannot query field '"), "name", F.lit("' on type '"), "type_name", F.lit("'.")).alias("message"),
     )
     fields = uses.filter("known").select(*BLOCK_KEY, "node", "client", "type_name", "name", "start_line", "line", "col")
-    passed = fields.drop("line", "col").join(given.drop("name"), [*BLOCK_KEY, "node"])
+    passed = fields.drop("line", "col").join(given, [*BLOCK_KEY, "node"])
     unknown_arg = passed.join(allowed, ["client", "type_name", "name", "arg"], "left_anti").select(
         *place,
         F.concat(
@@ -245,18 +210,18 @@ def override(general: DataFrame, drift: DataFrame) -> DataFrame:
     )
 
 
-def client_selections(blocks: DataFrame) -> DataFrame:
-    """Selections of blocks with ``client``, ``roots`` as rows with the client they are checked against."""
-    rooted = blocks.withColumn(
-        "roots", F.filter("roots", lambda r: r["client"] == schema_client(F.col("client")))
-    )
-    found = block_selections(rooted)
-    return stage(
-        found.select(
-            *BLOCK_KEY, "node", "depth", "kind", "name", "type_condition", "line", "col", "path", "start_line",
-            F.inline_outer("roots"),
-        ).withColumn("client", F.coalesce("client", F.lit(CLIENTS[0]))),
-        "surface",
-    )
+def client_selections(found: DataFrame) -> DataFrame:
+    """Selections of rooted blocks as rows with the client and root they are checked against.
+
+    A block of an unknown client is checked against the first one; a block without a root there has none.
+    """
+    mine = F.filter("roots", lambda r: r["client"] == schema_client(F.col("block_client")))
+    return found.select(
+        *BLOCK_KEY, "node", "depth", "kind", "name", "type_condition", "line", "col", "path", "start_line",
+        F.inline_outer(mine),
+    ).withColumn("client", F.coalesce("client", F.lit(CLIENTS[0])))
 
 
+def given_arguments(found: DataFrame) -> DataFrame:
+    """Arguments given to fields; ``node`` is the field's selection."""
+    return found.filter("kind = 'argument'").select(*BLOCK_KEY, "node", F.col("name").alias("arg"), "line", "col")

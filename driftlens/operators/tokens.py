@@ -35,18 +35,29 @@ BAD_PAIR = r"^(?:\( \)|\{ \}|: [)}\]:!=|&]|@ [^_A-Za-z]|\$ [^_A-Za-z]|\.\.\. [^_
 BAD_TOKEN = r"""^(?:[^_A-Za-z0-9!$&()\[\]{}:=@|".\-]|"[^"]*|\.|-)$"""
 
 
-def tokenize(texts: DataFrame, key: str, text: str) -> DataFrame:
+def tokenize(texts: DataFrame, key: str, text: str, head: list[str] = ()) -> DataFrame:
     """One row per token of ``text``: its place, and the depth of braces and parentheses after it.
 
-    ``key`` must be unique per row; the other columns are carried along.
+    ``key`` must be unique per row. The ``head`` columns come along on the first token's row only, as one struct, so
+    that a long text is not copied to each of its tokens; a text without tokens yields one row without ``tok``.
     """
+    columns = [F.col(key), F.struct(*head).alias("head")] if head else [F.col(key)]
     tokens = (
         texts.repartition(key)
-        .select("*", F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1)).alias("_gaps"),
-                F.regexp_extract_all(text, F.lit(TOKEN), F.lit(2)).alias("_toks"))
-        .select("*", F.posexplode(F.arrays_zip(F.col("_gaps").alias("gap"), F.col("_toks").alias("tok"))).alias("n", "_t"))
-        .select(*texts.columns, "n", F.col("_t.gap").alias("gap"), F.col("_t.tok").alias("tok"))
+        .select(
+            *columns,
+            F.posexplode_outer(
+                F.arrays_zip(
+                    F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1)).alias("gap"),
+                    F.regexp_extract_all(text, F.lit(TOKEN), F.lit(2)).alias("tok"),
+                )
+            ).alias("n", "_t"),
+        )
+        .withColumn("n", F.coalesce("n", F.lit(0)))
     )
+    if head:
+        tokens = tokens.withColumn("head", F.when(F.col("n") == 0, F.col("head")))
+    tokens = tokens.select(key, *(["head"] if head else []), "n", F.col("_t.gap").alias("gap"), F.col("_t.tok").alias("tok"))
     order = Window.partitionBy(key).orderBy("n")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     gap, tok = F.col("gap"), F.col("tok")
@@ -95,17 +106,26 @@ def definitions(candidates: DataFrame) -> DataFrame:
     lines), ``document`` for a text that is its own file. ``error_line`` is where a text that does not parse is
     reported.
     """
-    key = ["file", "strategy", "seq"]
-    texts = candidates.withColumn("text", cleaned(F.col("body"))).withColumn("_key", F.struct(*key))
-    carried = ["file", "strategy", "seq", "_key", "text"]
-    tokens = tokenize(texts.select(*carried), "_key", "text")
+    texts = candidates.select(
+        F.struct("file", "strategy", "seq").alias("_key"),
+        cleaned(F.col("body")).alias("text"),
+        "body",
+        "start_line",
+        "mode",
+        "error_line",
+    )
+    head = ["text", "body", "start_line", "mode", "error_line"]
+    tokens = tokenize(texts, "_key", "text", head)
     order = Window.partitionBy("_key").orderBy("n")
     top = (F.col("brace") == 0) & (F.col("paren") == 0)
     closes = (F.col("tok") == "}") & top
-    tokens = tokens.withColumn(
-        "def_no",
-        F.coalesce(F.sum(closes.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-    ).withColumn("next2", F.lead("tok", 2).over(order))
+    tokens = tokens.select(
+        "*",
+        F.coalesce(F.sum(closes.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(
+            "def_no"
+        ),
+        F.lead("tok", 2).over(order).alias("next2"),
+    )
     tok, pair = F.col("tok"), F.concat_ws(" ", "tok", "next_tok")
     # Depth 0 before the token or after it: what is left of the text when bracketed parts are folded.
     opens_top = ((tok == "{") & (F.col("brace") == 1) & (F.col("paren") == 0)) | (
@@ -115,50 +135,47 @@ def definitions(candidates: DataFrame) -> DataFrame:
     # `{}` is a legal empty value inside parentheses, and an empty selection elsewhere.
     bad = tok.rlike(BAD_TOKEN) | (pair.rlike(BAD_PAIR) & ~((tok == "{") & (F.col("paren") > 0)))
     broken = bad | (F.col("brace") < 0) | (F.col("paren") < 0) | (F.col("square") < 0)
-
-    at_head = (F.col("brace") == 0) & (F.col("paren") == 0)
-    names = F.array_sort(F.collect_list(F.when(at_head & tok.rlike(NAME), F.struct("n", "tok"))))
-    # A variable is declared by `$name` directly inside the header's parentheses.
+    # A variable is declared by `$name:` directly inside the header's parentheses.
     in_header = (F.col("brace") == 0) & (F.col("paren") == 1) & (F.col("square") == 0)
-    variables = F.array_sort(
-        F.collect_list(
-            F.when(in_header & (tok == "$") & (F.col("next2") == ":"), F.struct("n", F.col("next_tok").alias("tok")))
-        )
-    )
-    per_def = tokens.groupBy("_key", "def_no").agg(
+    declares = in_header & (tok == "$") & F.coalesce(F.col("next2") == ":", F.lit(False))
+    # Only these tokens say something about definitions; the rest of a selection does not go any further.
+    kept = tokens.select(
+        "_key", "def_no", "n", "tok", "next_tok", "offset", "end", "brace", "paren", "square", "head",
+        outer.alias("outer"), (top & tok.rlike(NAME)).alias("named"), declares.alias("declares"),
+        F.coalesce(broken, F.lit(True)).alias("broken"),
+    ).filter("outer OR declares OR broken OR n = 0 OR next_tok IS NULL")
+
+    def in_order(wanted: str, value: str) -> Column:
+        listed = F.array_sort(F.collect_list(F.when(F.col(wanted), F.struct("n", F.col(value).alias("tok")))))
+        return F.transform(listed, lambda x: x["tok"])
+
+    per_def = kept.groupBy("_key", "def_no").agg(
         F.min("offset").alias("def_start"),
         F.max("end").cast("int").alias("def_end"),
-        F.min(F.struct("n", "tok"))["tok"].alias("first"),
+        F.min_by("tok", "n").alias("first"),
         F.max(F.struct("n", "brace", "paren", "square")).alias("last"),
-        F.max(broken.cast("int")).alias("broken"),
-        F.transform(names, lambda x: x["tok"]).alias("names"),
-        F.transform(variables, lambda x: x["tok"]).alias("variables"),
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.when(outer, F.struct("n", "tok")))), lambda x: x["tok"]), " "
-        ).alias("shape"),
+        F.bool_or("broken").alias("broken"),
+        in_order("named", "tok").alias("names"),
+        in_order("declares", "next_tok").alias("variables"),
+        F.array_join(in_order("outer", "tok"), " ").alias("shape"),
+        F.max("head").alias("head"),
     )
     last = F.col("last")
-    per_def = per_def.withColumn(
-        "bad_def",
-        (F.col("broken") == 1)
+    bad_def = (
+        F.col("broken")
         | (last["brace"] != 0)
         | (last["paren"] != 0)
         | (last["square"] != 0)
-        | ~F.col("shape").rlike(DOCUMENT),
+        | ~F.col("shape").rlike(DOCUMENT)
     )
+    # A text is as good as its worst definition; its own columns stand on its first one.
     all_defs = Window.partitionBy("_key")
-    per_def = per_def.withColumn("bad_text", F.max(F.col("bad_def")).over(all_defs)).select(
-        "_key",
-        "def_no", "def_start", "def_end", "first", "names", "variables", "bad_text",
-    )
-    # Texts without any token have no row above: they fail as empty documents.
-    carried_back = candidates.select(*key, "body", "start_line", "mode", "error_line").withColumn("_key", F.struct(*key))
-    joined = carried_back.join(per_def, "_key", "left")
-    # After the join the text is cut again from the body; the heavy column crosses the shuffle once.
-    joined = joined.withColumn("text", cleaned(F.col("body"))).withColumn(
-        "bad_text", F.coalesce(F.col("bad_text"), F.lit(True))
+    whole = per_def.select(
+        "_key", "def_no", "def_start", "def_end", "first", "names", "variables",
+        F.bool_or(F.coalesce(bad_def, F.lit(True))).over(all_defs).alias("bad_text"),
+        F.max("head").over(all_defs).alias("head"),
     )
-    return _blocks(joined)
+    return _blocks(whole.select("_key.*", "def_no", "def_start", "def_end", "first", "names", "variables", "bad_text", "head.*"))
 
 
 def _blocks(joined: DataFrame) -> DataFrame:
@@ -223,17 +240,17 @@ def error_position(lines: Column, start: Column, body: Column) -> Column:
 def selections(blocks: DataFrame, key: list[str]) -> DataFrame:
     """Selection rows of operation and fragment texts.
 
-    ``blocks`` holds the ``key`` columns (unique per row) and ``raw``. Each row is a field, an inline fragment or a
-    spread with its depth, its place in the text (lines count from 1) and ``path``: the fields and type conditions
+    ``blocks`` holds the ``key`` columns (unique per row) and ``raw``. Each row is a field, an inline fragment, a
+    spread, or an argument given to a field (with the field's ``node``), with its depth, its place in the text (lines count from 1) and ``path``: the fields and type conditions
     that lead to it, outermost first, without itself.
     """
     keyed = blocks.select(F.struct(*key).alias("_key"), "raw")
-    tokens = tokenize(keyed, "_key", "raw").drop("raw")
+    tokens = tokenize(keyed, "_key", "raw")
     order = Window.partitionBy("_key").orderBy("n")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     tok = F.col("tok")
     tokens = tokens.select(
-        "_key", "n", "tok", "brace", "paren", "line", "col", "next_tok",
+        "_key", "n", "tok", "brace", "paren", "square", "line", "col", "next_tok",
         F.lag("tok").over(order).alias("prev"),
         F.lag("tok", 2).over(order).alias("prev2"),
         F.lead("tok", 2).over(order).alias("next2"),
@@ -252,15 +269,25 @@ def selections(blocks: DataFrame, key: list[str]) -> DataFrame:
         & ~((prev == "on") & (prev2 == "..."))
         & ~F.coalesce(F.col("next_tok") == ":", F.lit(False))
     )
-    kind = F.when(spread, "spread").when(inline, "inline").when(field, "field")
+    # An argument is a name with a colon directly inside the parentheses after a field's name.
+    argument = (
+        is_name & (F.col("paren") == 1) & (F.col("square") == 0) & (F.col("next_tok") == ":") & (prev != "$")
+    )
+    argument = F.coalesce(argument, F.lit(False))
+    kind = F.when(spread, "spread").when(inline, "inline").when(field, "field").when(argument, "argument")
     place = F.when(field & aliased, F.col("place2")).otherwise(F.struct("line", "col"))
+    outside = F.when(
+        is_name & (F.col("paren") == 0),
+        F.struct("n", "brace", ((F.col("brace") >= 1) & (prev != "@")).alias("is_field")),
+    )
     tokens = tokens.select(
         "_key", "n", "tok", "brace",
         kind.alias("kind"),
-        F.when(field | spread, tok).alias("name"),
+        F.when(field | spread | argument, tok).alias("name"),
         F.when(field & aliased, prev2).alias("alias"),
         F.when(inline & (F.col("next_tok") == "on"), F.col("next2")).alias("type_condition"),
         place.alias("place"),
+        outside.alias("_outside"),
     )
     # The selection a brace belongs to, and the open braces at each depth.
     step = F.when(
@@ -268,14 +295,25 @@ def selections(blocks: DataFrame, key: list[str]) -> DataFrame:
         F.struct("kind", F.coalesce("name", "type_condition").alias("name")),
     )
     opened = F.when(tok == "{", F.last(step, ignorenulls=True).over(upto))
-    tokens = tokens.withColumn("_owner", opened).filter(F.col("kind").isNotNull() | F.col("_owner").isNotNull() | (tok == "{"))
+    given_to = F.last("_outside", ignorenulls=True).over(upto)
+    tokens = tokens.select("*", opened.alias("_owner"), given_to.alias("_to")).filter(
+        F.col("kind").isNotNull() | (tok == "{")
+    )
+    # Arguments of directives, of a header, and names inside object values do not belong to a field.
+    to = F.col("_to")
+    of_field = to["is_field"] & (to["brace"] == F.col("brace"))
+    is_argument = F.coalesce(F.col("kind") == "argument", F.lit(False))
+    tokens = tokens.filter(~is_argument | of_field)
     owners = [
         F.last(F.when((tok == "{") & (F.col("brace") == level), F.col("_owner")), ignorenulls=True).over(upto)
         for level in range(2, MAX_DEPTH + 1)
     ]
     path = F.slice(F.array(*owners), F.lit(1), F.greatest(F.col("brace") - 1, F.lit(0)).cast("int"))
     return (
-        tokens.select("_key", "n", "brace", "kind", "name", "alias", "type_condition", "place", path.alias("path"))
+        tokens.select(
+            "_key", F.when(is_argument, to["n"]).otherwise(F.col("n")).alias("n"), "brace", "kind", "name", "alias",
+            "type_condition", "place", path.alias("path"),
+        )
         .filter(F.col("kind").isNotNull() & (F.col("brace") <= MAX_DEPTH))
         .select(
             *[F.col(f"_key.{k}").alias(k) for k in key],

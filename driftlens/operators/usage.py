@@ -129,17 +129,17 @@ def block_selections(blocks: DataFrame) -> DataFrame:
     good = blocks.filter(F.col("error").isNull())
     found = selections(good, BLOCK_KEY).withColumn("path", path_text(F.col("path")))
     about = good.select(*BLOCK_KEY, "type", F.col("name").alias("block_name"),
-                        F.col("type_condition").alias("block_condition"), "start_line", "roots")
+                        F.col("type_condition").alias("block_condition"), F.col("client").alias("block_client"),
+                        "start_line", "roots")
     return found.join(about, BLOCK_KEY)
 
 
 def expand_spreads(found: DataFrame) -> DataFrame:
     """Field rows of blocks, with the fields of spread fragments under the path of the spread.
 
-    A fragment is looked up by name in the whole file; the last definition counts. Expansion goes round by round
+    ``found`` should be a staged table: it is read several times. A fragment is looked up by name in the whole file; the last definition counts. Expansion goes round by round
     until no spread is left or the depth limit is reached, so fragments that spread each other end as well.
     """
-    found = stage(found, "selections")
     keep = ["file", "start_line", "roots", "depth", "path", "name", "line", "col"]
     fields = found.filter("kind = 'field'").select(*keep)
     frontier = found.filter("kind = 'spread'").select(*keep[:-2]).distinct()
@@ -306,11 +306,24 @@ def usage_drift(
     ``blocks`` are deduplicated operation blocks. Result: ``file, line, column, level, kind, type_name, field_name,
     reason, client, message``.
     """
+    rooted = stage(rooted_blocks(blocks, types, fields, old, named_roots), "blocks")
+    found = stage(block_selections(rooted), "selections")
+    return drift_of(found, types, fields, old, new, strict_added)
+
+
+def rooted_blocks(
+    blocks: DataFrame, types: DataFrame, fields: DataFrame, old: str, named_roots: DataFrame | None = None
+) -> DataFrame:
+    """Blocks with their client and the types their selections start from."""
+    return with_roots(with_client(blocks, types, fields, old, named_roots), types, old, named_roots)
+
+
+def drift_of(
+    found: DataFrame, types: DataFrame, fields: DataFrame, old: str, new: str, strict_added: bool = False
+) -> DataFrame:
+    """Drift issues of ``found``, the staged selections of blocks."""
     lookup = stage(drift_lookup(types, fields, old, new, strict_added), "lookup")
-    rooted = stage(
-        with_roots(with_client(blocks, types, fields, old, named_roots), types, old, named_roots), "blocks"
-    )
-    uses = uses_of(expand_spreads(block_selections(rooted)))
+    uses = uses_of(expand_spreads(found))
     flagged = path_status(resolve_paths(uses, lookup))
     issues = uses.join(flagged, ["client", "root", "path", "name"]).select(
         "file",

@@ -113,13 +113,12 @@ def surface_check(
     defined: DataFrame | None = None,
 ) -> DataFrame:
     """Surface checks against the old schema, with drift issues, pattern rules and model rules."""
-    drift = stage(usage.usage_drift(blocks, types, fields, old, new), "drift")
-    rooted = stage(
-        usage.with_roots(usage.with_client(blocks, types, fields, old), types, old), "rooted"
-    )
+    rooted = stage(usage.rooted_blocks(blocks, types, fields, old), "rooted")
+    every = stage(usage.block_selections(rooted), "selections")
+    drift = stage(usage.drift_of(every, types, fields, old, new), "drift")
+    found = surface.client_selections(every)
     good = rooted.filter(F.col("error").isNull())
-    found = surface.client_selections(rooted)
-    checked = argument_check(good, found, types, fields, args, old)
+    checked = argument_check(found, types, fields, args, old)
     parts = [
         surface.classified(checked).select(*ISSUE),
         surface.missing_fragment_types(found, types, old),
@@ -134,9 +133,9 @@ def surface_check(
 
 
 def argument_check(
-    good: DataFrame, found: DataFrame, types: DataFrame, fields: DataFrame, args: DataFrame, version: str
+    found: DataFrame, types: DataFrame, fields: DataFrame, args: DataFrame, version: str
 ) -> DataFrame:
-    """Unknown fields, unknown arguments and missing arguments of the selections ``found`` in ``good`` blocks."""
+    """Unknown fields, unknown arguments and missing arguments of the selections ``found``."""
     lookup = stage(drift_lookup(types, fields, version, version), "lookup")
     uses = found.filter("kind = 'field' AND root IS NOT NULL")
     resolved = usage.resolve_paths(uses, lookup).select(
@@ -150,7 +149,7 @@ def argument_check(
         "is_object", F.coalesce("is_object", F.lit(False))
     )
     placed = uses.join(resolved, ["client", "root", "path", "name"])
-    return surface.argument_issues(placed, surface.selection_arguments(good), args, version)
+    return surface.argument_issues(placed, surface.given_arguments(found), args, version)
 
 
 def validation(parts: list[DataFrame]) -> DataFrame:

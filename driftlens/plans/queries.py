@@ -389,19 +389,20 @@ def h25(spark, folder):
 
 def _rooted(spark: SparkSession, folder: str) -> DataFrame:
     def make() -> DataFrame:
-        types, fields = schema(spark, folder)
-        blocks = usage.with_client(order_blocks(spark, folder), types, fields, OLD)
-        return stage(usage.with_roots(blocks, types, OLD), "rooted")
+        return stage(usage.rooted_blocks(order_blocks(spark, folder), *schema(spark, folder), OLD), "rooted")
 
     return _once(spark, folder, "rooted", make)
 
 
+def _selections(spark: SparkSession, folder: str) -> DataFrame:
+    return _once(
+        spark, folder, "selections", lambda: stage(usage.block_selections(_rooted(spark, folder)), "selections")
+    )
+
+
 def _uses(spark: SparkSession, folder: str) -> DataFrame:
     return _once(
-        spark,
-        folder,
-        "uses",
-        lambda: stage(usage.uses_of(usage.expand_spreads(usage.block_selections(_rooted(spark, folder)))), "uses"),
+        spark, folder, "uses", lambda: stage(usage.uses_of(usage.expand_spreads(_selections(spark, folder))), "uses")
     )
 
 
@@ -483,7 +484,7 @@ def j9(spark, folder):
 
 
 def _client_selections(spark, folder):
-    return _once(spark, folder, "client_selections", lambda: surface.client_selections(_rooted(spark, folder)))
+    return surface.client_selections(_selections(spark, folder))
 
 
 @query("j10_fragment_types")
@@ -516,16 +517,16 @@ def j12(spark, folder):
 @query("j15_arguments")
 def j15(spark, folder):
     types, fields = schema(spark, folder)
-    found = _client_selections(spark, folder)
-    good = _rooted(spark, folder).filter("error IS NULL")
-    checked = jobs.argument_check(good, found, types, fields, derived.schema_args(spark, folder), OLD)
+    checked = jobs.argument_check(_client_selections(spark, folder), types, fields, derived.schema_args(spark, folder), OLD)
     return longs(surface.classified(checked).select("file", "line", "column", "kind", "level", "message"))
 
 
 @query("j15_given_arguments")
 def j15_given(spark, folder):
     blocks = _document_blocks(spark, folder).filter("error IS NULL")
-    return longs(surface.selection_arguments(blocks).select("file", "name", "arg", "line", "col"))
+    found = tokens.selections(blocks, usage.BLOCK_KEY)
+    fields = found.filter("kind = 'field'").select(*usage.BLOCK_KEY, "node", "name")
+    return longs(surface.given_arguments(found).join(fields, [*usage.BLOCK_KEY, "node"]).select("file", "name", "arg", "line", "col"))
 
 
 # ---- schema differences ----------------------------------------------------------------------------------------

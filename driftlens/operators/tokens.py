@@ -32,6 +32,9 @@ DOCUMENT = rf"^(?:(?:{OPERATION}|{FRAGMENT}|{TYPE_DEFINITION}|\{{ \}})(?: |$))+$
 # Neighbouring tokens no valid text has: empty brackets, a colon or an at sign without what must follow, a dollar
 # sign without a name.
 BAD_PAIR = r"^(?:\( \)|\{ \}|: [)}\]:!=|&]|@ [^_A-Za-z]|\$ [^_A-Za-z]|\.\.\. [^_A-Za-z@{])"
+# What may stand between fields; type definitions may hold more.
+SELECTION_TOKEN = r"^(?:[_A-Za-z].*|[{}()@:]|\.\.\.)$"
+SELECTING = ("query", "mutation", "subscription", "fragment", "{")
 BAD_TOKEN = r"""^(?:[^_A-Za-z0-9!$&()\[\]{}:=@|".\-]|"[^"]*|\.|-)$"""
 
 
@@ -134,7 +137,18 @@ def definitions(candidates: DataFrame) -> DataFrame:
     outer = top | opens_top
     # `{}` is a legal empty value inside parentheses, and an empty selection elsewhere.
     bad = tok.rlike(BAD_TOKEN) | (pair.rlike(BAD_PAIR) & ~((tok == "{") & (F.col("paren") > 0)))
-    broken = bad | (F.col("brace") < 0) | (F.col("paren") < 0) | (F.col("square") < 0)
+    # Parentheses hold arguments or variables: `name:` or `$name`.
+    next_is_name = F.coalesce(F.col("next_tok").rlike(NAME), F.lit(False))
+    bad_opening = (tok == "(") & ~(
+        F.coalesce(F.col("next_tok") == "$", F.lit(False))
+        | (next_is_name & F.coalesce(F.col("next2") == ":", F.lit(False)))
+    )
+    broken = bad | bad_opening | (F.col("brace") < 0) | (F.col("paren") < 0) | (F.col("square") < 0)
+    alien = (
+        (F.col("brace") >= 1)
+        & (F.col("paren") == 0)
+        & (~tok.rlike(SELECTION_TOKEN) | ((tok == ":") & ~next_is_name))
+    )
     # A variable is declared by `$name:` directly inside the header's parentheses.
     in_header = (F.col("brace") == 0) & (F.col("paren") == 1) & (F.col("square") == 0)
     declares = in_header & (tok == "$") & F.coalesce(F.col("next2") == ":", F.lit(False))
@@ -142,8 +156,8 @@ def definitions(candidates: DataFrame) -> DataFrame:
     kept = tokens.select(
         "_key", "def_no", "n", "tok", "next_tok", "offset", "end", "brace", "paren", "square", "head",
         outer.alias("outer"), (top & tok.rlike(NAME)).alias("named"), declares.alias("declares"),
-        F.coalesce(broken, F.lit(True)).alias("broken"),
-    ).filter("outer OR declares OR broken OR n = 0 OR next_tok IS NULL")
+        F.coalesce(broken, F.lit(True)).alias("broken"), F.coalesce(alien, F.lit(False)).alias("alien"),
+    ).filter("outer OR declares OR broken OR alien OR n = 0 OR next_tok IS NULL")
 
     def in_order(wanted: str, value: str) -> Column:
         listed = F.array_sort(F.collect_list(F.when(F.col(wanted), F.struct("n", F.col(value).alias("tok")))))
@@ -155,6 +169,7 @@ def definitions(candidates: DataFrame) -> DataFrame:
         F.min_by("tok", "n").alias("first"),
         F.max(F.struct("n", "brace", "paren", "square")).alias("last"),
         F.bool_or("broken").alias("broken"),
+        F.bool_or("alien").alias("alien"),
         in_order("named", "tok").alias("names"),
         in_order("declares", "next_tok").alias("variables"),
         F.array_join(in_order("outer", "tok"), " ").alias("shape"),
@@ -163,6 +178,7 @@ def definitions(candidates: DataFrame) -> DataFrame:
     last = F.col("last")
     bad_def = (
         F.col("broken")
+        | (F.col("alien") & F.col("first").isin(*SELECTING))
         | (last["brace"] != 0)
         | (last["paren"] != 0)
         | (last["square"] != 0)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftlens.session import stage
+
 # The categories in the order in which they are tried, with the tags each of them takes.
 CATEGORY_TAGS = {
     "DEPRECATED": ("DEPRECATED",),
@@ -110,28 +112,25 @@ def in_order(listed: DataFrame) -> DataFrame:
     return listed.orderBy("file", F.coalesce(F.col("line").try_cast("int"), F.lit(0)), "column", "issue")
 
 
-def numbered(rows: DataFrame, place: list[str], order: list[str]) -> DataFrame:
-    """1-based position within the file by ``place``, then ``order``; no window ever spans a whole file's rows.
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """1-based position of each row within its file, by ``order``; a file may hold any share of the rows.
 
-    Rows are counted per place first; the counts of the places before, and the number within the place, give the
-    position.
+    The rows are sorted into ranges of file and order, a hot file over many ranges. They are numbered inside their
+    range, and the rows the file has in the ranges before are added: one number per file and range.
     """
-    counts = rows.groupBy("file", *place).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("file").orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stage(rows.repartitionByRange(ranges, "file", *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("file", "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("file").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(
-        F.col("file").alias("_file"),
-        *[F.col(p).alias(f"_{p}") for p in place],
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+        F.col("file").alias("_file"), F.col("_range").alias("_in"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
-    inside = Window.partitionBy("file", *place).orderBy(*order)
-    on = F.col("file").eqNullSafe(F.col("_file"))
-    for p in place:
-        on = on & F.col(p).eqNullSafe(F.col(f"_{p}"))
+    inside = Window.partitionBy("file", "_range").orderBy(*order)
     return (
-        rows.withColumn("_i", F.row_number().over(inside))
-        .join(starts, on)
+        ranged.withColumn("_i", F.row_number().over(inside))
+        .join(starts, F.col("file").eqNullSafe(F.col("_file")) & (F.col("_range") == F.col("_in")))
         .withColumn("position", F.col("_i") + F.col("_before"))
-        .drop("_i", "_before", "_file", *[f"_{p}" for p in place])
+        .drop("_range", "_i", "_before", "_file", "_in")
     )
 
 

@@ -159,7 +159,7 @@ def validation(parts: list[DataFrame]) -> DataFrame:
 
 def dry_run(found: DataFrame) -> DataFrame:
     """Numbered suggestions per file, in line order."""
-    return issues.numbered(issues.suggestions(found), ["line", "column"], ["issue", "fix"])
+    return issues.numbered(issues.suggestions(found), ["line", "column", "issue", "fix"])
 
 
 def extraction_summary(blocks: DataFrame) -> DataFrame:
@@ -169,4 +169,4 @@ def extraction_summary(blocks: DataFrame) -> DataFrame:
         "file", "type", F.coalesce("name", F.lit("None")).alias("name"), "start_line", "end_line", "seq",
         shown.alias("shown"), left_out.alias("left_out"),
     )
-    return issues.numbered(rows, ["start_line"], ["seq", "type", "name"]).drop("seq")
+    return issues.numbered(rows, ["start_line", "seq", "type", "name"]).drop("seq")

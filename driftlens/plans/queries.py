@@ -749,7 +749,7 @@ def d9(spark, folder):
     rows = table(spark, folder, "events").select(
         F.concat(F.lit("f"), F.col("user_id") % 3).alias("file"), (F.col("event_id") % 50).alias("line"), "event_id"
     )
-    return issues.numbered(rows, ["line"], ["event_id"])
+    return issues.numbered(rows, ["line", "event_id"])
 
 
 @query("d10_preview")

@@ -97,7 +97,7 @@ def test_categories_and_fixes(spark):
 def test_numbering_handles_ties_and_nulls(spark):
     rows = [("a", 3, "x"), ("a", 1, "y"), ("a", 3, "w"), ("a", None, "z"), ("b", 9, "q"), (None, 1, "n")]
     df = spark.createDataFrame(rows, "file string, line int, issue string")
-    got = {r.issue: r.position for r in issues.numbered(df, ["line"], ["issue"]).collect()}
+    got = {r.issue: r.position for r in issues.numbered(df, ["line", "issue"]).collect()}
     assert got == {"z": 1, "y": 2, "w": 3, "x": 4, "q": 1, "n": 1}
 
 

@@ -39,15 +39,20 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     return spark
 
 
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for durable intermediates: the cluster's checkpoint folder, a temporary one on a local master."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder for durable intermediates: the one the cluster names in ``spark.checkpoint.dir``.
+
+    A session without that setting, as in tests, gets a folder of its own; that needs a master on this machine.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="driftlens-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    folder = _own[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="driftlens-")
     return folder
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlens.llm import packing, tokenfile
+from driftlens.llm import ngram_join, packing, tokenfile
 from driftlens.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,3 +38,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     target = tokenfile.new_folder(spark)
     manifest = tokenfile.write(docs, packing.tokenizer_file(VOCABULARY), end_id=2, folder=target)
     return tokenfile.read_digests(manifest, target)
+
+
+@query("op8_ngram_join")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.join(read(spark, folder, "documents"), n=3, p=90, q=100)

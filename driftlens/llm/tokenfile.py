@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,7 +49,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str, text: str =
                 files.write(with_end.tobytes())
                 counts.append(sizes + 1)
                 column = batch.column(batch.schema.get_field_index(key))
-                keys.append(np.asarray(pa.compute.fill_null(column.cast(pa.int64()), NO_KEY)))
+                keys.append(np.asarray(pc.fill_null(column.cast(pa.int64()), NO_KEY)))
                 total += len(with_end)
         finally:
             if files is not None:

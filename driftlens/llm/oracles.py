@@ -1,3 +1,57 @@
 """DuckDB SQL for the llm queries that SQL can express."""
 
+from driftlens.llm import rules
+
+WORDS = r"[^\x20\x09-\x0D]+"
+BLANKS = r"[\x20\x09-\x0D]"
+
 ORACLES: dict[str, str] = {}
+
+ORACLES["op5_mixing"] = rf"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORDS}'))::BIGINT AS size,
+         md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents),
+totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+weighed AS (
+  SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight, 2 * source_size AS cap
+  FROM totals),
+ranked AS (
+  SELECT *, 1.5::DOUBLE * (SELECT sum(source_size) FROM totals)::DOUBLE AS wanted,
+         coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS given,
+         sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free
+  FROM weighed),
+level AS (SELECT max((wanted - given::DOUBLE) / free::DOUBLE) FILTER (WHERE cap * free >= (wanted - given) * weight) AS l FROM ranked),
+goals AS (
+  SELECT source, source_size, least(cap::DOUBLE, weight * coalesce(l, 'infinity'::DOUBLE)) AS target FROM weighed, level),
+cut AS (
+  SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2)::BIGINT ELSE 0 END AS whole FROM goals),
+placed AS (
+  SELECT s.doc_id, s.size, c.source_size, c.target, c.whole, c.target - c.whole * c.source_size AS rest,
+         sum(s.size) OVER (PARTITION BY s.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING)::DOUBLE - s.size / 2 AS middle
+  FROM sized s JOIN cut c ON s.source IS NOT DISTINCT FROM c.source)
+SELECT doc_id, size, source_size, target, whole + (rest > 0 AND middle <= rest)::BIGINT AS copies,
+       (whole + (rest > 0 AND middle <= rest)::BIGINT) * size AS taken
+FROM placed"""
+
+_failed = " + ".join(f"CASE WHEN {test} THEN {rules.BIT[name]} ELSE 0 END" for name, test in rules.RULES)
+ORACLES["op9_quality_rules"] = rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '{WORDS}') AS words,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORDS}')) AS lines FROM t),
+windows AS (
+  SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g
+  FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+twice AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+covered AS (SELECT DISTINCT r, i + d AS i FROM twice, (VALUES (0), (1), (2)) v(d)),
+reps AS (SELECT r, count(*) AS n FROM covered GROUP BY r),
+m AS (
+  SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text, '{BLANKS}', '', 'g'))::BIGINT AS word_chars,
+         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+         len(lines)::BIGINT AS n_lines, (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')))::BIGINT AS n_upper,
+         (length(text) - length(replace(text, '!', '')))::BIGINT AS n_exclaim,
+         length(regexp_replace(text, '[^A-Za-z\x{{80}}-\x{{10FFFF}}]', '', 'g'))::BIGINT AS n_letters
+  FROM w LEFT JOIN reps USING (r)),
+f AS (SELECT *, ({_failed})::BIGINT AS failed FROM m)
+SELECT *, failed & {rules.BASE} <> 0 AS base_failed, failed & {rules.BASE} = 0 AND failed & {rules.POLICIES[rules.CURRENT]} = 0 AS kept FROM f"""

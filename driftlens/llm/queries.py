@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlens.llm import ngram_join, packing, tokenfile
+from driftlens.llm import mixing, ngram_join, packing, rules, tokenfile
 from driftlens.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,3 +43,17 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_ngram_join")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.join(read(spark, folder, "documents"), n=3, p=90, q=100)
+
+
+@query("op5_mixing")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(read(spark, folder, "documents")).drop("rank_hash")
+
+
+@query("op9_quality_rules")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    base = F.col("failed").bitwiseAND(F.lit(rules.BASE)) != 0
+    ledger = rules.ledger(read(spark, folder, "documents"))
+    return ledger.select(
+        "doc_id", *rules.MEASURES, "failed", base.alias("base_failed"), (~base & rules.passes(rules.CURRENT)).alias("kept")
+    )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlens.llm import mixing, ngram_join, packing, rules, tokenfile
+from driftlens.llm import langid, mixing, ngram_join, packing, rules, tokenfile
 from driftlens.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,3 +57,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return ledger.select(
         "doc_id", *rules.MEASURES, "failed", base.alias("base_failed"), (~base & rules.passes(rules.CURRENT)).alias("kept")
     )
+
+
+@query("op3_language_id")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identify(read(spark, folder, "documents"), langid.held_out())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlens.llm import langid, mixing, ngram_join, packing, rules, tokenfile
+from driftlens.llm import langid, mixing, ngram_join, packing, quality, rules, tokenfile
 from driftlens.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,3 +62,9 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_language_id")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(read(spark, folder, "documents"), langid.held_out())
+
+
+@query("op2_quality_classifier")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = read(spark, folder, "documents"), read(spark, folder, "labels")
+    return quality.classify(docs, labels, quality.held_out())

@@ -24,26 +24,33 @@ def per_text(owners: np.ndarray, features: np.ndarray, n: int) -> list[np.ndarra
     return [features[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
-def feature_counts(docs: DataFrame, extract: Extract, bits: int, text: str, label: str) -> tuple[np.ndarray, np.ndarray]:
-    """How many texts of label 1 and of label 0 have each feature, over all rows.
+def feature_rows(docs: DataFrame, extract: Extract, bits: int, text: str, label: str) -> DataFrame:
+    """``f, ones, zeros``: how many texts of label 1 and of label 0 have each feature, over all rows.
 
-    Each task adds up an array of the feature space; the sums, one row per feature at most, go to the driver.
+    Each task adds up arrays of the feature space, so one row per feature and task is shuffled at most.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, 1 << bits), np.int64)
+        sums = np.zeros((2, 1 << bits), np.int32)
         for batch in pieces(batches, text):
             labels = np.asarray(batch.column(batch.schema.get_field_index(label)).to_pylist(), np.int64)
             owners, features = extract(texts(batch, text))
             for value in (0, 1):
-                sums[value] += np.bincount(features[labels[owners] == value], minlength=1 << bits)
+                np.add.at(sums[value], features[labels[owners] == value], 1)
         used = np.flatnonzero(sums.any(axis=0))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used.astype(np.int32)), pa.array(sums[1][used]), pa.array(sums[0][used])], names=["f", "ones", "zeros"]
-        )
+        for start in range(0, len(used), 100_000):
+            part = used[start : start + 100_000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part.astype(np.int32)), pa.array(sums[1][part]), pa.array(sums[0][part])], names=["f", "ones", "zeros"]
+            )
 
-    partial = docs.select(text, F.col(label).cast("int").alias(label)).mapInArrow(run, "f int, ones long, zeros long")
-    rows = partial.groupBy("f").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros")).toPandas()
+    partial = docs.select(text, F.col(label).cast("int").alias(label)).mapInArrow(run, "f int, ones int, zeros int")
+    return partial.groupBy("f").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
+
+
+def feature_counts(docs: DataFrame, extract: Extract, bits: int, text: str, label: str) -> tuple[np.ndarray, np.ndarray]:
+    """The feature rows as two arrays over the feature space, which bounds what the driver receives."""
+    rows = feature_rows(docs, extract, bits, text, label).toPandas()
     ones, zeros = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
     ones[rows["f"]], zeros[rows["f"]] = rows["ones"], rows["zeros"]
     return ones, zeros

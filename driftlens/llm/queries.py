@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlens.llm import langid, mixing, ngram_join, packing, quality, rules, tokenfile
+from driftlens.llm import langid, mixing, ngram_join, packing, quality, rules, tokenfile, toxicity
 from driftlens.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,3 +68,9 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = read(spark, folder, "documents"), read(spark, folder, "labels")
     return quality.classify(docs, labels, quality.held_out())
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = read(spark, folder, "documents"), read(spark, folder, "labels")
+    return toxicity.classify(docs, labels, toxicity.held_out())

@@ -55,3 +55,53 @@ m AS (
   FROM w LEFT JOIN reps USING (r)),
 f AS (SELECT *, ({_failed})::BIGINT AS failed FROM m)
 SELECT *, failed & {rules.BASE} <> 0 AS base_failed, failed & {rules.BASE} = 0 AND failed & {rules.POLICIES[rules.CURRENT]} = 0 AS kept FROM f"""
+
+ORACLES["op4_near_vectors"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+good AS (
+  SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND e IS NOT NULL
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
+    ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(a, b) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+roots AS (SELECT a, min(b) AS c FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, vec_id = c AS kept
+FROM v JOIN roots ON roots.a = vec_id LEFT JOIN counts ON counts.a = vec_id"""
+
+_ESC = r"regexp_replace({}, '([<\[])(\\*)((?:/?(?:INST|SYS|ROLE|TEXT)\]|/?s>))', '\1\2\\\3', 'g')"
+ORACLES["op6_chat_format"] = rf"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+pieces AS (
+  SELECT *, CASE role WHEN 'user' THEN '[INST] ' || {_ESC.format("text")} || ' [/INST]'
+                      WHEN 'system' THEN '[SYS] ' || {_ESC.format("text")} || ' [/SYS]'
+                      WHEN 'assistant' THEN {_ESC.format("text")} || '</s>'
+                      ELSE '[ROLE] ' || {_ESC.format("role")} || ' [TEXT] ' || {_ESC.format("text")} || ' [/ROLE]' END AS piece
+  FROM rows)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       (3 + sum(length(piece)))::BIGINT AS formatted_chars
+FROM pieces GROUP BY conv_id"""
+
+# Links by counting common n-grams; the components by the closure of the links.
+ORACLES["op8_ngram_join"] = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}') AS words
+  FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN []::VARCHAR[] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+      ELSE list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) END) AS g FROM w)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(b) AS component_id
+FROM reach JOIN w ON w.doc_id = reach.a LEFT JOIN sizes USING (doc_id) GROUP BY doc_id"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlens.llm import langid, mixing, ngram_join, packing, quality, rules, tokenfile, toxicity
+from driftlens.llm import chat, langid, mixing, near_vectors, ngram_join, packing, quality, rules, tokenfile, toxicity
 from driftlens.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,3 +74,22 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = read(spark, folder, "documents"), read(spark, folder, "labels")
     return toxicity.classify(docs, labels, toxicity.held_out())
+
+
+@query("op4_near_vectors")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors.link(read(spark, folder, "embeddings"))
+
+
+@query("op6_chat_format")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    given = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    planted = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"),
+    )
+    messages = chat.from_turns(given.unionByName(planted))
+    formatted = chat.conversations(messages)
+    named = formatted.select(F.expr("try_cast(leaf.c as long)").alias("conv_id"), "formatted", "loss")
+    return chat.digests(named, "conv_id")

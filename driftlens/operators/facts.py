@@ -20,6 +20,11 @@ from pyspark.sql import functions as F
 # The function travels with its code, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+UNREADABLE = "Unreadable"
+# What an operation or fragment starts with, and the length of the longest such word.
+START = re.compile(r"\s*(?:query|mutation|subscription|fragment|\{)", re.IGNORECASE)
+SHORT = len("subscription")
+
 PARTS = "array<struct<kind:string,text:string>>"
 FACTS = (
     "struct<error:string,"
@@ -51,28 +56,66 @@ def _is_text(node) -> bool:
     return isinstance(node, ast.Constant) and isinstance(node.value, str)
 
 
-def _parts(node, nested=False):
-    """The pieces of a string expression, left to right; None if something in it is not a string."""
+def _plain(text: str) -> str:
+    """A literal as it can be stored: half of a surrogate pair alone, which no encoding holds, becomes a question mark."""
+    return text.encode("utf-8", "replace").decode("utf-8")
+
+
+def _adds(node) -> bool:
+    return isinstance(node, ast.BinOp) and isinstance(node.op, ast.Add)
+
+
+def _terms(node) -> list:
+    """The terms of a sum from left to right, however long it is."""
+    waiting, terms = [node], []
+    while waiting:
+        node = waiting.pop()
+        if _adds(node):
+            waiting += [node.right, node.left]
+        else:
+            terms.append(node)
+    return terms
+
+
+def _pieces(node, nested: bool):
+    """The pieces of a string that is not a sum; None if it is not a string."""
     if _is_text(node):
-        return [{"kind": "text", "text": node.value}]
+        return [{"kind": "text", "text": _plain(node.value)}]
     if isinstance(node, ast.JoinedStr):
         pieces = []
         for value in node.values:
             if _is_text(value):
-                pieces.append({"kind": "text", "text": value.value})
+                pieces.append({"kind": "text", "text": _plain(value.value)})
             elif isinstance(value.value, ast.Name):
                 pieces.append({"kind": "slot", "text": value.value.id})
             else:
                 pieces.append({"kind": "member" if isinstance(value.value, ast.Attribute) else "other", "text": None})
         return pieces
-    if isinstance(node, ast.BinOp) and isinstance(node.op, ast.Add):
-        left, right = _parts(node.left, True), _parts(node.right, True)
-        return left + right if left is not None and right is not None else None
     if nested and isinstance(node, ast.Name):
         return [{"kind": "name", "text": node.id}]
     return None
 
 
+def _parts(node):
+    """The pieces of a string expression, left to right; None if something in it is not a string."""
+    if not _adds(node):
+        return _pieces(node, False)
+    found = []
+    for term in _terms(node):
+        pieces = _pieces(term, True)
+        if pieces is None:
+            return None
+        found += pieces
+    return found
+
+
+def _may_be_operation(node) -> bool:
+    """Whether a sum can be an operation or hold a name: its first term is no literal, or starts with a letter or brace
+    as operations do. All its shorter beginnings share that first term, so the answer holds for them as well."""
+    first = _leftmost(node)
+    return not _is_text(first) or len(first.value.strip()) < SHORT or START.match(first.value) is not None
+
+
 def _leftmost(node):
     while isinstance(node, ast.BinOp):
         node = node.left
@@ -91,14 +134,27 @@ def _label(node):
 
 
 def list_facts(source: str) -> dict:
+    """The facts of one file. Never raises: what is not Python has a ``SyntaxError``, what cannot be read for another
+    reason (nested too deeply for the parser, for one) an ``Unreadable`` error, which is no statement about its syntax."""
+    nothing = {"strings": [], "bindings": [], "classes": [], "imports": []}
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError, MemoryError) as problem:
-        return {"error": f"SyntaxError: {problem}", "strings": [], "bindings": [], "classes": [], "imports": []}
+    except (SyntaxError, ValueError) as problem:
+        return {"error": _plain(f"SyntaxError: {problem}"), **nothing}
+    except Exception as problem:  # noqa: BLE001
+        return {"error": _plain(f"{UNREADABLE}: {type(problem).__name__}"), **nothing}
+    try:
+        return _facts_of(tree, source)
+    except Exception as problem:  # noqa: BLE001
+        return {"error": _plain(f"{UNREADABLE}: {type(problem).__name__}"), **nothing}
+
+
+def _facts_of(tree, source: str) -> dict:
     lines = [line.encode() for line in re.split(r"(?<=\n)|(?<=\r)(?!\n)", source)]
     strings, bindings, classes, imports = [], {}, [], []
+    no_operation: set[int] = set()  # sums that begin like one that cannot be an operation
 
     def note(ctx, value, name=None, owner=None):
         pieces = _parts(value) if value is not None else None
@@ -114,7 +170,7 @@ def list_facts(source: str) -> dict:
                 if isinstance(target, ast.Name):
                     note("assign", node.value, target.id)
                     if _is_text(node.value):
-                        bindings.setdefault(target.id, node.value.value)
+                        bindings.setdefault(target.id, _plain(node.value.value))
         elif isinstance(node, ast.AnnAssign) and isinstance(node.target, ast.Name):
             if node.value is not None and _parts(node.value) is not None:
                 note("annotated", node.value, node.target.id)
@@ -124,7 +180,14 @@ def list_facts(source: str) -> dict:
             if isinstance(node.value, ast.Call) and node.value.args and _label(node.value.func) == ("gql", False):
                 note("return_gql", node.value.args[0])
         elif isinstance(node, ast.BinOp):
-            note("concat", node)
+            if id(node) in no_operation:
+                continue
+            if _may_be_operation(node):
+                note("concat", node)
+            else:
+                while isinstance(node, ast.BinOp):
+                    no_operation.add(id(node))
+                    node = node.left
         elif isinstance(node, ast.JoinedStr):
             note("fstring", node)
         elif isinstance(node, ast.ImportFrom):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftlens.functions.text import newlines, strip
+from driftlens.operators.facts import UNREADABLE
 from driftlens.session import stage
 
 # The imports that give a role its names, and the name a role has when it is not imported.
@@ -122,7 +123,7 @@ def models(python: DataFrame) -> DataFrame:
         .filter(F.col("type").isNotNull())
     )
     source = F.col("broken")
-    broken = python.filter(F.col("error").isNotNull()).select(
+    broken = python.filter(F.col("error").isNotNull() & ~F.col("error").startswith(UNREADABLE)).select(
         "file",
         F.lit(None).cast("string").alias("model_name"),
         F.lit("unknown").alias("type"),

@@ -145,3 +145,19 @@ def test_reaching_roots_follows_long_chains_and_ends_on_cycles(spark):
     df = spark.createDataFrame(edges, "file string, class string, base string, is_root boolean")
     got = {(r.file, r["class"]) for r in models.reaching_roots(df).collect()}
     assert got == {("f", f"C{i}") for i in range(12)} | {("f", "W")}
+
+
+def test_facts_never_raise():
+    import time
+
+    from driftlens.operators.facts import UNREADABLE, list_facts
+
+    assert list_facts('x = "\\ud800 { a }"')["strings"][0]["parts"][0]["text"] == "? { a }"
+    for terms in (1500, 5000):
+        start = time.perf_counter()
+        facts = list_facts("x = " + " + ".join(['"plain words that are no operation"'] * terms))
+        assert time.perf_counter() - start < 1.0
+        assert facts["error"] is None or facts["error"].startswith(UNREADABLE)
+        assert sum(len(s["parts"]) for s in facts["strings"]) <= 2 * terms
+    deep = list_facts("x = " + "(" * 5000 + "1" + ")" * 5000)
+    assert deep["strings"] == [] and deep["error"]

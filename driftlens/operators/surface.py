@@ -98,7 +98,7 @@ def _below_missing(found: DataFrame, missing: DataFrame) -> DataFrame:
         .distinct()
         .select("client", "path", F.explode(F.split("path", "/")).alias("step"))
         .filter("step LIKE ':%'")
-        .select(F.col("client").alias("schema"), "path", F.substring("step", 2, 1000000).alias("type_name"))
+        .select(F.col("client").alias("schema"), "path", F.substring("step", F.lit(2), F.length("step")).alias("type_name"))
     )
     return steps.join(missing, ["schema", "type_name"], "left_semi").select(
         F.col("schema").alias("client"), "path"

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from driftlens.functions.text import newlines, strip, strip_quotes
 
-MAX_DEPTH = 10
+# Up to so many opening braces their number is taken for a text's depth; beyond that the braces are matched.
+FEW_BRACES = 10
 
 # The lexical grammar of operation documents (blanks, commas and comments between tokens; block
 # strings, strings, spreads, names, numbers, punctuators).
@@ -253,12 +254,26 @@ def error_position(lines: Column, start: Column, body: Column) -> Column:
     return F.when(F.length(probe) > 0, F.try_element_at(found, F.lit(1)) + F.greatest(F.lit(1), start - 9))
 
 
+def deepest(blocks: DataFrame) -> int:
+    """The deepest level of braces in any text, or a little more: how many levels a path may need."""
+    opened = F.length("raw") - F.length(F.replace("raw", F.lit("{")))
+    braces = F.filter(F.regexp_extract_all("raw", F.lit(TOKEN), F.lit(2)), lambda t: t.isin("{", "}"))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
+
+    def step(a: Column, t: Column) -> Column:
+        now = a["now"] + F.when(t == "{", 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(a["top"], now).alias("top"))
+
+    depth = F.when(opened <= FEW_BRACES, opened).otherwise(F.aggregate(braces, start, step)["top"])
+    return blocks.agg(F.max(depth)).first()[0] or 0
+
+
 def selections(blocks: DataFrame, key: list[str]) -> DataFrame:
     """Selection rows of operation and fragment texts.
 
     ``blocks`` holds the ``key`` columns (unique per row) and ``raw``. Each row is a field, an inline fragment, a
     spread, or an argument given to a field (with the field's ``node``), with its depth, its place in the text (lines count from 1) and ``path``: the fields and type conditions
-    that lead to it, outermost first, without itself.
+    that lead to it, outermost first, without itself. There are as many levels as the deepest text has.
     """
     keyed = blocks.select(F.struct(*key).alias("_key"), "raw")
     tokens = tokenize(keyed, "_key", "raw")
@@ -322,7 +337,7 @@ def selections(blocks: DataFrame, key: list[str]) -> DataFrame:
     tokens = tokens.filter(~is_argument | of_field)
     owners = [
         F.last(F.when((tok == "{") & (F.col("brace") == level), F.col("_owner")), ignorenulls=True).over(upto)
-        for level in range(2, MAX_DEPTH + 1)
+        for level in range(2, max(deepest(blocks), 2) + 1)
     ]
     path = F.slice(F.array(*owners), F.lit(1), F.greatest(F.col("brace") - 1, F.lit(0)).cast("int"))
     return (
@@ -330,7 +345,7 @@ def selections(blocks: DataFrame, key: list[str]) -> DataFrame:
             "_key", F.when(is_argument, to["n"]).otherwise(F.col("n")).alias("n"), "brace", "kind", "name", "alias",
             "type_condition", "place", path.alias("path"),
         )
-        .filter(F.col("kind").isNotNull() & (F.col("brace") <= MAX_DEPTH))
+        .filter(F.col("kind").isNotNull())
         .select(
             *[F.col(f"_key.{k}").alias(k) for k in key],
             F.col("n").alias("node"),

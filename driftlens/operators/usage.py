@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from driftlens.functions.regex import spell
 from driftlens.operators.catalog import drift_lookup, in_version, is_deprecated, roots
 from driftlens.operators.dedupe import distinct_inputs, distinct_issues
-from driftlens.operators.tokens import MAX_DEPTH, selections
+from driftlens.operators.tokens import selections
 from driftlens.session import stage
 
 # The client names, in the order in which both are tried, and the header patterns.
@@ -138,11 +138,13 @@ def expand_spreads(found: DataFrame) -> DataFrame:
     """Field rows of blocks, with the fields of spread fragments under the path of the spread.
 
     ``found`` should be a staged table: it is read several times. A fragment is looked up by name in the whole file; the last definition counts. Expansion goes round by round
-    until no spread is left or the depth limit is reached, so fragments that spread each other end as well.
+    until no spread is left. A path that enters a fragment for the second time ends there: all that would follow has been
+    seen on it.
     """
     keep = ["file", "start_line", "roots", "depth", "path", "name", "line", "col"]
     fields = found.filter("kind = 'field'").select(*keep)
-    frontier = found.filter("kind = 'spread'").select(*keep[:-2]).distinct()
+    nothing = F.array().cast("array<string>")
+    frontier = found.filter("kind = 'spread'").select(*keep[:-2], nothing.alias("entered")).distinct()
     if frontier.isEmpty():
         return fields
     last = (
@@ -164,11 +166,11 @@ def expand_spreads(found: DataFrame) -> DataFrame:
     )
     inside = stage(inside, "fragments")
     parts = [fields]
-    for _ in range(MAX_DEPTH):
+    while True:
         grown = (
             frontier.withColumnRenamed("name", "fragment")
+            .filter(~F.array_contains("entered", F.col("fragment")))
             .join(inside, ["file", "fragment"])
-            .filter(F.col("depth") + F.col("in_depth") <= MAX_DEPTH)
             .select(
                 "file",
                 "start_line",
@@ -184,11 +186,12 @@ def expand_spreads(found: DataFrame) -> DataFrame:
                 "line",
                 "col",
                 "kind",
+                F.array_append("entered", F.col("fragment")).alias("entered"),
             )
         )
         grown = stage(grown, "spread")
         parts.append(grown.filter("kind = 'field'").select(*keep))
-        frontier = grown.filter("kind = 'spread'").select(*keep[:-2]).distinct()
+        frontier = grown.filter("kind = 'spread'").select(*keep[:-2], "entered").distinct()
         if frontier.isEmpty():
             break
     whole = parts[0]

@@ -19,9 +19,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal a table that comes in fewer splits than there are cores to all of them; larger tables stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Deal rows that become much larger ones to the session's shuffle partitions, whatever splits they come in."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def fill(text: str, values: Mapping[str, Column]) -> Column:
@@ -270,3 +269,32 @@ def issues(spark: SparkSession, folder: str) -> DataFrame:
         F.when(kind == "error", "error").otherwise("warning").alias("level"),
         message.alias("message"),
     )
+
+
+def source_tree(spark: SparkSession, folder: str, root: str) -> DataFrame:
+    """Write one file per customer with orders below ``root``, in tasks; returns the paths written.
+
+    The names take turns: package files, private names, hidden folders, an excluded folder, another kind of file.
+    Some files hold bytes that are not UTF-8.
+    """
+    k = F.col("o_custkey")
+    path = F.concat(
+        F.element_at(F.array(*map(F.lit, ("pkg_", "_private/m_", ".hidden/x_", "node_modules/y_", "src/deep/_", "notes/t_"))), (k % 6 + 1).cast("int")),
+        k, F.element_at(F.array(*map(F.lit, ("/__init__.py", ".py", ".graphql", ".py", ".gql", ".txt"))), (k % 6 + 1).cast("int")),
+    )
+    text = F.concat(F.lit("# customer "), k, F.lit("\n# orders "), F.col("n"), F.lit("\n"))
+    files = table(spark, folder, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).select(path.alias("path"), text.alias("text"), (k % 10 == 7).alias("bad"))
+
+    def write(batches):
+        import pyarrow as pa
+        from pyarrow import fs as pafs
+
+        system, top = pafs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (pafs.LocalFileSystem(), root)
+        for batch in batches:
+            for path, text, bad in zip(*[column.to_pylist() for column in batch.columns]):
+                system.create_dir(f"{top}/{path}".rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(f"{top}/{path}") as file:
+                    file.write(text.encode() + (b"\xff" if bad else b""))
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["path"])
+
+    return files.mapInArrow(write, "path string")

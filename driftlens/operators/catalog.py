@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 ROOT_NAMES = {
     "query": ("QueryRoot", "Query"),
     "mutation": ("Mutation",),
-    "subscription": ("Subscription",),
+    "subscription": ("Subscription", "SubscriptionRoot"),
 }
 NO_REASON = "Deprecated"
 

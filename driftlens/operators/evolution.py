@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlens.operators.catalog import NO_REASON, in_version, is_deprecated
+from driftlens.session import stage
 
 COUNTERS = ("removed_types", "added_types", "removed_fields", "added_fields", "deprecated_fields")
 
@@ -139,20 +140,58 @@ def detail_totals(types: DataFrame, fields: DataFrame, old: str, new: str) -> Da
     return changes(types, fields, old, new).groupBy("schema", "change").agg(F.count("*").alias("total"))
 
 
+# What the report says above its sections, in their order, and in its summary.
+SECTIONS = {
+    "removed_types": "\n❌ Removed types in ",
+    "added_types": "\n✅ Added types in ",
+    "removed_fields": "\n❌ Removed fields in ",
+    "added_fields": "\n✅ Added fields in ",
+    "deprecated_fields": "\n⚠️  Deprecated fields in ",
+}
+SUMMARY = ("removed_fields", "added_fields", "deprecated_fields", "removed_types", "added_types")
+REPORT_ORDER = ("schema", "section", "type_name", "ord", "field_name")
+
+
 def report_lines(types: DataFrame, fields: DataFrame, old: str, new: str) -> DataFrame:
-    """The analysis report as rows ``(schema, section, type_name, field_name, line)``, sorted by the sink.
+    """The analysis report as rows ``(schema, section, type_name, ord, field_name, line)``; those columns but the last
+    are its order, nulls first.
 
-    Rows stay rows: the report is as long as the number of changes, so nothing is collected into one value.
+    Rows stay rows: the report is as long as the number of changes, so nothing is collected into one value. Headings
+    of sections and types come along with each change and collapse before the shuffle.
     """
-    sections = {"removed_types": 1, "added_types": 2, "removed_fields": 3, "added_fields": 4, "deprecated_fields": 5}
-    section = F.lit(None).cast("int")
-    for change, number in sections.items():
-        section = F.when(F.col("change") == change, number).otherwise(section)
+    found = stage(changes(types, fields, old, new), "changes")
+    numbers = {change: i + 1 for i, change in enumerate(SECTIONS)}
+    section, heading = F.lit(None).cast("int"), F.lit(None).cast("string")
+    for change, words in SECTIONS.items():
+        section = F.when(F.col("change") == change, numbers[change]).otherwise(section)
+        heading = F.when(F.col("change") == change, F.concat(F.lit(words), "schema", F.lit(":"))).otherwise(heading)
     line = (
         F.when(F.col("field_name").isNull(), F.concat(F.lit("  - "), "type_name"))
         .when(F.col("change") == "deprecated_fields", F.concat(F.lit("    - "), "field_name", F.lit(": "), "reason"))
         .otherwise(F.concat(F.lit("    - "), "field_name"))
     )
-    return changes(types, fields, old, new).select(
-        "schema", section.alias("section"), "type_name", "field_name", line.alias("line")
-    )
+
+    def row(number, type_name, place, field_name, text):
+        text_or_null = lambda c: F.lit(c).cast("string") if c is None else c
+        return F.struct(
+            number.cast("int").alias("section"), text_or_null(type_name).alias("type_name"), F.lit(place).alias("ord"),
+            text_or_null(field_name).alias("field_name"), text.alias("line"),
+        )
+
+    of_type = F.when(F.col("field_name").isNotNull(), row(section, F.col("type_name"), 0, None, F.concat(F.lit("  "), "type_name", F.lit(":"))))
+    rows = F.array_compact(F.array(row(section, None, 0, None, heading), of_type, row(section, F.col("type_name"), 1, F.col("field_name"), line)))
+    body = found.select("schema", F.inline(rows)).distinct()
+
+    totals = [F.count_if(F.col("change") == change).alias(change) for change in SUMMARY]
+    schemas = types.filter(F.col("version").isin(old, new)).select("schema").distinct()
+    counted = schemas.join(found.groupBy("schema").agg(*totals), "schema", "left")
+    lines = [
+        row(F.lit(0), None, 0, None, F.concat(F.lit("\n🏢 "), "schema", F.lit(" Schema Analysis"))),
+        row(F.lit(0), None, 1, None, F.lit("-" * 30)),
+        row(F.lit(len(SECTIONS) + 1), None, 0, None, F.concat(F.lit("\n📈 "), "schema", F.lit(" Summary:"))),
+    ]
+    for i, change in enumerate(SUMMARY):
+        what = F.lit(f"  - {change.replace('_', ' ').capitalize()}: ")
+        lines.append(row(F.lit(len(SECTIONS) + 1), None, i + 1, None, F.concat(what, F.coalesce(change, F.lit(0)).cast("string"))))
+    frame = counted.select("schema", F.inline(F.array(*lines)))
+    return body.unionByName(frame).select(*REPORT_ORDER, "line")

@@ -395,17 +395,44 @@ M_FILES = [
 
 NORMAL = f"regexp_replace(regexp_replace(text, '#.*', '', 'g'), '{BLANK}+', '', 'g')"
 
+# The report: changes under headings of their section and type, a title, and a summary.
+REPORT = """,
+told AS (
+  SELECT *, CASE change WHEN 'removed_types' THEN 1 WHEN 'added_types' THEN 2 WHEN 'removed_fields' THEN 3
+    WHEN 'added_fields' THEN 4 ELSE 5 END AS section FROM changes),
+schemas AS (SELECT schema FROM old_types UNION SELECT schema FROM new_types),
+counted AS (SELECT schema, (SELECT count(*) FROM told t WHERE t.schema = s.schema AND t.section = n)::VARCHAR AS c, n
+  FROM schemas s, (VALUES (1), (2), (3), (4), (5)) v(n)),
+report_rows AS (
+  SELECT schema, section, NULL AS type_name, 0 AS ord, NULL AS field_name,
+    chr(10) || ['❌ Removed types', '✅ Added types', '❌ Removed fields', '✅ Added fields', '⚠️  Deprecated fields'][section] || ' in ' || schema || ':' AS line
+  FROM (SELECT DISTINCT schema, section FROM told)
+  UNION ALL SELECT schema, section, type_name, 0, NULL, '  ' || type_name || ':' FROM (SELECT DISTINCT schema, section, type_name FROM told WHERE section > 2)
+  UNION ALL SELECT schema, section, type_name, 1, field_name,
+    CASE WHEN field_name IS NULL THEN '  - ' || type_name WHEN section = 5 THEN '    - ' || field_name || ': ' || reason ELSE '    - ' || field_name END FROM told
+  UNION ALL SELECT schema, 0, NULL, 0, NULL, chr(10) || '🏢 ' || schema || ' Schema Analysis' FROM schemas
+  UNION ALL SELECT schema, 0, NULL, 1, NULL, repeat('-', 30) FROM schemas
+  UNION ALL SELECT schema, 6, NULL, 0, NULL, chr(10) || '📈 ' || schema || ' Summary:' FROM schemas
+  UNION ALL SELECT schema, 6, NULL, [4, 5, 1, 2, 3][n], NULL, '  - ' || ['Removed types', 'Added types', 'Removed fields', 'Added fields', 'Deprecated fields'][n] || ': ' || c FROM counted),
+report AS (SELECT schema, section::BIGINT AS section, type_name::VARCHAR AS type_name, ord::BIGINT AS ord, field_name::VARCHAR AS field_name, line FROM report_rows)"""
+
+TREE = """tree AS (
+  SELECT o_custkey AS k, ['pkg_', '_private/m_', '.hidden/x_', 'node_modules/y_', 'src/deep/_', 'notes/t_'][k % 6 + 1] || k
+      || ['/__init__.py', '.py', '.graphql', '.py', '.gql', '.txt'][k % 6 + 1] AS file,
+    ['py', 'py', 'graphql', 'py', 'gql', 'txt'][k % 6 + 1] AS ext,
+    '# customer ' || k || chr(10) || '# orders ' || count(*) || chr(10) AS text FROM orders GROUP BY o_custkey)"""
+
 ORACLES: dict[str, str] = {
     "s2_exclusions": """SELECT o_orderkey AS o, 'src/m.py' AS file FROM orders
       WHERE o_orderkey % 5 >= 3 AND o_orderkey % 7 NOT IN (0, 1)""",
+    "s1_scan": with_(TREE, "SELECT file, ext, md5(text) AS source FROM tree WHERE k % 6 NOT IN (3, 5) AND k % 10 <> 7"),
+    "s6_rejects": with_(TREE, "SELECT file, 'the text is not valid UTF-8' AS problem FROM tree WHERE k % 6 NOT IN (3, 5) AND k % 10 = 7"),
     "s7_introspection": with_(SCHEMA, """SELECT schema, version, type_name, field_name, is_deprecated, deprecation_reason,
       named_type FROM fields"""),
     "s8_rejected": """SELECT 'Admin' AS schema, 'v' || o_orderkey AS version, 'no access' AS errors FROM orders
       WHERE o_orderkey % 50 = 0""",
-    "s10_report_lines": with_(DIFF, """SELECT schema, CASE change WHEN 'removed_types' THEN 1 WHEN 'added_types' THEN 2
-      WHEN 'removed_fields' THEN 3 WHEN 'added_fields' THEN 4 ELSE 5 END::BIGINT AS section, type_name, field_name,
-      CASE WHEN field_name IS NULL THEN '  - ' || type_name WHEN change = 'deprecated_fields' THEN '    - ' || field_name || ': ' || reason
-      ELSE '    - ' || field_name END AS line FROM changes"""),
+    "s10_report_lines": with_(DIFF + REPORT, "SELECT * FROM report"),
+    "s10_report_file": with_(DIFF + REPORT, "SELECT unnest(string_split(line, chr(10))) AS line FROM report"),
     "s11_issue_lines": with_(ISSUES, """SELECT file, file || ':' || line || ':' || "column" || ': ' || level || ': ' || message AS text
       FROM issues"""),
     "p1_with_content": with_(ORDERS, """SELECT file FROM o UNION ALL SELECT 'gql/c' || c_custkey || '.graphql' FROM customer"""),
@@ -656,3 +683,5 @@ class A' || c_custkey || '(BaseModel):
       FROM blocks"""),
     "flagship_drift_categories": with_(USES + ", kinds AS (SELECT kind AS category FROM drift_issues)", category_table("kinds")),
 }
+
+ORACLES["s9_json"] = f"SELECT file, n_blocks, n_models FROM ({ORACLES['c1_harvest']})"

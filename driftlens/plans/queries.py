@@ -20,7 +20,7 @@ from driftlens.functions.text import (
 from driftlens.operators import catalog, dedupe, evolution, harvest, issues, lint, locate, models, surface, tokens, usage
 from driftlens.operators.facts import python_facts
 from driftlens.plans import jobs
-from driftlens.session import shared_folder, stage
+from driftlens.session import run_path, stage
 from driftlens.sources import corpus, introspection, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,43 @@ def s2(spark, folder):
     return paths.filter(~gone).select("o", "file")
 
 
+def _tree(spark: SparkSession, folder: str) -> tuple[str, DataFrame]:
+    """A source tree written from the orders, and its scan."""
+
+    def make():
+        root = run_path(spark, "tree")
+        stage(derived.source_tree(spark, folder, root), "written")
+        return root, stage(corpus.scan(spark, root, corpus.default_exclusions(["notes"])), "scanned")
+
+    return _once(spark, folder, "tree", make)
+
+
+@query("s1_scan")
+def s1(spark, folder):
+    """Every Python and operation file of a tree with hidden and private names, but for the excluded folders."""
+    root, scanned = _tree(spark, folder)
+    return corpus.readable(scanned.filter("problem IS NULL")).select(
+        corpus.below(F.col("file"), root).alias("file"), "ext", F.md5("source").alias("source")
+    )
+
+
+@query("s6_rejects")
+def s6(spark, folder):
+    """What the scan found and could not read."""
+    root, scanned = _tree(spark, folder)
+    return corpus.rejects(scanned).select(corpus.below(F.col("file"), root).alias("file"), "problem")
+
+
+@query("s9_json")
+def s9(spark, folder):
+    """File results written as JSON and read back."""
+    path = run_path(spark, "results")
+    sinks.write_json(harvested(spark, folder).nested(), path)
+    return longs(spark.read.json(path).select(
+        "file", F.size(F.coalesce("graphql", F.array())).alias("n_blocks"), F.size(F.coalesce("pydantic_models", F.array())).alias("n_models")
+    ))
+
+
 @query("s7_introspection")
 def s7(spark, folder):
     return introspection.schema_fields(_documents(spark, folder)).select(
@@ -121,7 +158,7 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
         # A root type has a field per type: its fields are dealt to documents of a hundred, so no document grows.
         part = F.when(
             F.col("type_name").isin("QueryRoot", "Mutation"),
-            F.floor(F.substring("field_name", 2, 20).cast("bigint") / 100),
+            F.floor(F.substring("field_name", F.lit(2), F.length("field_name")).cast("bigint") / 100),
         ).otherwise(0)
         types = fields.groupBy("schema", "version", "type_name", part.alias("part")).agg(F.sort_array(F.collect_list(field)).alias("fields"))
         body = F.struct(F.array(F.struct(F.lit("OBJECT").alias("kind"), F.col("type_name").alias("name"), "fields")).alias("types"))
@@ -146,8 +183,8 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
             ).alias("value")
         )
         path = stage(good.unionByName(bad), "json")
-        out = f"{shared_folder(spark).rstrip('/')}/driftlens/documents-{spark.sparkContext.applicationId}-{abs(hash(folder))}"
-        path.write.mode("overwrite").text(out)
+        out = run_path(spark, "documents")
+        path.write.text(out)
         return introspection.read_schemas(spark, out)
 
     return _once(spark, folder, "documents", make)
@@ -163,6 +200,14 @@ def s10(spark, folder):
     return longs(evolution.report_lines(*schema(spark, folder), OLD, NEW))
 
 
+@query("s10_report_file")
+def s10_file(spark, folder):
+    """The report written as text and read back."""
+    path = run_path(spark, "report")
+    sinks.write_report(evolution.report_lines(*schema(spark, folder), OLD, NEW), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
 @query("s11_issue_lines")
 def s11(spark, folder):
     return derived.issues(spark, folder).select("file", sinks.issue_line().alias("text"))

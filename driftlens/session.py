@@ -56,6 +56,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_runs: dict[str, list[str]] = {}
+
+
+def run_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, remembered until ``drop_run``."""
+    path = f"{shared_folder(spark).rstrip('/')}/driftlens/{label}-{uuid.uuid4().hex}"
+    _runs.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_run(spark: SparkSession) -> int:
+    """Delete what the session has staged so far and return its size in bytes. For the end of a job, when its results
+    are written."""
+    hadoop, freed = spark._jvm.org.apache.hadoop.fs, 0
+    for path in _runs.pop(spark.sparkContext.applicationId, []):
+        place = hadoop.Path(path)
+        system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        if system.exists(place):
+            freed += system.getContentSummary(place).getLength()
+            system.delete(place, True)
+    return freed
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -63,6 +86,6 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     size of the table, from which Spark decides whether it may be broadcast.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/driftlens/{label}-{uuid.uuid4().hex}"
+    path = run_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WRAPPERS = 6  # NonNull and List around a type; the standard query asks for at most this many levels
+# Levels of NonNull and List around a type that are read. Public introspection queries ask for nine at most; an answer that
+# goes on below the last level is rejected, never cut.
+WRAPPERS = 10
 
 
 def _type_ref(depth: int) -> str:
@@ -35,18 +37,52 @@ def named_type(ref: Column) -> Column:
     return F.coalesce(*names)
 
 
-def read_schemas(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """Introspection documents, with or without a ``data`` envelope; ``schema`` and ``version`` say which is which."""
-    return spark.read.schema(DOCUMENT).option("multiLine", str(multiline).lower()).json(path)
+def read_schemas(
+    spark: SparkSession, path: str, multiline: bool = False, schema: str | None = None, version: str | None = None
+) -> DataFrame:
+    """Introspection documents, with or without a ``data`` envelope.
+
+    Answers do not say which schema and version they are of: the caller says so here, or the file is named
+    ``<schema>_<version>.json``; keys ``schema`` and ``version`` of a document come first.
+    """
+    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    parts = F.regexp_extract(name, r"^(.+?)[_-](\d{4}-\d{2})[^/]*$", 1), F.regexp_extract(name, r"^(.+?)[_-](\d{4}-\d{2})[^/]*$", 2)
+    documents = spark.read.schema(DOCUMENT).option("multiLine", str(multiline).lower()).json(path)
+    given = {"schema": schema, "version": version}
+    return documents.select(
+        *[c for c in documents.columns if c not in given],
+        *[F.coalesce(F.col(k), F.lit(given[k]).cast("string"), F.nullif(part, F.lit(""))).alias(k) for k, part in zip(given, parts)],
+    )
+
+
+def _too_deep(documents: DataFrame) -> Column:
+    """Whether some type of a document goes on below the last level that is read."""
+    body = F.coalesce(F.col("data.__schema"), F.col("__schema"))
+
+    def deep(ref: Column) -> Column:
+        for _ in range(WRAPPERS):
+            ref = ref["ofType"]
+        return F.coalesce(ref["kind"].isin("NON_NULL", "LIST"), F.lit(False))
+
+    def any_of(items: Column, test) -> Column:
+        return F.coalesce(F.exists(items, test), F.lit(False))
+
+    return any_of(
+        body["types"],
+        lambda t: any_of(t["fields"], lambda f: deep(f["type"]) | any_of(f["args"], lambda a: deep(a["type"])))
+        | any_of(t["inputFields"], lambda f: deep(f["type"])),
+    )
 
 
 def rejected(documents: DataFrame) -> DataFrame:
-    """Documents that report errors instead of a schema."""
-    return documents.filter(F.size("errors") > 0).select("schema", "version", "errors")
+    """Documents that report errors instead of a schema, or hold types wrapped more often than is read."""
+    deep = F.when(_too_deep(documents), F.array(F.lit(f"a type is wrapped more than {WRAPPERS} times")))
+    told = F.when(F.size("errors") > 0, F.col("errors")).otherwise(deep)
+    return documents.select("schema", "version", told.alias("errors")).filter("errors IS NOT NULL")
 
 
 def _types(documents: DataFrame) -> DataFrame:
-    good = documents.filter(F.coalesce(F.size("errors"), F.lit(0)) <= 0)
+    good = documents.filter((F.coalesce(F.size("errors"), F.lit(0)) <= 0) & ~_too_deep(documents))
     body = good.select("schema", "version", F.coalesce(F.col("data.__schema"), F.col("__schema")).alias("s"))
     return body.select("schema", "version", F.explode("s.types").alias("t"))
 

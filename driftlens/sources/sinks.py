@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftlens.operators.evolution import REPORT_ORDER
+
 
 def write_json(results: DataFrame, path: str) -> None:
     """Nested file results as JSON lines."""
@@ -28,5 +30,6 @@ def write_issue_lines(issues: DataFrame, path: str) -> None:
 
 
 def write_report(lines: DataFrame, path: str) -> None:
-    """Report lines ``(section, ord, line)`` as text, in order."""
-    lines.orderBy("section", "ord").select(F.col("line").alias("value")).write.mode("overwrite").text(path)
+    """The rows of ``evolution.report_lines`` as text, in the report's order."""
+    order = [F.col(name).asc_nulls_first() for name in REPORT_ORDER]
+    lines.orderBy(*order).select(F.col("line").alias("value")).write.mode("overwrite").text(path)

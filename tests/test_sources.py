@@ -51,6 +51,35 @@ def test_versions(spark):
 def test_lines(spark, tmp_path):
     df = spark.createDataFrame([(None, None, 3, "info", None), ("f", 1, None, "error", "m")], "file string, line int, column int, level string, message string")
     assert sorted(r[0] for r in df.select(sinks.issue_line()).collect()) == ["?:?:3: info: ", "f:1:?: error: m"]
-    report = spark.createDataFrame([(2, 1, "c"), (1, 2, "b"), (1, 1, "a")], "section int, ord int, line string")
-    sinks.write_report(report, str(tmp_path / "report"))
-    assert [r.value for r in spark.read.text(str(tmp_path / "report")).collect()] == ["a", "b", "c"]
+
+
+def test_report_is_written_as_it_is_made(spark, tmp_path):
+    kinds = [("Admin", v, t, "OBJECT") for v, t in (("1", "A"), ("1", "B"), ("2", "B"), ("2", "C"))]
+    types = spark.createDataFrame(kinds, "schema string, version string, type_name string, kind string")
+    rows = [("Admin", "1", "B", "x", False, None), ("Admin", "1", "B", "y", True, None), ("Admin", "2", "B", "y", False, None), ("Admin", "2", "B", "z", False, None)]
+    fields = spark.createDataFrame(rows, "schema string, version string, type_name string, field_name string, is_deprecated boolean, deprecation_reason string")
+    lines = evolution.report_lines(types, fields, "1", "2")
+    sinks.write_report(lines.coalesce(1), str(tmp_path / "report"))
+    got = [r.value for r in spark.read.text(str(tmp_path / "report")).coalesce(1).collect()]
+    assert got == [
+        "", "🏢 Admin Schema Analysis", "-" * 30, "", "❌ Removed types in Admin:", "  - A", "", "✅ Added types in Admin:", "  - C",
+        "", "❌ Removed fields in Admin:", "  B:", "    - x", "", "✅ Added fields in Admin:", "  B:", "    - z",
+        "", "⚠️  Deprecated fields in Admin:", "  B:", "    - y: Deprecated", "", "📈 Admin Summary:", "  - Removed fields: 1",
+        "  - Added fields: 1", "  - Deprecated fields: 1", "  - Removed types: 1", "  - Added types: 1",
+    ]
+
+
+def test_plain_answers_and_deep_types(spark, tmp_path):
+    ref = {"kind": "OBJECT", "name": "B"}
+    for _ in range(9):
+        ref = {"kind": "LIST", "name": None, "ofType": ref}
+    deep = ref
+    for _ in range(4):
+        deep = {"kind": "LIST", "name": None, "ofType": deep}
+    for name, kind in (("Admin_2024-04.json", ref), ("Shop_2025-01.json", deep)):
+        body = {"data": {"__schema": {"types": [{"kind": "OBJECT", "name": "T", "fields": [{"name": "f", "type": kind, "args": []}]}]}}}
+        (tmp_path / name).write_text(json.dumps(body))
+    docs = introspection.read_schemas(spark, str(tmp_path), multiline=True)
+    assert [tuple(r) for r in introspection.schema_fields(docs).select("schema", "version", "named_type").collect()] == [("Admin", "2024-04", "B")]
+    assert [r.schema for r in introspection.rejected(docs).collect()] == ["Shop"]
+    assert {r.schema for r in introspection.schema_types(introspection.read_schemas(spark, str(tmp_path / "Admin_2024-04.json"), True, "X", "1")).collect()} == {"X"}

@@ -62,9 +62,16 @@ def schema_report(types: DataFrame, fields: DataFrame, old: str, new: str) -> Da
     )
 
 
-def usage_drift(blocks: DataFrame, types: DataFrame, fields: DataFrame, old: str, new: str, **options) -> DataFrame:
-    """Drift issues of harvested blocks."""
-    return usage.usage_drift(blocks, types, fields, old, new, **options)
+def usage_drift(
+    blocks: DataFrame, types: DataFrame, fields: DataFrame, old: str, new: str,
+    args: DataFrame | None = None, inputs: DataFrame | None = None, **options,
+) -> DataFrame:
+    """Drift issues of harvested blocks; with the old version's arguments and input fields, deprecated input fields as well."""
+    found = usage.usage_drift(blocks, types, fields, old, new, **options)
+    if args is None or inputs is None:
+        return found
+    flagged = usage.deprecated_inputs(blocks, types, args, inputs, old, named_roots=options.get("named_roots"))
+    return found.unionByName(flagged, allowMissingColumns=True)
 
 
 def parse_issues(blocks: DataFrame, detailed: bool = False) -> DataFrame:

@@ -43,6 +43,25 @@ BLOCKS = (
     f"e AS end_line FROM o JOIN planted ON o % {N} = tpl)"
 )
 
+# The blocks of the standalone documents next to those of the sources, under template numbers of their own.
+DOCUMENT_ROWS = (
+    (90, "query", "A<o>", "query A<o> {\n  t<k> { f0 }\n}", 3, 5),
+    (91, "mutation", "B<o>", "mutation B<o>($x: Int = 3, $y: [String!]) {\n  m<k>(a: $x, b: {c: $y}) { f1 }\n}", 7, 9),
+    (92, "query", None, "{ t<k> { f2 } }", 10, 10),
+)
+DOCUMENT_SELECTED = (
+    (90, "query", "t<k>", ""), (90, "query", "f0", ".t<k>"), (91, "mutation", "m<k>", ""), (91, "mutation", "f1", ".m<k>"),
+    (92, "query", "t<k>", ""), (92, "query", "f2", ".t<k>"),
+)
+ALL_BLOCKS = (
+    f"{ORDERS}, planted(tpl, type, name, raw, s, e) AS ({values(planted.BLOCKS)}), "
+    f"in_documents(tpl, type, name, raw, s, e) AS ({values(DOCUMENT_ROWS)}), "
+    "c AS (SELECT c_custkey AS o, c_custkey AS k, c_custkey AS k1, 'gql/c' || c_custkey || '.graphql' AS file FROM customer), "
+    f"blocks AS (SELECT file, o, k, k1, tpl, type, {filled('name')} AS name, {filled('raw')} AS raw, s AS start_line, "
+    f"e AS end_line FROM o JOIN planted ON o % {N} = tpl UNION ALL SELECT file, o, k, k1, tpl, type, {filled('name')}, {filled('raw')}, s, e "
+    "FROM c CROSS JOIN in_documents)"
+)
+
 # The catalogue, from the line items.
 SCHEMA = f"""
 items AS (
@@ -88,11 +107,11 @@ changes AS (
   UNION ALL SELECT schema, 'deprecated_fields', type_name, field_name, reason FROM field_diff WHERE is_deprecated)"""
 
 # Blocks with their client and start type; the selections planted in them; each selection's parent type.
-CLIENTS = f"""{BLOCKS}, {SCHEMA},
+CLIENTS = f"""{ALL_BLOCKS}, {SCHEMA},
 roots AS (SELECT schema, 'query' AS operation, 'QueryRoot' AS root FROM old_types WHERE type_name = 'QueryRoot'
           UNION ALL SELECT schema, 'mutation', 'Mutation' FROM old_types WHERE type_name = 'Mutation'),
-entry AS (
-  SELECT b.*, CASE WHEN type = 'mutation' THEN 'm' || k ELSE 't' || k END AS root_field FROM blocks b),
+entry AS (  -- a shorthand block has no header, so its client stays unknown
+  SELECT b.*, CASE WHEN tpl = 92 THEN NULL WHEN type = 'mutation' THEN 'm' || k ELSE 't' || k END AS root_field FROM blocks b),
 attributed AS (
   SELECT e.*,
     CASE WHEN type = 'fragment' THEN EXISTS (SELECT 1 FROM old_types t WHERE t.schema = 'Admin' AND t.type_name = 'T' || e.k)
@@ -111,7 +130,7 @@ rooted AS (
   WHERE c.client = 'Unknown' OR c.client = t.schema)"""
 
 USES = f"""{CLIENTS},
-selected(tpl, type, name, path) AS ({values(planted.SELECTED)}),
+selected(tpl, type, name, path) AS ({values((*planted.SELECTED, *DOCUMENT_SELECTED))}),
 direct AS (
   SELECT r.file, r.o, r.k, r.k1, r.tpl, r.type, r.checked AS client, r.client AS found, r.root, r.raw, r.start_line, {filled('s.name')} AS name,
          {filled('s.path')} AS path, length(s.path) - length(replace(s.path, '/', '')) + CASE WHEN s.path = '' THEN 0 ELSE 1 END + 1 AS depth
@@ -188,6 +207,10 @@ arguments AS (
   FROM (SELECT r.* REPLACE (col + length(name) + 1 AS col) FROM root_uses r WHERE tpl IN (2, 3))
   WHERE k NOT IN (SELECT p_partkey FROM part)
   UNION ALL
+  SELECT file, start_line + line - 1, col + length(name) + CASE arg WHEN 'a' THEN 1 ELSE 8 END, 'EXTRA_FIELD', 'warning',
+    '[EXTRA_FIELD] Unknown argument ''' || arg || ''' on field ''' || root || '.' || name || '''.'
+  FROM root_uses CROSS JOIN (VALUES ('a'), ('b')) v(arg) WHERE tpl = 91
+  UNION ALL
   SELECT file, start_line + line - 1, col, 'MISSING_REQUIRED_ARG', 'error',
     '[MISSING_REQUIRED_ARG] Field ''' || name || ''' argument ''id'' of type ''I' || (k % 100) || '!'' is required, but it was not provided.'
   FROM root_uses JOIN part ON p_partkey = k AND p_size > 25 WHERE tpl <> 3)"""
@@ -395,6 +418,14 @@ M_FILES = [
 
 NORMAL = f"regexp_replace(regexp_replace(text, '#.*', '', 'g'), '{BLANK}+', '', 'g')"
 
+# Deprecated fields of the input types that arguments of called mutations have.
+INPUTS = """, inputs AS (
+  SELECT p_partkey % 100 AS n, replace(lower(p_brand), '#', '_') AS f, min(p_size) AS size FROM part GROUP BY 1, 2),
+input_issues AS (
+  SELECT DISTINCT file, CAST(start_line AS BIGINT) AS line, CAST(1 AS BIGINT) AS "column", 'warning' AS level,
+    '[INPUT] Field ''' || f || ''' in input type ''I' || n || ''' is deprecated: ' || CASE WHEN size < 5 THEN 'too small' ELSE '' END AS message
+  FROM blocks JOIN part ON p_partkey = k JOIN inputs ON n = k % 100 WHERE type = 'mutation' AND size < 10)"""
+
 # The report: changes under headings of their section and type, a title, and a summary.
 REPORT = """,
 told AS (
@@ -499,14 +530,14 @@ ORACLES: dict[str, str] = {
         md5('from typing import (
 class A' || c_custkey || '(BaseModel):
     x: int') AS raw FROM customer WHERE c_custkey % 5 = 4""",
-    "h17_defs": with_(BLOCKS, """SELECT file, type, name, CASE WHEN type = 'fragment' THEN 'T' || k END AS type_condition,
-      CAST(CASE WHEN tpl = 2 THEN 1 ELSE 0 END AS BIGINT) AS n_vars, md5(raw) AS raw, start_line, end_line FROM blocks WHERE type <> 'unknown'"""),
+    "h17_defs": with_(ALL_BLOCKS, """SELECT file, type, name, CASE WHEN type = 'fragment' THEN 'T' || k END AS type_condition,
+      CAST(CASE tpl WHEN 2 THEN 1 WHEN 91 THEN 2 ELSE 0 END AS BIGINT) AS n_vars, md5(raw) AS raw, start_line, end_line FROM blocks WHERE type <> 'unknown'"""),
     "h18_quotes": f"""
       WITH d AS (SELECT doc_id, regexp_replace(CASE doc_id % 4
           WHEN 0 THEN text WHEN 1 THEN '''' || text || '''' WHEN 2 THEN '"' || text || ''''
           ELSE text END, '^{BLANK}*$', '') AS text, doc_id % 4 AS m FROM documents)
       SELECT doc_id, md5(CASE WHEN m = 1 THEN substr(text, 2, length(text) - 2) ELSE text END) AS body FROM d""",
-    "h20_errors": with_(BLOCKS, """SELECT file, type, name, start_line, end_line, md5(raw) AS raw FROM blocks WHERE type = 'unknown'"""),
+    "h20_errors": with_(ALL_BLOCKS, """SELECT file, type, name, start_line, end_line, md5(raw) AS raw FROM blocks WHERE type = 'unknown'"""),
     "h21_files": f"""
       WITH v(type, name, n_vars, start_line, end_line) AS ({values(planted.DOCUMENT_BLOCKS)})
       SELECT 'gql/c' || c_custkey || '.graphql' AS file, type, replace(name, '<c>', CAST(c_custkey AS VARCHAR)) AS name, n_vars,
@@ -525,17 +556,12 @@ class A' || c_custkey || '(BaseModel):
     "j7_both_clients": with_(CLIENTS, "SELECT file, type, name, checked, root FROM rooted WHERE client = 'Unknown' AND type <> 'unknown'"),
     "j8_roots": with_(SCHEMA, """SELECT schema, version, CASE type_name WHEN 'QueryRoot' THEN 'query' ELSE 'mutation' END AS operation,
       type_name FROM types WHERE type_name IN ('QueryRoot', 'Mutation')"""),
-    "f10_headers": with_(BLOCKS, """SELECT file, type, CASE WHEN type <> 'fragment' THEN type END AS operation,
+    "f10_headers": with_(ALL_BLOCKS, """SELECT file, type, CASE WHEN type <> 'fragment' AND tpl <> 92 THEN type END AS operation,
       CASE WHEN type <> 'fragment' THEN name END AS operation_name,
       CASE type WHEN 'fragment' THEN 'f1' WHEN 'mutation' THEN 'm' || k ELSE 't' || k END AS root_field,
       CASE WHEN type = 'fragment' THEN name END AS fragment_name, CASE WHEN type = 'fragment' THEN 'T' || k END AS fragment_type
       FROM blocks WHERE type <> 'unknown'"""),
-    "j9_inputs": """
-      WITH inputs AS (SELECT p_partkey % 100 AS n, replace(lower(p_brand), '#', '_') AS f, min(p_size) AS size FROM part GROUP BY 1, 2),
-      called AS (SELECT c_custkey AS c FROM customer JOIN part ON p_partkey = c_custkey)
-      SELECT DISTINCT 'gql/c' || c || '.graphql' AS file, CAST(7 AS BIGINT) AS line, CAST(1 AS BIGINT) AS "column", 'warning' AS level,
-        '[INPUT] Field ''' || f || ''' in input type ''I' || n || ''' is deprecated: ' || CASE WHEN size < 5 THEN 'too small' ELSE '' END AS message
-      FROM called JOIN inputs ON n = c % 100 WHERE size < 10""",
+    "j9_inputs": with_(ALL_BLOCKS + INPUTS, "SELECT * FROM input_issues"),
     "j10_fragment_types": with_(CLIENTS, """SELECT file, start_line + 1 AS line, CAST(1 AS BIGINT) AS "column", 'error' AS level,
       '[INVALID_FRAGMENT] Type ''T' || k1 || ''' does not exist in schema' AS message FROM clients c
       WHERE tpl = 6 AND type = 'query' AND NOT EXISTS (SELECT 1 FROM old_types t WHERE t.type_name = 'T' || c.k1
@@ -553,9 +579,10 @@ class A' || c_custkey || '(BaseModel):
         coalesce(d.message, i.message) AS message FROM issues i LEFT JOIN drift d ON d.r = 1 AND d.file = i.file AND d.line = i.line
         AND d."column" = i."column" """),
     "j15_arguments": with_(CHECKED, 'SELECT file, line, "column", kind, level, message FROM arguments'),
-    "j15_given_arguments": """
-      SELECT 'gql/c' || c_custkey || '.graphql' AS file, 'm' || c_custkey AS name, arg, CAST(2 AS BIGINT) AS line,
-        CASE arg WHEN 'a' THEN 0 ELSE 7 END + 3 + length('m' || c_custkey) + 1 AS col FROM customer CROSS JOIN (VALUES ('a'), ('b')) v(arg)""",
+    "j15_given_arguments": with_(ALL_BLOCKS, """SELECT file, CASE tpl WHEN 91 THEN 'm' ELSE 't' END || k AS name, arg,
+      CAST(CASE tpl WHEN 3 THEN 1 ELSE 2 END AS BIGINT) AS line,
+      CASE tpl WHEN 3 THEN instr(raw, '(id:') + 1 ELSE 3 + length('t' || k) + 1 + CASE arg WHEN 'b' THEN 7 ELSE 0 END END AS col
+      FROM blocks JOIN (VALUES (2, 'first'), (3, 'id'), (91, 'a'), (91, 'b')) v(t, arg) ON t = tpl WHERE type <> 'unknown'"""),
     "sd1_removed_types": with_(SCHEMA, "SELECT * FROM old_types EXCEPT SELECT * FROM new_types"),
     "sd2_added_types": with_(SCHEMA, "SELECT * FROM new_types EXCEPT SELECT * FROM old_types"),
     "sd3_common_types": with_(SCHEMA, "SELECT * FROM common"),
@@ -634,22 +661,26 @@ class A' || c_custkey || '(BaseModel):
     "g5_documents": words("documents", "doc_id", "text"),
     "g5_pages": words("pages", "page_id", "html"),
     "g5_conversations": words("conversations", "conv_id, turn", "text"),
-    "g10_parse_errors": with_(BLOCKS, """SELECT file, start_line AS line, CAST(1 AS BIGINT) AS "column", 'error' AS level FROM blocks
-      WHERE type = 'unknown'"""),
-    "g11_located_parse_errors": with_(BLOCKS, """SELECT file, start_line AS line, 'error' AS level, '[GRAPHQL_PARSE]' AS tag FROM blocks
-      WHERE type = 'unknown'"""),
+    "g10_parse_errors": with_(ALL_BLOCKS, """SELECT file, start_line AS line, CAST(1 AS BIGINT) AS "column", 'error' AS level,
+      '[GRAPHQL_VALIDATION] GraphQL parsing error: the text is not a valid operation document' AS message FROM blocks WHERE type = 'unknown'"""),
+    "g11_located_parse_errors": with_(ALL_BLOCKS, """SELECT file, start_line AS line, CAST(1 AS BIGINT) AS "column", 'error' AS level,
+      '[GRAPHQL_PARSE] the text is not a valid operation document' AS message FROM blocks WHERE type = 'unknown'"""),
     "g12_unreadable": """SELECT 'o' || o_orderkey || '.py' AS file, CAST(1 AS BIGINT) AS line, CAST(1 AS BIGINT) AS "column", 'error' AS level,
       '[VALIDATION_ERROR] File processing error: the text is not valid UTF-8' AS message FROM orders WHERE o_orderkey % 10 = 0""",
-    "c1_harvest": with_(BLOCKS, f"""SELECT file, count(*) AS n_blocks, CAST(CASE WHEN o % {N} IN (7, 8) THEN 1 ELSE 0 END AS BIGINT) AS n_models,
-      string_agg(type, ',' ORDER BY start_line, CASE type WHEN 'unknown' THEN 1 ELSE 0 END) AS types FROM blocks GROUP BY file, o
-      UNION ALL SELECT 'gql/c' || c_custkey || '.graphql', 3, 0, 'query,mutation,query' FROM customer"""),
+    "c1_harvest": with_(ALL_BLOCKS, f"""SELECT file, count(*) AS n_blocks,
+      CAST(CASE WHEN any_value(tpl) < 90 AND any_value(o) % {N} IN (7, 8) THEN 1 ELSE 0 END AS BIGINT) AS n_models,
+      string_agg(type, ',' ORDER BY start_line, type = 'unknown') AS types,
+      string_agg(coalesce(name, '-'), ',' ORDER BY start_line, type = 'unknown') AS names,
+      string_agg(start_line || '-' || end_line, ',' ORDER BY start_line, type = 'unknown') AS lines,
+      md5(string_agg(raw, chr(10) ORDER BY start_line, type = 'unknown')) AS texts FROM blocks GROUP BY file"""),
     "c2_report": with_(DIFF, f"""SELECT schema, count(*) FILTER (change = 'removed_types') AS removed_types,
       count(*) FILTER (change = 'added_types') AS added_types, count(*) FILTER (change = 'removed_fields') AS removed_fields,
       count(*) FILTER (change = 'added_fields') AS added_fields, count(*) FILTER (change = 'deprecated_fields') AS deprecated_fields,
       any_value(a) AS old_fields, any_value(b) AS new_fields, printf('%+d', any_value(b) - any_value(a)) AS difference
       FROM changes JOIN (SELECT schema, count(*) FILTER (version = '{OLD}') AS a, count(*) FILTER (version = '{NEW}') AS b FROM fields GROUP BY schema)
       USING (schema) GROUP BY schema"""),
-    "c3_usage_drift": with_(USES, 'SELECT file, line, "column", level, message FROM drift_issues'),
+    "c3_usage_drift": with_(USES + INPUTS, """SELECT file, line, "column", level, message FROM drift_issues
+      UNION ALL SELECT * FROM input_issues"""),
     "c4_surface": " UNION ALL ".join(
         [f"SELECT * FROM ({defects(rows)})" for rows in G.values()]
         + [f"SELECT * FROM ({class_hits(M[rule])})" for rule in ("m1", "m2", "m3", "m4", "m5")]
@@ -678,7 +709,7 @@ class A' || c_custkey || '(BaseModel):
       UNION ALL SELECT 'OTHER' FROM blocks WHERE type IN ('fragment', 'subscription'))""", category_table("kinds")),
     "c7_dry_run": with_(ISSUES, """SELECT file, line, "column", message AS issue, fix,
       row_number() OVER (PARTITION BY file ORDER BY line, "column", message, fix) AS position FROM issues"""),
-    "c8_summary": with_(BLOCKS, """SELECT file, type, coalesce(name, 'None') AS name, start_line, end_line, md5(raw) AS shown,
+    "c8_summary": with_(ALL_BLOCKS, """SELECT file, type, coalesce(name, 'None') AS name, start_line, end_line, md5(raw) AS shown,
       CAST(0 AS BIGINT) AS left_out, row_number() OVER (PARTITION BY file ORDER BY start_line, CASE type WHEN 'unknown' THEN 1 ELSE 0 END) AS position
       FROM blocks"""),
     "flagship_drift_categories": with_(USES + ", kinds AS (SELECT kind AS category FROM drift_issues)", category_table("kinds")),

@@ -58,8 +58,9 @@ def harvested(spark: SparkSession, folder: str) -> jobs.Harvest:
     return _once(spark, folder, "harvest", make)
 
 
-def order_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    return harvested(spark, folder).blocks.filter("file LIKE 'src/%'")
+def all_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """The blocks of the Python sources and of the standalone documents."""
+    return harvested(spark, folder).blocks
 
 
 def schema(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -358,7 +359,7 @@ def _block_rows(blocks: DataFrame) -> DataFrame:
 
 @query("h17_defs")
 def h17(spark, folder):
-    return _block_rows(order_blocks(spark, folder).filter("error IS NULL"))
+    return _block_rows(all_blocks(spark, folder).filter("error IS NULL"))
 
 
 @query("h18_quotes")
@@ -373,7 +374,7 @@ def h18(spark, folder):
 @query("h20_errors")
 def h20(spark, folder):
     return longs(
-        order_blocks(spark, folder).filter("error IS NOT NULL").select(
+        all_blocks(spark, folder).filter("error IS NOT NULL").select(
             "file", "type", "name", "start_line", "end_line", md5("raw", "raw")
         )
     )
@@ -434,7 +435,7 @@ def h25(spark, folder):
 
 def _rooted(spark: SparkSession, folder: str) -> DataFrame:
     def make() -> DataFrame:
-        return stage(usage.rooted_blocks(order_blocks(spark, folder), *schema(spark, folder), OLD), "rooted")
+        return stage(usage.rooted_blocks(all_blocks(spark, folder), *schema(spark, folder), OLD), "rooted")
 
     return _once(spark, folder, "rooted", make)
 
@@ -511,11 +512,7 @@ def j8(spark, folder):
 @query("f10_headers")
 def f10(spark, folder):
     parts = usage.header(F.col("raw"))
-    return order_blocks(spark, folder).filter("error IS NULL").select("file", "type", *[v.alias(k) for k, v in parts.items()])
-
-
-def _document_blocks(spark, folder):
-    return harvested(spark, folder).blocks.filter("file LIKE 'gql/%'")
+    return all_blocks(spark, folder).filter("error IS NULL").select("file", "type", *[v.alias(k) for k, v in parts.items()])
 
 
 @query("j9_inputs")
@@ -523,7 +520,7 @@ def j9(spark, folder):
     types, _ = schema(spark, folder)
     return longs(
         usage.deprecated_inputs(
-            _document_blocks(spark, folder), types, derived.schema_args(spark, folder), derived.input_fields(spark, folder), OLD
+            all_blocks(spark, folder), types, derived.schema_args(spark, folder), derived.input_fields(spark, folder), OLD
         ).select("file", "line", "column", "level", "message")
     )
 
@@ -568,7 +565,7 @@ def j15(spark, folder):
 
 @query("j15_given_arguments")
 def j15_given(spark, folder):
-    blocks = _document_blocks(spark, folder).filter("error IS NULL")
+    blocks = all_blocks(spark, folder).filter("error IS NULL")
     found = tokens.selections(blocks, usage.BLOCK_KEY)
     fields = found.filter("kind = 'field'").select(*usage.BLOCK_KEY, "node", "name")
     return longs(surface.given_arguments(found).join(fields, [*usage.BLOCK_KEY, "node"]).select("file", "name", "arg", "line", "col"))
@@ -845,12 +842,12 @@ def g5_pages(spark, folder):
 
 @query("g10_parse_errors")
 def g10(spark, folder):
-    return longs(jobs.parse_issues(order_blocks(spark, folder)).drop("message"))
+    return longs(jobs.parse_issues(all_blocks(spark, folder)))
 
 
 @query("g11_located_parse_errors")
 def g11(spark, folder):
-    return longs(jobs.parse_issues(order_blocks(spark, folder), detailed=True).select("file", "line", "level", F.substring("message", 1, 15).alias("tag")))
+    return longs(jobs.parse_issues(all_blocks(spark, folder), detailed=True))
 
 
 @query("g12_unreadable")
@@ -897,7 +894,10 @@ def c1(spark, folder):
         F.coalesce(F.size("graphql"), F.lit(0)).cast("bigint").alias("n_blocks"),
         F.coalesce(F.size("pydantic_models"), F.lit(0)).cast("bigint").alias("n_models"),
         F.array_join(F.transform("graphql", lambda b: b["type"]), ",").alias("types"),
-    ).withColumn("types", F.coalesce("types", F.lit("")))
+        F.array_join(F.transform("graphql", lambda b: F.coalesce(b["name"], F.lit("-"))), ",").alias("names"),
+        F.array_join(F.transform("graphql", lambda b: F.concat(b["start_line"], F.lit("-"), b["end_line"])), ",").alias("lines"),
+        F.md5(F.array_join(F.transform("graphql", lambda b: b["raw"]), "\n")).alias("texts"),
+    )
 
 
 @query("c2_report")
@@ -908,9 +908,9 @@ def c2(spark, folder):
 @query("c3_usage_drift")
 def c3(spark, folder):
     types, fields = schema(spark, folder)
-    return longs(
-        jobs.usage_drift(order_blocks(spark, folder), types, fields, OLD, NEW).select("file", "line", "column", "level", "message")
-    )
+    args, inputs = derived.schema_args(spark, folder), derived.input_fields(spark, folder)
+    found = jobs.usage_drift(all_blocks(spark, folder), types, fields, OLD, NEW, args=args, inputs=inputs)
+    return longs(found.select("file", "line", "column", "level", "message"))
 
 
 @query("c4_surface")
@@ -926,7 +926,7 @@ def c5(spark, folder):
     h = harvested(spark, folder)
     none = h.models.filter("false")
     found = jobs.surface_check(
-        order_blocks(spark, folder), none, types, fields, derived.schema_args(spark, folder), OLD, NEW
+        all_blocks(spark, folder), none, types, fields, derived.schema_args(spark, folder), OLD, NEW
     )
     tag = F.regexp_extract("message", r"^\[(\w+)\]", 1)
     return longs(found.select("file", "line", "column", "level", tag.alias("tag")))
@@ -936,7 +936,7 @@ def c5(spark, folder):
 def c6(spark, folder):
     types, fields = schema(spark, folder)
     h = harvested(spark, folder)
-    drift = jobs.usage_drift(order_blocks(spark, folder), types, fields, OLD, NEW)
+    drift = stage(jobs.usage_drift(all_blocks(spark, folder), types, fields, OLD, NEW), "drift")
     linted = jobs.surface_lint(h.blocks, h.models)
     whole = jobs.validation([drift, linted, drift])
     return issues.category_counts(whole)
@@ -949,13 +949,13 @@ def c7(spark, folder):
 
 @query("c8_summary")
 def c8(spark, folder):
-    shown = jobs.extraction_summary(order_blocks(spark, folder))
+    shown = jobs.extraction_summary(all_blocks(spark, folder))
     return longs(shown.select("file", "type", "name", "start_line", "end_line", F.md5("shown").alias("shown"), "left_out", "position"))
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Files to drift issues by category, end to end from the tables."""
-    h = jobs.Harvest(derived.code_files(spark, folder))
+    h = jobs.Harvest(derived.code_files(spark, folder).unionByName(derived.document_files(spark, folder)))
     fields = stage(derived.schema_fields(spark, folder), "fields")
     drift = jobs.usage_drift(h.blocks, derived.schema_types(fields), fields, OLD, NEW)
     return issues.category_counts(drift)

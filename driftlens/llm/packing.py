@@ -87,7 +87,8 @@ def pack(
     """
     encoded = stage(encode_documents(docs, tokenizer, end_id, text, key), "packing")
     totals = encoded.groupBy("part").agg(F.sum("n_tokens").alias("part_tokens"))
-    placed = encoded.join(bases(encoded).join(totals, "part"), "part").select(
+    # One row of three numbers per input partition: small whatever the partitions hold, so the ids stay where they are.
+    placed = encoded.join(F.broadcast(bases(encoded).join(totals, "part")), "part").select(
         F.col(key), "part", "n_tokens", "ids", (F.col("base") + F.col("first")).alias("at"), "base", "part_tokens"
     )
     first, last = F.floor(F.col("at") / length), F.floor((F.col("at") + F.col("n_tokens") - 1) / length)

@@ -5,6 +5,7 @@ A text is a set of feature numbers below ``1 << bits``; the space bounds every m
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -50,14 +51,21 @@ def feature_rows(docs: DataFrame, extract: Extract, bits: int, text: str, label:
 
 def feature_counts(docs: DataFrame, extract: Extract, bits: int, text: str, label: str) -> tuple[np.ndarray, np.ndarray]:
     """The feature rows as two arrays over the feature space, which bounds what the driver receives."""
-    rows = feature_rows(docs, extract, bits, text, label).toPandas()
+    rows = feature_rows(docs, extract, bits, text, label).toArrow().to_pandas()
     ones, zeros = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
     ones[rows["f"]], zeros[rows["f"]] = rows["ones"], rows["zeros"]
     return ones, zeros
 
 
-def sample(docs: DataFrame, extract: Extract, text: str, key: str, rows: int, total: int, *carried: str) -> tuple[list, list]:
-    """Features and the carried columns of about ``rows`` rows of ``total``, chosen by a hash of the key."""
+def sample(docs: DataFrame, key: str, rows: int, total: int) -> DataFrame:
+    """About ``rows`` rows of ``total``, chosen by a hash of the key."""
+    share = min(1.0, rows / max(total, 1))
+    drawn = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1_000_000))
+    return docs.where(drawn < int(share * 1_000_000) + (share == 1.0))
+
+
+def gather(docs: DataFrame, extract: Extract, text: str, *carried: str) -> tuple[list, list]:
+    """Features and the carried columns of all rows of a bounded sample, in an order of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text):
@@ -66,12 +74,13 @@ def sample(docs: DataFrame, extract: Extract, text: str, key: str, rows: int, to
             rest = [batch.column(batch.schema.get_field_index(name)) for name in carried]
             yield pa.RecordBatch.from_arrays([packed, *rest], names=["features", *carried])
 
-    share = min(1.0, rows / max(total, 1))
-    chosen = docs.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000) + (share == 1.0))
-    types = dict(chosen.dtypes)
+    types = dict(docs.dtypes)
     schema = ", ".join(["features binary", *(f"`{name}` {types[name]}" for name in carried)])
-    found = chosen.select(text, *carried).mapInArrow(run, schema).orderBy(F.md5("features"), *carried).collect()
-    return [np.frombuffer(row[0], "<i4") for row in found], [tuple(row[1:]) for row in found]
+    table = docs.select(text, *carried).mapInArrow(run, schema).toArrow()
+    found = list(zip(*[table.column(name).to_pylist() for name in ("features", *carried)]))
+    # The same rows give the same model, whatever order they arrive in.
+    found.sort(key=lambda row: (hashlib.md5(row[0]).digest(), row[1:]))
+    return [np.frombuffer(row[0], "<i4") for row in found], [row[1:] for row in found]
 
 
 def sigmoid(x):
@@ -114,11 +123,22 @@ def apply(docs: DataFrame, extract: Extract, weights: np.ndarray, bias: float, t
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, score double")
 
 
+# Size of the bit map of labelled keys, in words of 64 bits: what is broadcast to leave out texts without a label.
+WORDS = 1 << 17
+
+
 def labelled(docs: DataFrame, labels: DataFrame, column: str, held_out: Column, text: str, key: str) -> DataFrame:
     """Texts to learn from: ``key, text, label`` with a label of 0 or 1, held-out rows left out.
 
-    A key with several label rows has the largest of them.
+    A key with several label rows has the largest of them. A bit map of hashed label keys, ``WORDS`` rows at most, drops
+    most texts without a label before the join deals them out; what it lets through wrongly, the join drops.
     """
     known = labels.where(F.col(column).isin(0, 1)).groupBy(F.col(key).alias("_key")).agg(F.max(column).cast("int").alias("_label"))
-    rows = docs.where(~held_out).select(F.col(key).alias("_of"), F.col(text).alias("_text"))
-    return rows.join(known, F.col("_of") == F.col("_key")).select(F.col("_of").alias("key"), F.col("_text").alias("text"), F.col("_label").alias("label"))
+    slot = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(WORDS * 64))
+    marks = known.select(slot("_key").alias("s")).groupBy((F.col("s") / 64).cast("int").alias("_word"))
+    marks = marks.agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("_bits"))
+    rows = docs.where(~held_out).select(F.col(key).alias("_of"), F.col(text).alias("_text")).withColumn("_s", slot("_of"))
+    near = rows.join(F.broadcast(marks), (F.col("_s") / 64).cast("int") == F.col("_word"))
+    near = near.where(F.expr("(shiftright(_bits, cast(_s % 64 as int)) & 1L) = 1L")).select("_of", "_text")
+    joined = near.join(known, F.col("_of") == F.col("_key"))
+    return joined.select(F.col("_of").alias("key"), F.col("_text").alias("text"), F.col("_label").alias("label"))

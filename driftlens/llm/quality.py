@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftlens.llm.common import fold, stage
-from driftlens.llm.linear import apply, feature_counts, labelled, platt, sample
+from driftlens.llm.linear import apply, feature_counts, gather, labelled, platt, sample
 from driftlens.llm.wordhash import mix, word_hashes
 
 BITS = 18
@@ -116,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, text: str = "tex
     rows = stage(labelled(docs, labels, label, held_out, text, key), "labelled")
     ones, zeros = feature_counts(rows, extract, BITS, "text", "label")
     total = rows.count()
-    found, carried = sample(rows, extract, "text", "key", SAMPLE_ROWS, total, "label")
+    found, carried = gather(sample(rows, "key", SAMPLE_ROWS, total), extract, "text", "label")
     y = np.array([c[0] for c in carried], np.int64)
     if len(set(y.tolist())) < 2:
         return None

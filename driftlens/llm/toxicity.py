@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftlens.llm.common import fold, pieces, stage, texts
-from driftlens.llm.linear import apply, feature_rows, labelled, sample, sigmoid
+from driftlens.llm.linear import apply, feature_rows, gather, labelled, sample, sigmoid
 from driftlens.llm.wordhash import mix, stretch_hashes
 
 # Common English insults.
@@ -189,19 +189,26 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, text: str = "tex
         return None
     lexicon, allowed = mine(feature_rows(rows, extract, BITS, "text", "label"), sizes[1], sizes[0])
     voters = rows.sparkSession.sparkContext.broadcast(Voters(lexicon))
+    kind = dict(rows.dtypes)["key"]
+
+    def masks(batch: pa.RecordBatch) -> pa.Array:
+        own = np.asarray(batch.column(batch.schema.get_field_index("label")), np.int64) << LABEL_VOTER
+        return pa.array(voters.value.vote(texts(batch, "text")) | own)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def only_masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            masks = voters.value.vote(texts(batch, "text"))
-            masks |= np.asarray(batch.column(batch.schema.get_field_index("label")), np.int64) << LABEL_VOTER
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(masks)], names=[*batch.schema.names, "mask"])
+            yield pa.RecordBatch.from_arrays([masks(batch)], names=["mask"])
 
-    kind = dict(rows.dtypes)["key"]
-    voted = stage(rows.mapInArrow(run, f"key {kind}, text string, label int, mask long"), "votes")
-    seen = voted.groupBy("mask").agg(F.count("*").alias("n")).toPandas().sort_values("mask")
+    def with_masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            yield pa.RecordBatch.from_arrays([*batch.columns, masks(batch)], names=[*batch.schema.names, "mask"])
+
+    # There are at most 2 ** VOTERS masks.
+    seen = rows.mapInArrow(only_masks, "mask long").groupBy("mask").agg(F.count("*").alias("n")).toArrow().to_pandas().sort_values("mask")
     posterior, _ = label_model(seen["mask"].to_numpy(), seen["n"].to_numpy(float), sizes[1] / (sizes[0] + sizes[1]))
     known = dict(zip(seen["mask"], posterior))
-    found, carried = sample(voted, extract, "text", "key", SAMPLE_ROWS, sizes[0] + sizes[1], "mask")
+    chosen = sample(rows, "key", SAMPLE_ROWS, sizes[0] + sizes[1])
+    found, carried = gather(chosen.mapInArrow(with_masks, f"key {kind}, text string, label int, mask long"), extract, "text", "mask")
     return fit(found, np.array([known[mask] for (mask,) in carried]), allowed)
 
 

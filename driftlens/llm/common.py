@@ -12,7 +12,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlens.session import shared_folder, stage
+from driftlens import session
+from driftlens.session import shared_folder
 
 # Words of all contracts: runs of anything but these six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,7 +23,24 @@ PIECE_BYTES = 1 << 20
 __all__ = ["WORD", "fold", "join_key", "open_folder", "pieces", "read", "run_folder", "stage", "texts"]
 
 
+# Rows of one Arrow batch where the session keeps Spark's default, which suits short rows: a batch of texts is held several
+# times over by the JVM and by Python.
+BATCH_KEY, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "500"
+
+
+def small_batches(spark: SparkSession) -> None:
+    if spark.conf.get(BATCH_KEY, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write a table to the shared folder and read it back."""
+    small_batches(df.sparkSession)
+    return session.stage(df, label)
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet")
 
 

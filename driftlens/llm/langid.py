@@ -228,7 +228,7 @@ class Model:
 def train(docs: DataFrame, text: str = "text", language: str = "lang") -> Model | None:
     """A model of the languages of all given texts; None if there are none."""
     known = docs.where(F.col(language).isNotNull())
-    rows = kneser_ney(gram_counts(known, text, language)).toPandas()
+    rows = kneser_ney(gram_counts(known, text, language)).toArrow().to_pandas()
     if rows["lang"].nunique() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     return Model(rows) if len(rows) else None
@@ -274,7 +274,7 @@ def with_rejection(scored: DataFrame, calibrating: Column) -> DataFrame:
     size = F.floor(F.log2("n_symbols"))
     rows = usable.groupBy("lang_pred", size.alias("size")).agg(
         F.count("*").alias("n"), F.avg("entropy").alias("mean"), F.avg("runner_up").alias("foreign"), F.var_pop("entropy").alias("var"), F.avg(1 / F.col("n_symbols")).alias("inverse")
-    ).toPandas()
+    ).toArrow().to_pandas()
     limit, middle = F.lit(None).cast("double"), F.lit(None).cast("double")
     for name, part in rows.groupby("lang_pred"):
         mean = np.average(part["mean"], weights=part["n"])

@@ -87,26 +87,28 @@ def parse_issues(blocks: DataFrame, detailed: bool = False) -> DataFrame:
 
 
 def file_issues(bad_files: DataFrame) -> DataFrame:
-    """Files that could not be read."""
+    """Files that could not be read; ``problem`` says why, without it their text is not valid UTF-8."""
+    why = F.col("problem") if "problem" in bad_files.columns else F.lit("the text is not valid UTF-8")
     return bad_files.select(
         "file",
         F.lit(1).alias("line"),
         F.lit(1).alias("column"),
         F.lit("error").alias("level"),
-        F.lit("[VALIDATION_ERROR] File processing error: the text is not valid UTF-8").alias("message"),
+        F.concat(F.lit("[VALIDATION_ERROR] File processing error: "), why).alias("message"),
     )
 
 
-def surface_lint(blocks: DataFrame, models: DataFrame) -> DataFrame:
-    """Pattern rules over blocks and models, and blocks that do not parse; no schema needed."""
+def surface_lint(blocks: DataFrame, models: DataFrame, bad_files: DataFrame | None = None) -> DataFrame:
+    """Pattern rules over blocks and models, blocks that do not parse, and files that could not be read; no schema needed."""
     good = blocks.filter(F.col("error").isNull())
-    return _union(
-        [
-            parse_issues(blocks),
-            lint.lint_operations(good, ["file"]).select(*ISSUE),
-            lint.lint_models(models, ["file"]).select(*ISSUE),
-        ]
-    )
+    parts = [
+        parse_issues(blocks),
+        lint.lint_operations(good, ["file"]).select(*ISSUE),
+        lint.lint_models(models, ["file"]).select(*ISSUE),
+    ]
+    if bad_files is not None:
+        parts.append(file_issues(bad_files))
+    return _union(parts)
 
 
 def surface_check(
@@ -118,23 +120,28 @@ def surface_check(
     old: str,
     new: str,
     defined: DataFrame | None = None,
+    bad_files: DataFrame | None = None,
 ) -> DataFrame:
-    """Surface checks against the old schema, with drift issues, pattern rules and model rules."""
+    """Surface checks against the old schema, with drift issues, pattern rules, model rules and unreadable files.
+
+    Pattern rules look at texts that do not parse as well. ``defined`` holds the definitions with their repeats, where
+    operations without a name are looked for; without it the blocks do.
+    """
     rooted = stage(usage.rooted_blocks(blocks, types, fields, old), "rooted")
     every = stage(usage.block_selections(rooted), "selections")
     drift = stage(usage.drift_of(every, types, fields, old, new), "drift")
     found = surface.client_selections(every)
-    good = rooted.filter(F.col("error").isNull())
     checked = argument_check(found, types, fields, args, old)
     parts = [
         surface.classified(checked).select(*ISSUE),
         surface.missing_fragment_types(found, types, old),
         surface.missing_fragment_fields(found, types, fields, old),
         parse_issues(blocks, detailed=True),
-        lint.lint_operations(good, ["file"]).select(*ISSUE),
+        lint.lint_operations(rooted, ["file"]).select(*ISSUE),
+        surface.unnamed_operations(blocks if defined is None else defined),
     ]
-    if defined is not None:
-        parts.append(surface.unnamed_operations(defined))
+    if bad_files is not None:
+        parts.append(file_issues(bad_files))
     general = surface.override(_union(parts), drift)
     return _union([drift.select(*ISSUE), general.select(*ISSUE), lint.lint_models(models, ["file"]).select(*ISSUE)])
 

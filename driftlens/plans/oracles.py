@@ -694,6 +694,7 @@ class A' || c_custkey || '(BaseModel):
         WHERE tpl = 6 AND type = 'query' AND NOT EXISTS (SELECT 1 FROM old_fields f WHERE f.schema = t.schema AND f.type_name = t.type_name
         AND f.field_name = 'f4')
       UNION ALL SELECT file, start_line, 1, 'error', 'GRAPHQL_PARSE' FROM blocks WHERE type = 'unknown'
+      UNION ALL SELECT file, start_line, 1, 'error', 'INVALID_OPERATION' FROM blocks WHERE tpl = 92
       UNION ALL SELECT file, start_line + 1, instr(raw, '... on'), 'error', 'GRAPHQL_INVALID_FRAGMENT' FROM blocks
         CROSS JOIN (VALUES (1), (2)) WHERE tpl = 6 AND type = 'query'
       UNION ALL SELECT file, start_line + 1, 1, 'warning', 'GRAPHQL_FRAGMENT_DEFINITION' FROM blocks WHERE type = 'fragment'

@@ -924,9 +924,8 @@ def c4(spark, folder):
 def c5(spark, folder):
     types, fields = schema(spark, folder)
     h = harvested(spark, folder)
-    none = h.models.filter("false")
     found = jobs.surface_check(
-        all_blocks(spark, folder), none, types, fields, derived.schema_args(spark, folder), OLD, NEW
+        h.blocks, h.models, types, fields, derived.schema_args(spark, folder), OLD, NEW, h.defined
     )
     tag = F.regexp_extract("message", r"^\[(\w+)\]", 1)
     return longs(found.select("file", "line", "column", "level", tag.alias("tag")))

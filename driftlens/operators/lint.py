@@ -96,6 +96,7 @@ def _needs_arguments(group: Callable[[int], Column]) -> Column:
     return F.lower(group(1)).isin(*NEED_ARGUMENTS)
 
 
+# The patterns, levels and words of these rules.
 OPERATION_RULES = (
     Rule("g1", "GRAPHQL_EXTRA_ARGUMENT", "error",
          r"(\w+)\s*\([^)]*(?:extraArg|unknownArg|invalidArg|testArg)[^)]*\)", "i",
@@ -201,6 +202,7 @@ def _pattern_rules(prefix: str, tag: str, level: str, flags: str, rows, about) -
     )
 
 
+# The patterns, levels and words of these rules.
 CONSTRAINT_RULES = _pattern_rules(
     "m2", "", "info", "",
     (
@@ -271,6 +273,7 @@ def _complex_found(kind: Column) -> Column:
     return _say(kind, " type found in model '", _model(), "' - verify type compatibility")
 
 
+# The patterns, levels and words of these rules.
 TYPE_RULE = Rule(
     "m6", "PYDANTIC_COMPLEX_TYPE", "info", r"(\w+)\s*:\s*(Union\[|List\[|Dict\[|Optional\[|Literal\[)", "",
     lambda g: _complex_found(F.substring_index(g(2), "[", 1)), shift=0,

@@ -69,14 +69,28 @@ def run_path(spark: SparkSession, label: str) -> str:
 def drop_run(spark: SparkSession) -> int:
     """Delete what the session has staged so far and return its size in bytes. For the end of a job, when its results
     are written."""
-    hadoop, freed = spark._jvm.org.apache.hadoop.fs, 0
-    for path in _runs.pop(spark.sparkContext.applicationId, []):
-        place = hadoop.Path(path)
-        system = place.getFileSystem(spark._jsc.hadoopConfiguration())
-        if system.exists(place):
-            freed += system.getContentSummary(place).getLength()
-            system.delete(place, True)
-    return freed
+    return sum(_delete(spark, path) for path in _runs.pop(spark.sparkContext.applicationId, []))
+
+
+def _delete(spark: SparkSession, path: str) -> int:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(place):
+        return 0
+    size = system.getContentSummary(place).getLength()
+    system.delete(place, True)
+    return size
+
+
+def discard(staged: DataFrame) -> None:
+    """Delete a staged table that nothing will read again, before its job ends."""
+    spark = staged.sparkSession
+    kept = _runs.get(spark.sparkContext.applicationId, [])
+    for folder in {file.rpartition("/")[0] for file in staged.inputFiles()}:
+        path = next((path for path in kept if folder.endswith(path.rpartition("/")[2])), None)
+        if path:
+            kept.remove(path)
+            _delete(spark, path)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

@@ -20,7 +20,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 # Text bytes an Arrow function works on at once; bounds its memory whatever the batch size of the session.
 PIECE_BYTES = 1 << 20
 
-__all__ = ["WORD", "fold", "join_key", "open_folder", "pieces", "read", "run_folder", "stage", "texts"]
+__all__ = ["WORD", "fold", "join_key", "open_folder", "pieces", "read", "run_folder", "stage", "texts", "with_keys"]
 
 
 # Rows of one Arrow batch where the session keeps Spark's default, which suits short rows: a batch of texts is held several
@@ -44,6 +44,25 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet")
 
 
+# Size of a bit map of keys, in words of 64 bits: a broadcast of as many rows at most.
+WORDS = 1 << 17
+
+
+def with_keys(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose key is among ``keys`` (one column, no repeats), and only those.
+
+    A bit map of hashed keys, of bounded size, drops most other rows before the join deals the rows out; what it lets
+    through wrongly, the join drops.
+    """
+    name = keys.columns[0]
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(WORDS * 64))
+    marks = keys.select(slot(F.col(name)).alias("s")).groupBy((F.col("s") / 64).cast("int").alias("_word"))
+    marks = marks.agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("_bits"))
+    near = rows.withColumn("_s", slot(F.col(key))).join(F.broadcast(marks), (F.col("_s") / 64).cast("int") == F.col("_word"))
+    near = near.where(F.expr("(shiftright(_bits, cast(_s % 64 as int)) & 1L) = 1L")).select(*rows.columns)
+    return near.join(keys.select(F.col(name).alias("_wanted")), F.col(key) == F.col("_wanted"), "left_semi")
+
+
 def run_folder(spark: SparkSession, label: str) -> str:
     """A new folder below the shared one."""
     return f"{shared_folder(spark).rstrip('/')}/driftlens/{label}-{uuid.uuid4().hex}"

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import pieces, texts
+from driftlens.llm.common import pieces, texts, with_keys
 
 # From UTF-8 texts to the owner of each feature and the feature; each pair once.
 Extract = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
@@ -123,22 +123,14 @@ def apply(docs: DataFrame, extract: Extract, weights: np.ndarray, bias: float, t
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, score double")
 
 
-# Size of the bit map of labelled keys, in words of 64 bits: what is broadcast to leave out texts without a label.
-WORDS = 1 << 17
-
-
 def labelled(docs: DataFrame, labels: DataFrame, column: str, held_out: Column, text: str, key: str) -> DataFrame:
     """Texts to learn from: ``key, text, label`` with a label of 0 or 1, held-out rows left out.
 
-    A key with several label rows has the largest of them. A bit map of hashed label keys, ``WORDS`` rows at most, drops
-    most texts without a label before the join deals them out; what it lets through wrongly, the join drops.
+    A key with several label rows has the largest of them. Most texts without a label are dropped before a join deals
+    texts out.
     """
     known = labels.where(F.col(column).isin(0, 1)).groupBy(F.col(key).alias("_key")).agg(F.max(column).cast("int").alias("_label"))
-    slot = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(WORDS * 64))
-    marks = known.select(slot("_key").alias("s")).groupBy((F.col("s") / 64).cast("int").alias("_word"))
-    marks = marks.agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("_bits"))
-    rows = docs.where(~held_out).select(F.col(key).alias("_of"), F.col(text).alias("_text")).withColumn("_s", slot("_of"))
-    near = rows.join(F.broadcast(marks), (F.col("_s") / 64).cast("int") == F.col("_word"))
-    near = near.where(F.expr("(shiftright(_bits, cast(_s % 64 as int)) & 1L) = 1L")).select("_of", "_text")
+    rows = docs.where(~held_out).select(F.col(key).alias("_of"), F.col(text).alias("_text"))
+    near = with_keys(rows, "_of", known.select("_key"))
     joined = near.join(known, F.col("_of") == F.col("_key"))
     return joined.select(F.col("_of").alias("key"), F.col("_text").alias("text"), F.col("_label").alias("label"))

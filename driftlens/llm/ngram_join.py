@@ -9,7 +9,7 @@ different bits, is at most the size of the symmetric difference. A similarity of
   well, with ``d + 1 + e`` blocks for the band's ``d``: two similar sets agree in ``1 + e`` blocks at least (pigeonhole).
   Agreement in blocks without tokens says nothing, so these are left out, but for sets with more than ``e`` of them.
 * Equal sets are one class with one representative. Representatives with an equal block meet in a bucket.
-* First, neighbours in a bucket, by size, are verified: as many pairs as rows. Most of a group of near copies becomes one
+* First, neighbours in a bucket, by id, are verified: as many pairs as rows. Most of a group of near copies becomes one
   component by that. Then pairs of a bucket in different components are verified, the rest of what could change a
   component. Bit sketches drop pairs inside the join that cannot be similar. So every link between different texts is
   either verified or lies inside a component, and no group of copies is expanded into its pairs.
@@ -31,9 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from driftlens.llm.common import pieces, stage, texts
+from driftlens.llm.common import pieces, stage, texts, with_keys
 from driftlens.llm.components import components
 from driftlens.llm.wordhash import mix, word_hashes
+from driftlens.session import discard
 
 BITS = 512
 BAND_RATIO = 1.3
@@ -166,13 +167,20 @@ def _near(a: str, b: str, p: int, q: int) -> Column:
     return (n1 * q >= n2 * p) & (n2 * q >= n1 * p) & (distance * (p + q) <= (n1 + n2) * (q - p))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets have a similarity of at least p/q."""
+def verified(pairs: DataFrame, texts_of: DataFrame, n: int, p: int, q: int) -> DataFrame:
+    """The pairs ``a, b`` of ids whose sets have a similarity of at least p/q, written down.
+
+    ``texts_of`` has ``id, text``; only the texts of the pairs are dealt out and made into sets.
+    """
+    ends = stage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ends")
+    sets = stage(shingles(with_keys(texts_of, "id", ends), n, "text", "id"), "sets")
     left = sets.select(F.col("id").alias("a"), F.col("grams").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("grams").alias("y"))
     common = F.size(F.array_intersect("x", "y")).cast("long")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("n"))
-    return both.where(F.col("c") * q >= (F.col("n") - F.col("c")) * p).select("a", "b")
+    found = stage(both.where(F.col("c") * q >= (F.col("n") - F.col("c")) * p).select("a", "b"), "links")
+    discard(sets)
+    return found
 
 
 def join(
@@ -180,25 +188,24 @@ def join(
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id``: the smallest id reachable over pairs with a Jaccard similarity of p/q."""
     profile = stage(profiles(docs, n, p, q, text, key), "profiles")
-    narrow = profile.select("id", "n", "h1", "h2")
+    narrow = stage(profile.select("id", "n", "h1", "h2"), "narrow")
     classes = narrow.where("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
     classes = stage(classes, "classes")
+    # Of equal sets only the representative goes on; the others are few or many, so only their ids are dealt out.
+    equal = stage(narrow.join(classes, ["n", "h1", "h2"]).where("id <> rep").select("id").distinct(), "equal")
     s = [F.element_at("bits", i + 1).alias(f"s{i}") for i in range(BITS // 64)]
-    reps = profile.where("n > 0").join(
-        classes.select(F.col("rep").alias("id"), "n", "h1", "h2"), ["id", "n", "h1", "h2"], "left_semi"
-    )
-    in_bucket = Window.partitionBy("bucket").orderBy("n", "id")
-    rows = reps.select("id", "n", F.explode("buckets").alias("bucket"))
+    reps = profile.where("n > 0 and id is not null").join(equal, "id", "left_anti")
+    in_bucket = Window.partitionBy("bucket").orderBy("id")
+    rows = reps.select("id", F.explode("buckets").alias("bucket"))
     beside = rows.select(
-        "bucket", "id", "n", F.lag("id").over(in_bucket).alias("before"), F.lead("id").over(in_bucket).alias("after")
+        "bucket", "id", F.lag("id").over(in_bucket).alias("before"), F.lead("id").over(in_bucket).alias("after")
     ).where("before is not null or after is not null")
-    shared = stage(beside.select("bucket", "id", "n", "before"), "buckets")
-
-    chosen = shared.select("id").distinct()
-    chosen_docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(chosen, "id", "left_semi")
-    sets = stage(shingles(chosen_docs, n, "text", "id"), "sets")
-    bits = stage(profile.where("n > 0").join(chosen, "id", "left_semi").select("id", "n", *s), "bits")
+    shared = stage(beside.select("bucket", "id", "before"), "buckets")
+    chosen = stage(shared.select("id").distinct(), "chosen")
+    bits = stage(with_keys(profile.where("n > 0").select("id", "n", *s), "id", chosen), "bits")
+    discard(profile)
 
+    texts_of = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     pairs = shared.where("before <> id").select(F.least("before", "id").alias("a"), F.greatest("before", "id").alias("b")).distinct()
     near = (
         pairs.join(bits.alias("x"), F.col("a") == F.col("x.id"))
@@ -207,7 +214,7 @@ def join(
         .select("a", "b")
         .distinct()
     )
-    links = stage(verified(near, sets, p, q), "links")
+    links = verified(stage(near, "near"), texts_of, n, p, q)
     joined = components(links)
 
     placed = shared.select("bucket", "id").join(joined, "id", "left").withColumn("c", F.coalesce("component", "id"))
@@ -219,7 +226,8 @@ def join(
         .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
         .distinct()
     )
-    more = stage(verified(across, sets, p, q), "links")
+    more = verified(stage(across, "across"), texts_of, n, p, q)
+    discard(open_rows)
     final = components(links.unionByName(more))
 
     member = narrow.join(classes, ["n", "h1", "h2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))

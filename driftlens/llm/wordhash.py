@@ -7,6 +7,8 @@ import numpy as np
 SPAN = 4096
 _WEIGHTS = np.random.default_rng(0x5EED).integers(1, 1 << 63, SPAN, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPANS = np.random.default_rng(0x5EED + 1).integers(1, 1 << 63, 1 << 12, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+# The first span has no factor, so a stretch has the same hash whatever other stretches lie beside it.
+_SPANS[0] = np.uint64(1)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from driftlens.llm import chat, langid, mixing, near_vectors, ngram_join, packing, quality, rules, tokenfile, toxicity
 from driftlens.llm.queries import VOCABULARY
+from driftlens.llm.wordhash import word_hashes
 
 LONG = " ".join(f"word{i % 9973} tail" for i in range(150_000))
 CLASHING = ["id", "key", "label", "n", "part", "size", "score", "bucket", "copies", "component", "_key", "_copies", "mask", "a", "b", "rep"]
@@ -112,6 +114,22 @@ def test_join(docs, none):
     assert ngram_join.join(none).count() == 0
 
 
+def test_join_of_copies_beside_a_long_word(spark, tmp_path):
+    copy = "one text of some words that stands here twice"
+    rows = [(1, copy), (2, "x" * 10_000), (3, "y " * 600_000), (4, copy)]
+    # One file in this order: the third text fills a piece of its own, so only the first copy shares one with a long word.
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).sortWithinPartitions("doc_id").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    found = {r["doc_id"]: r["component_id"] for r in ngram_join.join(docs, n=3, p=90, q=100).collect()}
+    assert found == {1: 1, 2: 2, 3: 3, 4: 1}
+
+
+def test_a_hash_depends_on_its_own_word_only():
+    words = [b"some", b"words", b"w" * 4096, b"v" * 4097, b"u" * 9000]
+    alone = [int(word_hashes(np.frombuffer(word, np.uint8))[2][0]) for word in words]
+    assert [int(h) for h in word_hashes(np.frombuffer(b" ".join(words), np.uint8))[2]] == alone
+
+
 def test_mixing(docs, none):
     rows = mixing.mix(docs).collect()
     assert len(rows) == 13 and sum(r["size"] for r in rows if r["doc_id"] in (1, 2, 3)) == 0

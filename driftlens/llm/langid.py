@@ -3,9 +3,9 @@
 Texts are letters in lower case, all else is white space. Each task counts the 4-grams of its training texts by
 language; Spark adds the counts, so the counts follow the whole corpus. The highest order is discounted from counts,
 lower ones from continuation counts, both taken from the table of 4-grams by grouping. What a model says of a gram or a
-context is stored under a hash of it, in arrays sorted by hash, one column per language. Hashes are folded to ``SLOTS``
-values, so a table has at most that many entries however much text it was learned from; two grams in one slot share
-the larger value. That and the number of languages bound what is broadcast.
+context is a row of a written table under a 64-bit hash of it, which grows with the corpus and is never gathered. The
+texts to score are dealt into chunks of about ``CHUNK_BYTES``; the distinct grams of each chunk are joined with the
+table, and each chunk is scored next to the rows found for it. A task thus holds one chunk and what its grams need.
 
 A text goes to the language with the lowest cross-entropy per character. Rejection is calibrated on the training texts:
 the spread of the cross-entropy about its language's mean is fitted as ``a + b / length``, and a text is rejected that
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -29,10 +30,14 @@ from pyspark.sql import functions as F
 
 from driftlens.llm.common import fold, pieces, stage, texts
 from driftlens.llm.wordhash import mix
+from driftlens.session import discard
 
 ORDER = 4
-SLOTS = 1 << 21
-MAX_LANGUAGES = 256
+CHUNK_BYTES = 4 << 20
+# Values of one block of languages that are looked up at once.
+BLOCK_VALUES = 1 << 22
+# Probability of a symbol a language has never shown.
+UNSEEN = 1 / (1 << 21)
 SPACE = 0x20
 NONE = "und"
 # Share of training texts that may lie beyond the limit, and the least distance of the limit in spreads.
@@ -82,10 +87,6 @@ def gram_hash(columns: list[np.ndarray]) -> np.ndarray:
     return mix(h)
 
 
-def slot(columns: list[np.ndarray]) -> np.ndarray:
-    return (gram_hash(columns) % np.uint64(SLOTS)).astype(np.int32)
-
-
 def grams_of(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts of all 4-grams inside one text, the text of each, and the symbols."""
     signs, begins, _ = symbols(raws)
@@ -132,7 +133,7 @@ def gram_counts(docs: DataFrame, text: str, language: str) -> DataFrame:
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
-    """``lang, kind, slot, value``: natural logarithms of probabilities (kind 1..4) and of context weights (-1..-3)."""
+    """``lang, kind, gram, value``: natural logarithms of probabilities (kind 1..4) and of context weights (-1..-3)."""
     names = [f"c{j}" for j in range(ORDER)]
     by_order = {ORDER: stage(counts, "grams")}
     for k in range(ORDER - 1, 0, -1):
@@ -156,55 +157,77 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         p = (F.col("n") - F.col("d")) / F.col("total") + F.col("weight") * below
         lower = stage(joined.select("lang", *own, p.alias("p")), "probabilities")
         for kind, part, columns, value in ((k, lower, own, "p"), (1 - k, of_context, context, "weight")):
-            packed = F.array(*[F.col(c) for c in columns]) if columns else F.array(F.lit(-1))
-            parts.append(part.select("lang", F.lit(kind).alias("kind"), packed.alias("gram"), F.log(value).alias("value")))
+            if columns:
+                packed = F.array(*[F.col(c) for c in columns])
+                parts.append(part.select("lang", F.lit(kind).alias("kind"), packed.alias("gram"), F.log(value).alias("value")))
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
+    return every
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            frame = batch.to_pandas()
-            frame["slot"] = np.int32(0)
-            for kind, rows in frame.groupby("kind").groups.items():
-                if kind:
-                    grams = np.stack(frame.loc[rows, "gram"].to_numpy())
-                    frame.loc[rows, "slot"] = slot([grams[:, j] for j in range(grams.shape[1])])
-            yield pa.RecordBatch.from_pandas(frame[["lang", "kind", "slot", "value"]], preserve_index=False)
 
-    placed = every.mapInArrow(run, "lang string, kind int, slot int, value double")
-    return placed.groupBy("lang", "kind", "slot").agg(F.max("value").alias("value"))
+def table_of(rows: DataFrame, languages: list[str]) -> DataFrame:
+    """``gram, entries``: for each gram hash ``code, value`` of the languages that have it; the code is twice the language's
+    number for a probability, one more for a context weight."""
+    number = {name: i for i, name in enumerate(languages)}
 
-
-class Model:
-    """The tables of all languages: hashes in order, one column of values per language, NaN where a language has none."""
-
-    def __init__(self, rows: pd.DataFrame):
-        self.languages = sorted(rows["lang"].unique())
-        column = {name: i for i, name in enumerate(self.languages)}
-        self.tables = {}
-        for kind, part in rows.groupby("kind"):
-            slots, at = np.unique(part["slot"].to_numpy(), return_inverse=True)
-            values = np.full((len(slots), len(self.languages)), np.nan, np.float32)
-            values[at, part["lang"].map(column).to_numpy()] = part["value"].to_numpy()
-            self.tables[int(kind)] = (slots, values)
-
-    def _look(self, kind: int, columns: list[np.ndarray]) -> np.ndarray:
-        slots, values = self.tables[kind]
-        wanted = slot(columns) if columns else np.zeros(1, np.int32)
-        place = np.minimum(np.searchsorted(slots, wanted), len(slots) - 1)
-        found = values[place]
-        found[slots[place] != wanted] = np.nan
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind = batch.column(1).to_numpy()
+            lists = batch.column(2)
+            sizes, flat = np.abs(kind), lists.flatten().to_numpy()
+            begins, hashes = np.cumsum(sizes) - sizes, np.zeros(len(kind), np.uint64)
+            for size in np.unique(sizes):
+                at = np.flatnonzero(sizes == size)
+                hashes[at] = gram_hash([flat[begins[at] + j] for j in range(size)])
+            code = 2 * np.array([number[name] for name in batch.column(0).to_pylist()], np.int64) + (kind < 0)
+            columns = [pa.array(hashes.view(np.int64)), pa.array(code.astype(np.int32)), batch.column(3).cast(pa.float32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["gram", "code", "value"])
+
+    placed = rows.select("lang", "kind", "gram", "value").mapInArrow(run, "gram long, code int, value float")
+    return placed.groupBy("gram").agg(F.collect_list(F.struct("code", "value")).alias("entries"))
+
+
+class Found:
+    """The rows of the table for some grams: hashes in order, and the entries of each."""
+
+    def __init__(self, found: pa.Table, languages: int):
+        self.languages = languages
+        entries = found.column("entries").combine_chunks()
+        entries = pa.concat_arrays(entries.chunks) if isinstance(entries, pa.ChunkedArray) else entries
+        self.grams = found.column("gram").to_numpy().view(np.uint64)
+        self.sizes = np.diff(entries.offsets.to_numpy()).astype(np.int64)
+        flat = entries.flatten()
+        self.codes, self.values = flat.field("code").to_numpy(), flat.field("value").to_numpy()
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        order = np.argsort(self.grams)
+        self.grams, self.sizes, self.begins = self.grams[order], self.sizes[order], self.begins[order]
+
+    def _look(self, columns: list[np.ndarray], weights: bool, first: int, last: int) -> np.ndarray:
+        """A value for each gram and each language from ``first`` to before ``last``, NaN where a language has none."""
+        found = np.full((len(columns[0]), last - first), np.nan, np.float32)
+        if not len(self.grams):
+            return found
+        wanted = gram_hash(columns)
+        place = np.minimum(np.searchsorted(self.grams, wanted), len(self.grams) - 1)
+        hit = np.flatnonzero(self.grams[place] == wanted)
+        sizes = self.sizes[place[hit]]
+        at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.begins[place[hit]], sizes)
+        code, row = self.codes[at], np.repeat(hit, sizes)
+        own = np.flatnonzero(((code & 1) == int(weights)) & (code >> 1 >= first) & (code >> 1 < last))
+        found[row[own], (code[own] >> 1) - first] = self.values[at[own]]
         return found
 
-    def log_probability(self, columns: list[np.ndarray]) -> np.ndarray:
+    def log_probability(self, columns: list[np.ndarray], first: int = 0, last: int | None = None) -> np.ndarray:
         """Of the last symbol after the others, for each gram and language."""
-        unseen = np.float32(-np.log(SLOTS))
-        best = np.where(np.isnan(p := self._look(1, columns[-1:])), unseen, p)
+        last = self.languages if last is None else last
+        best = np.where(np.isnan(p := self._look(columns[-1:], False, first, last)), np.float32(np.log(UNSEEN)), p)
         for k in range(2, ORDER + 1):
             own = columns[ORDER - k :]
-            weight = self._look(1 - k, own[:-1])
-            p = self._look(k, own)
+            weight = self._look(own[:-1], True, first, last)
+            p = self._look(own, False, first, last)
             best = np.where(np.isnan(p), best + np.where(np.isnan(weight), np.float32(0), weight), p)
         return best
 
@@ -212,26 +235,59 @@ class Model:
         """Cross-entropy in bits per symbol for each text and language, and the number of symbols; 0 without letters."""
         at, of, signs = grams_of(raws)
         _, _, letters = symbols(raws)
-        sums = np.zeros((len(raws), len(self.languages)))
+        sums = np.zeros((len(raws), self.languages))
         counts = np.bincount(of, minlength=len(raws))
         if len(at):
-            columns = [signs[at + j] for j in range(ORDER)]
-            ids, distinct = pd.factorize(gram_hash(columns))
-            first = np.zeros(len(distinct), np.int64)
-            first[ids[::-1]] = np.arange(len(ids) - 1, -1, -1)
-            logs = self.log_probability([column[first] for column in columns])
-            for i in range(len(self.languages)):
-                sums[:, i] = np.bincount(of, weights=logs[ids, i], minlength=len(raws))
+            ids, columns = distinct_grams(signs, at)
+            block = max(1, BLOCK_VALUES // len(columns[0]))
+            for first in range(0, self.languages, block):
+                last = min(first + block, self.languages)
+                logs = self.log_probability(columns, first, last)
+                for i in range(first, last):
+                    sums[:, i] = np.bincount(of, weights=logs[ids, i - first], minlength=len(raws))
         return -sums / np.log(2) / np.maximum(counts, 1)[:, None], np.where(letters > 0, counts, 0)
 
 
+def distinct_grams(signs: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The number of each 4-gram among the distinct ones, and the columns of those."""
+    columns = [signs[at + j] for j in range(ORDER)]
+    ids, distinct = pd.factorize(gram_hash(columns))
+    first = np.zeros(len(distinct), np.int64)
+    first[ids[::-1]] = np.arange(len(ids) - 1, -1, -1)
+    return ids, [column[first] for column in columns]
+
+
+def needed(columns: list[np.ndarray]) -> np.ndarray:
+    """The distinct hashes of what the scores of 4-grams ask for: themselves, their ends, contexts and ends of those."""
+    hashes = [gram_hash(columns)]
+    for k in range(1, ORDER):
+        hashes += [gram_hash(columns[ORDER - k :]), gram_hash(columns[ORDER - 1 - k : ORDER - 1])]
+    return np.unique(np.concatenate(hashes))
+
+
+@dataclass
+class Model:
+    """The names of the languages and the written table of ``table_of``."""
+
+    languages: list[str]
+    table: DataFrame
+
+    def log_probability(self, columns: list[np.ndarray]) -> np.ndarray:
+        """Of the last symbol after the others, for each gram and language."""
+        grams = self.table.sparkSession.createDataFrame(pd.DataFrame({"gram": needed(columns).view(np.int64)}))
+        return Found(self.table.join(grams, "gram").toArrow(), len(self.languages)).log_probability(columns)
+
+
 def train(docs: DataFrame, text: str = "text", language: str = "lang") -> Model | None:
     """A model of the languages of all given texts; None if there are none."""
     known = docs.where(F.col(language).isNotNull())
-    rows = kneser_ney(gram_counts(known, text, language)).toArrow().to_pandas()
-    if rows["lang"].nunique() > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    return Model(rows) if len(rows) else None
+    rows = stage(kneser_ney(gram_counts(known, text, language)), "logarithms")
+    languages = sorted(row["lang"] for row in rows.where("kind = 1").select("lang").distinct().collect())
+    if not languages:
+        return None
+    model = Model(languages, stage(table_of(rows, languages), "model"))
+    discard(rows)
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -240,12 +296,23 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", key: str = "
     if model is None:
         empty = [F.lit(NONE).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("entropy"), F.lit(0.0).alias("runner_up"), F.lit(0).cast("long").alias("n_symbols")]
         return docs.select(key, *empty)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for batch in pieces(batches, text):
-            entropies, n = own.entropies(texts(batch, text))
+    languages = model.languages
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    chunk = F.pmod(F.xxhash64(key, text), F.lit(int(total // CHUNK_BYTES) + 1))
+    dealt = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), chunk.alias("chunk")).repartition("chunk")
+
+    def ask(rows: pa.Table) -> pa.Table:
+        own = np.zeros(0, np.uint64)
+        for batch in pieces(rows.to_batches(), "text"):
+            at, _, signs = grams_of(texts(batch, "text"))
+            if len(at):
+                own = np.union1d(own, needed(distinct_grams(signs, at)[1]))
+        return pa.table({"chunk": np.full(len(own), rows.column("chunk")[0].as_py(), np.int64), "gram": own.view(np.int64)})
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        own, made = Found(answers, len(languages)), []
+        for batch in pieces(rows.to_batches(), "text"):
+            entropies, n = own.entropies(texts(batch, "text"))
             best = entropies.argmin(axis=1)
             lowest = entropies[np.arange(len(n)), best]
             # Differences over at most 50 symbols: beyond that every score would be 1.
@@ -253,19 +320,28 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", key: str = "
             some = n > 0
             entropies[np.arange(len(n)), best] = FOREIGN
             others = entropies.min(axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(batch.schema.get_field_index(key)),
-                    pa.array([own.languages[i] if ok else NONE for i, ok in zip(best, some)], pa.string()),
-                    pa.array(np.where(some, 1 / weight, 0.0)),
-                    pa.array(np.where(some, lowest, 0.0)),
-                    pa.array(np.where(some, others, 0.0)),
-                    pa.array(n.astype(np.int64)),
-                ],
-                names=[key, "lang_pred", "score", "entropy", "runner_up", "n_symbols"],
+            made.append(
+                pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(batch.schema.get_field_index("key")),
+                        pa.array([languages[i] if ok else NONE for i, ok in zip(best, some)], pa.string()),
+                        pa.array(np.where(some, 1 / weight, 0.0)),
+                        pa.array(np.where(some, lowest, 0.0)),
+                        pa.array(np.where(some, others, 0.0)),
+                        pa.array(n.astype(np.int64)),
+                    ],
+                    names=[key, "lang_pred", "score", "entropy", "runner_up", "n_symbols"],
+                )
             )
-
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, entropy double, runner_up double, n_symbols long")
+        schema = pa.schema(
+            [(key, rows.schema.field("key").type), ("lang_pred", pa.string()), ("score", pa.float64()), ("entropy", pa.float64()), ("runner_up", pa.float64()), ("n_symbols", pa.int64())]
+        )
+        return pa.Table.from_batches(made, schema)
+
+    asked = dealt.groupBy("chunk").applyInArrow(ask, "chunk long, gram long")
+    answers = asked.join(model.table, "gram").select("chunk", "gram", "entries")
+    result = f"`{key}` {kind}, lang_pred string, score double, entropy double, runner_up double, n_symbols long"
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, result)
 
 
 def with_rejection(scored: DataFrame, calibrating: Column) -> DataFrame:

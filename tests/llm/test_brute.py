@@ -117,6 +117,24 @@ def test_kneser_ney_sums_to_one(spark):
         assert 0.9 < total <= 1.0 + 1e-6
 
 
+def test_every_gram_keeps_its_own_probability_among_many_languages(spark):
+    rng = random.Random(4)
+    signs = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)]
+    rows = [("".join(rng.choice(signs) for _ in range(100_000)), "many")] + [(f"{a}{b} ", f"l{a}{b}") for a in "abcdefghijklmnopq" for b in "abcdefghijklmnopq"]
+    docs = spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    many = model.languages.index("many")
+    assert len(model.languages) == 290
+    # A 4-gram with an unseen context goes back to the last two symbols at most, whatever else is learned.
+    unseen = [np.array([ord(rng.choice(signs)) for _ in range(2000)], np.uint32) for _ in range(4)]
+    seen = {rows[0][0][i : i + 2] for i in range(len(rows[0][0]) - 1)}
+    new = np.array([chr(a) + chr(b) not in seen for a, b in zip(unseen[2], unseen[3])])
+    alone = model.log_probability(unseen)[:, many]
+    assert new.sum() > 1000 and alone[new].max() < np.log(0.01)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.score(docs, model).collect()}
+    assert got == {i: row[1] for i, row in enumerate(rows)}
+
+
 def test_label_model_recovers_voters():
     rng = np.random.default_rng(2)
     y = rng.random(20000) < 0.1

@@ -7,9 +7,10 @@ context is a row of a written table under a 64-bit hash of it, which grows with
 texts to score are dealt into chunks of about ``CHUNK_BYTES``; the distinct grams of each chunk are joined with the
 table, and each chunk is scored next to the rows found for it. A task thus holds one chunk and what its grams need.
 
-A text goes to the language with the lowest cross-entropy per character. Rejection is calibrated on the training texts:
-the spread of the cross-entropy about its language's mean is fitted as ``a + b / length``, and a text is rejected that
-lies further out than nearly every training text does and is nearer to what texts of other languages score.
+A text goes to the language with the lowest cross-entropy per character. Rejection is calibrated on the training texts
+that are told right: the median deviation of the cross-entropy from its language's median gives a spread, its square is
+fitted as ``a + b / length``, and a text is rejected that lies ``MOST_SPREADS`` out and is nearer to what texts of other
+languages score. Medians hold still as long as fewer than half of those texts are odd.
 
 Defined results: null and empty texts and texts without a letter are ``und`` with score 0 and are rejected; ties go to the
 first language in order; equal rows count each; rows without a language are not learned from; with no training text at
@@ -40,8 +41,8 @@ BLOCK_VALUES = 1 << 22
 UNSEEN = 1 / (1 << 21)
 SPACE = 0x20
 NONE = "und"
-# Share of training texts that may lie beyond the limit, and the least distance of the limit in spreads.
-BEYOND, LEAST_SPREADS, MARGIN = 1e-4, 6.0, 1.5
+# Distance of the limit from a language's median in spreads, and the spread of a normal law for a median deviation of 1.
+MOST_SPREADS, NORMAL = 6.0, 1.4826
 # Bits per symbol that stand for another language where only one was learned.
 FOREIGN = 8.0
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -290,16 +291,17 @@ def train(docs: DataFrame, text: str = "text", language: str = "lang") -> Model
     return model
 
 
-def score(docs: DataFrame, model: Model | None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The key and ``lang_pred, score, entropy, runner_up, n_symbols`` of each text."""
+def score(docs: DataFrame, model: Model | None, text: str = "text", key: str = "doc_id", language: str | None = None) -> DataFrame:
+    """The key and ``given, lang_pred, score, entropy, runner_up, n_symbols`` of each text; ``given`` is its ``language``."""
     kind = dict(docs.dtypes)[key]
+    given = (F.col(language) if language else F.lit(None)).cast("string").alias("given")
     if model is None:
         empty = [F.lit(NONE).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("entropy"), F.lit(0.0).alias("runner_up"), F.lit(0).cast("long").alias("n_symbols")]
-        return docs.select(key, *empty)
+        return docs.select(key, given, *empty)
     languages = model.languages
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     chunk = F.pmod(F.xxhash64(key, text), F.lit(int(total // CHUNK_BYTES) + 1))
-    dealt = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), chunk.alias("chunk")).repartition("chunk")
+    dealt = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), given, chunk.alias("chunk")).repartition("chunk")
 
     def ask(rows: pa.Table) -> pa.Table:
         own = np.zeros(0, np.uint64)
@@ -324,55 +326,60 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", key: str = "
                 pa.RecordBatch.from_arrays(
                     [
                         batch.column(batch.schema.get_field_index("key")),
+                        batch.column(batch.schema.get_field_index("given")),
                         pa.array([languages[i] if ok else NONE for i, ok in zip(best, some)], pa.string()),
                         pa.array(np.where(some, 1 / weight, 0.0)),
                         pa.array(np.where(some, lowest, 0.0)),
                         pa.array(np.where(some, others, 0.0)),
                         pa.array(n.astype(np.int64)),
                     ],
-                    names=[key, "lang_pred", "score", "entropy", "runner_up", "n_symbols"],
+                    names=[key, "given", "lang_pred", "score", "entropy", "runner_up", "n_symbols"],
                 )
             )
         schema = pa.schema(
-            [(key, rows.schema.field("key").type), ("lang_pred", pa.string()), ("score", pa.float64()), ("entropy", pa.float64()), ("runner_up", pa.float64()), ("n_symbols", pa.int64())]
+            [(key, rows.schema.field("key").type), ("given", rows.schema.field("given").type), ("lang_pred", pa.string()), ("score", pa.float64()), ("entropy", pa.float64()), ("runner_up", pa.float64()), ("n_symbols", pa.int64())]
         )
         return pa.Table.from_batches(made, schema)
 
     asked = dealt.groupBy("chunk").applyInArrow(ask, "chunk long, gram long")
     answers = asked.join(model.table, "gram").select("chunk", "gram", "entries")
-    result = f"`{key}` {kind}, lang_pred string, score double, entropy double, runner_up double, n_symbols long"
+    result = f"`{key}` {kind}, given string, lang_pred string, score double, entropy double, runner_up double, n_symbols long"
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, result)
 
 
 def with_rejection(scored: DataFrame, calibrating: Column) -> DataFrame:
     """Adds ``rejected``; ``scored`` must be written already, ``calibrating`` marks the rows the limit is fitted on."""
     usable = scored.where(calibrating & (F.col("n_symbols") > 0))
-    size = F.floor(F.log2("n_symbols"))
-    rows = usable.groupBy("lang_pred", size.alias("size")).agg(
-        F.count("*").alias("n"), F.avg("entropy").alias("mean"), F.avg("runner_up").alias("foreign"), F.var_pop("entropy").alias("var"), F.avg(1 / F.col("n_symbols")).alias("inverse")
+    half = lambda c: F.percentile_approx(c, 0.5, 10_000)
+    rows = usable.groupBy("lang_pred").agg(half("entropy").alias("mean"), half("runner_up").alias("foreign")).toArrow().to_pandas()
+    if not len(rows):
+        return scored.withColumn("spreads", F.lit(None).cast("double")).withColumn("rejected", F.col("lang_pred") == NONE)
+    about = F.abs(F.col("entropy") - F.col("mean"))
+    spreads = usable.join(F.broadcast(scored.sparkSession.createDataFrame(rows)), "lang_pred")
+    spreads = spreads.groupBy("lang_pred", F.floor(F.log2("n_symbols")).alias("size")).agg(
+        F.count("*").alias("n"), half(about).alias("mad"), F.avg(1 / F.col("n_symbols")).alias("inverse")
     ).toArrow().to_pandas()
-    limit, middle = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for name, part in rows.groupby("lang_pred"):
-        mean = np.average(part["mean"], weights=part["n"])
-        about = part["var"] + (part["mean"] - mean) ** 2
-        design = np.stack([np.ones(len(part)), part["inverse"]], axis=1) * np.sqrt(part["n"].to_numpy())[:, None]
-        a, b = np.linalg.lstsq(design, about * np.sqrt(part["n"]), rcond=None)[0] if len(part) > 1 else (about.iloc[0], 0.0)
-        own = F.sqrt(F.lit(max(float(a), 1e-4)) + F.lit(max(float(b), 0.0)) / F.greatest("n_symbols", F.lit(1)))
-        half = (mean + np.average(part["foreign"], weights=part["n"])) / 2
-        middle = F.when(F.col("lang_pred") == name, F.lit(float(half))).otherwise(middle)
-        limit = F.when(F.col("lang_pred") == name, (F.col("entropy") - float(mean)) / own).otherwise(limit)
-    marked = scored.withColumn("spreads", limit)
-    far = marked.where(calibrating & (F.col("n_symbols") > 0)).agg(F.percentile_approx("spreads", 1 - BEYOND, 100_000).alias("far")).first()["far"]
-    most = max(LEAST_SPREADS, MARGIN * (far or 0.0))
-    outside = (F.coalesce("spreads", F.lit(0.0)) > most) & (F.col("entropy") > middle)
-    return marked.withColumn("rejected", (F.col("lang_pred") == NONE) | F.coalesce(outside, F.lit(False)))
+    fitted = {}
+    for name, part in spreads.groupby("lang_pred"):
+        squares, weight = (NORMAL * part["mad"].to_numpy()) ** 2, np.sqrt(part["n"].to_numpy())
+        design = np.stack([np.ones(len(part)), part["inverse"]], axis=1) * weight[:, None]
+        a, b = np.linalg.lstsq(design, squares * weight, rcond=None)[0] if len(part) > 1 else (squares[0], 0.0)
+        fitted[name] = max(float(a), 1e-4), max(float(b), 0.0)
+    rows["a"], rows["b"] = ([fitted[name][i] for name in rows["lang_pred"]] for i in (0, 1))
+    limits = scored.sparkSession.createDataFrame(rows)
+    own = F.sqrt(F.col("a") + F.col("b") / F.greatest("n_symbols", F.lit(1)))
+    marked = scored.join(F.broadcast(limits), "lang_pred", "left").withColumn("spreads", (F.col("entropy") - F.col("mean")) / own)
+    outside = (F.col("spreads") > MOST_SPREADS) & (F.col("entropy") > (F.col("mean") + F.col("foreign")) / 2)
+    rejected = (F.col("lang_pred") == NONE) | F.coalesce(outside, F.lit(False))
+    return marked.withColumn("rejected", rejected).drop("mean", "foreign", "a", "b")
 
 
 def identify(docs: DataFrame, held_out: Column, text: str = "text", language: str = "lang", key: str = "doc_id") -> DataFrame:
     """The key and ``held_out, lang_pred, score, rejected, entropy`` of each text, learned from the rows not held out."""
     model = train(docs.where(~held_out), text, language)
-    scored = stage(score(docs, model, text, key).withColumn("held_out", held_out), "languages")
-    return with_rejection(scored, ~F.col("held_out")).select(key, "held_out", "lang_pred", "score", "rejected", "entropy", "n_symbols")
+    scored = stage(score(docs, model, text, key, language).withColumn("held_out", held_out), "languages")
+    right = ~F.col("held_out") & F.coalesce(F.col("given") == F.col("lang_pred"), F.lit(False))
+    return with_rejection(scored, right).select(key, "held_out", "lang_pred", "score", "rejected", "entropy", "n_symbols")
 
 
 def held_out(key: str = "doc_id") -> Column:

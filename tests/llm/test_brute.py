@@ -135,6 +135,16 @@ def test_every_gram_keeps_its_own_probability_among_many_languages(spark):
     assert got == {i: row[1] for i, row in enumerate(rows)}
 
 
+def test_texts_in_an_unlearned_language_are_rejected(spark):
+    rng = random.Random(8)
+    words = {lang: ["".join(rng.choice(signs) for _ in range(rng.randrange(3, 8))) for _ in range(60)] for lang, signs in (("x", "abcdefgh"), ("y", "mnopqrst"), (None, "αβγδεζηθ"))}
+    langs = [None if i % 100 == 7 else "xy"[i % 2] for i in range(1000)]
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(rng.randrange(20, 200))), lang) for i, lang in enumerate(langs)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r["rejected"] for r in langid.identify(docs, langid.held_out()).collect()}
+    assert {i for i, rejected in found.items() if rejected} == {i for i, lang in enumerate(langs) if lang is None}
+
+
 def test_label_model_recovers_voters():
     rng = np.random.default_rng(2)
     y = rng.random(20000) < 0.1

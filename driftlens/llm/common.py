@@ -44,23 +44,23 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet")
 
 
-# Size of a bit map of keys, in words of 64 bits: a broadcast of as many rows at most.
-WORDS = 1 << 17
+# Rows of a broadcast bit map of keys, of 64 bits each: as many as four keys to a row ask for, within these bounds.
+WORDS = (1 << 10, 1 << 20)
 
 
 def with_keys(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """The rows whose key is among ``keys`` (one column, no repeats), and only those.
+    """The rows whose key may be among ``keys`` (one column, no repeats); the caller joins exactly afterwards.
 
-    A bit map of hashed keys, of bounded size, drops most other rows before the join deals the rows out; what it lets
-    through wrongly, the join drops.
+    A bit map of hashed keys drops most other rows before a join deals the rows out: all but one in sixteen as long as the map
+    may grow with the keys, which it does up to a fixed size.
     """
     name = keys.columns[0]
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(WORDS * 64))
+    words = min(max(WORDS[0], 1 << (keys.count() // 4).bit_length()), WORDS[1])
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(words * 64))
     marks = keys.select(slot(F.col(name)).alias("s")).groupBy((F.col("s") / 64).cast("int").alias("_word"))
     marks = marks.agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("_bits"))
     near = rows.withColumn("_s", slot(F.col(key))).join(F.broadcast(marks), (F.col("_s") / 64).cast("int") == F.col("_word"))
-    near = near.where(F.expr("(shiftright(_bits, cast(_s % 64 as int)) & 1L) = 1L")).select(*rows.columns)
-    return near.join(keys.select(F.col(name).alias("_wanted")), F.col(key) == F.col("_wanted"), "left_semi")
+    return near.where(F.expr("(shiftright(_bits, cast(_s % 64 as int)) & 1L) = 1L")).select(*rows.columns)
 
 
 def run_folder(spark: SparkSession, label: str) -> str:

@@ -3,9 +3,8 @@
 Texts are letters in lower case, all else is white space. Each task counts the 4-grams of its training texts by
 language; Spark adds the counts, so the counts follow the whole corpus. The highest order is discounted from counts,
 lower ones from continuation counts, both taken from the table of 4-grams by grouping. What a model says of a gram or a
-context is a row of a written table under a 64-bit hash of it, which grows with the corpus and is never gathered. The
-texts to score are dealt into chunks of about ``CHUNK_BYTES``; the distinct grams of each chunk are joined with the
-table, and each chunk is scored next to the rows found for it. A task thus holds one chunk and what its grams need.
+context lies under a 64-bit hash of it in sorted arrays, files in the shared folder that grow with the corpus and are never
+gathered. The tasks that read the texts look the distinct grams of each piece up there by binary search; no text is dealt out.
 
 A text goes to the language with the lowest cross-entropy per character. Rejection is calibrated on the training texts
 that are told right: the median deviation of the cross-entropy from its language's median gives a spread, its square is
@@ -29,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftlens.llm import hashfiles
 from driftlens.llm.common import fold, pieces, stage, texts
 from driftlens.llm.wordhash import mix
 from driftlens.session import discard
 
 ORDER = 4
-CHUNK_BYTES = 4 << 20
 # Values of one block of languages that are looked up at once.
 BLOCK_VALUES = 1 << 22
 # Probability of a symbol a language has never shown.
@@ -88,14 +87,14 @@ def gram_hash(columns: list[np.ndarray]) -> np.ndarray:
     return mix(h)
 
 
-def grams_of(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of all 4-grams inside one text, the text of each, and the symbols."""
-    signs, begins, _ = symbols(raws)
+def grams_of(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of all 4-grams inside one text, the text of each, the symbols, and the number of letters of each text."""
+    signs, begins, letters = symbols(raws)
     sizes = np.diff(np.append(begins, len(signs))) - (ORDER - 1)
     sizes[sizes < 0] = 0
     text = np.repeat(np.arange(len(raws)), sizes)
     at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(begins, sizes)
-    return at, text, signs
+    return at, text, signs, letters
 
 
 def gram_counts(docs: DataFrame, text: str, language: str) -> DataFrame:
@@ -110,7 +109,7 @@ def gram_counts(docs: DataFrame, text: str, language: str) -> DataFrame:
         for batch in pieces(batches, text):
             langs = batch.column(batch.schema.get_field_index(language)).to_pylist()
             code, names = pd.factorize(np.array(langs, object))
-            at, of, signs = grams_of(texts(batch, text))
+            at, of, signs, _ = grams_of(texts(batch, text))
             if not len(at):
                 continue
             columns = [signs[at + j] for j in range(ORDER)]
@@ -168,8 +167,8 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
 
 
 def table_of(rows: DataFrame, languages: list[str]) -> DataFrame:
-    """``gram, entries``: for each gram hash ``code, value`` of the languages that have it; the code is twice the language's
-    number for a probability, one more for a context weight."""
+    """``gram, code, value``: a row for each gram hash and language that has it; the code is twice the language's number for
+    a probability, one more for a context weight."""
     number = {name: i for i, name in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,24 +186,18 @@ def table_of(rows: DataFrame, languages: list[str]) -> DataFrame:
             columns = [pa.array(hashes.view(np.int64)), pa.array(code.astype(np.int32)), batch.column(3).cast(pa.float32())]
             yield pa.RecordBatch.from_arrays(columns, names=["gram", "code", "value"])
 
-    placed = rows.select("lang", "kind", "gram", "value").mapInArrow(run, "gram long, code int, value float")
-    return placed.groupBy("gram").agg(F.collect_list(F.struct("code", "value")).alias("entries"))
+    return rows.select("lang", "kind", "gram", "value").mapInArrow(run, "gram long, code int, value float")
 
 
 class Found:
-    """The rows of the table for some grams: hashes in order, and the entries of each."""
+    """The entries of the model for some grams: hashes in order, and the codes and values of each."""
 
-    def __init__(self, found: pa.Table, languages: int):
+    def __init__(self, reader: hashfiles.Reader, wanted: np.ndarray, languages: int):
         self.languages = languages
-        entries = found.column("entries").combine_chunks()
-        entries = pa.concat_arrays(entries.chunks) if isinstance(entries, pa.ChunkedArray) else entries
-        self.grams = found.column("gram").to_numpy().view(np.uint64)
-        self.sizes = np.diff(entries.offsets.to_numpy()).astype(np.int64)
-        flat = entries.flatten()
-        self.codes, self.values = flat.field("code").to_numpy(), flat.field("value").to_numpy()
-        self.begins = np.cumsum(self.sizes) - self.sizes
-        order = np.argsort(self.grams)
-        self.grams, self.sizes, self.begins = self.grams[order], self.sizes[order], self.begins[order]
+        signed = np.sort(wanted.view(np.int64))
+        sizes, (self.codes, self.values) = reader.find(signed)
+        order = np.argsort(signed.view(np.uint64))
+        self.grams, self.sizes, self.begins = signed.view(np.uint64)[order], sizes[order], (np.cumsum(sizes) - sizes)[order]
 
     def _look(self, columns: list[np.ndarray], weights: bool, first: int, last: int) -> np.ndarray:
         """A value for each gram and each language from ``first`` to before ``last``, NaN where a language has none."""
@@ -232,21 +225,22 @@ class Found:
             best = np.where(np.isnan(p), best + np.where(np.isnan(weight), np.float32(0), weight), p)
         return best
 
-    def entropies(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy in bits per symbol for each text and language, and the number of symbols; 0 without letters."""
-        at, of, signs = grams_of(raws)
-        _, _, letters = symbols(raws)
-        sums = np.zeros((len(raws), self.languages))
-        counts = np.bincount(of, minlength=len(raws))
-        if len(at):
-            ids, columns = distinct_grams(signs, at)
-            block = max(1, BLOCK_VALUES // len(columns[0]))
-            for first in range(0, self.languages, block):
-                last = min(first + block, self.languages)
-                logs = self.log_probability(columns, first, last)
-                for i in range(first, last):
-                    sums[:, i] = np.bincount(of, weights=logs[ids, i - first], minlength=len(raws))
-        return -sums / np.log(2) / np.maximum(counts, 1)[:, None], np.where(letters > 0, counts, 0)
+
+def entropies(reader: hashfiles.Reader, raws: list[bytes], languages: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cross-entropy in bits per symbol for each text and language, and the number of symbols; 0 without letters."""
+    at, of, signs, letters = grams_of(raws)
+    sums = np.zeros((len(raws), languages))
+    counts = np.bincount(of, minlength=len(raws))
+    if len(at):
+        ids, columns = distinct_grams(signs, at)
+        found = Found(reader, needed(columns), languages)
+        block = max(1, BLOCK_VALUES // len(columns[0]))
+        for first in range(0, languages, block):
+            last = min(first + block, languages)
+            logs = found.log_probability(columns, first, last)
+            for i in range(first, last):
+                sums[:, i] = np.bincount(of, weights=logs[ids, i - first], minlength=len(raws))
+    return -sums / np.log(2) / np.maximum(counts, 1)[:, None], np.where(letters > 0, counts, 0)
 
 
 def distinct_grams(signs: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -268,15 +262,14 @@ def needed(columns: list[np.ndarray]) -> np.ndarray:
 
 @dataclass
 class Model:
-    """The names of the languages and the written table of ``table_of``."""
+    """The names of the languages and the written rows of ``table_of``."""
 
     languages: list[str]
-    table: DataFrame
+    files: hashfiles.HashFiles
 
     def log_probability(self, columns: list[np.ndarray]) -> np.ndarray:
         """Of the last symbol after the others, for each gram and language."""
-        grams = self.table.sparkSession.createDataFrame(pd.DataFrame({"gram": needed(columns).view(np.int64)}))
-        return Found(self.table.join(grams, "gram").toArrow(), len(self.languages)).log_probability(columns)
+        return Found(self.files.reader(), needed(columns), len(self.languages)).log_probability(columns)
 
 
 def train(docs: DataFrame, text: str = "text", language: str = "lang") -> Model | None:
@@ -286,7 +279,7 @@ def train(docs: DataFrame, text: str = "text", language: str = "lang") -> Model
     languages = sorted(row["lang"] for row in rows.where("kind = 1").select("lang").distinct().collect())
     if not languages:
         return None
-    model = Model(languages, stage(table_of(rows, languages), "model"))
+    model = Model(languages, hashfiles.write(table_of(rows, languages), "model"))
     discard(rows)
     return model
 
@@ -298,53 +291,34 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", key: str = "
     if model is None:
         empty = [F.lit(NONE).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("entropy"), F.lit(0.0).alias("runner_up"), F.lit(0).cast("long").alias("n_symbols")]
         return docs.select(key, given, *empty)
-    languages = model.languages
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    chunk = F.pmod(F.xxhash64(key, text), F.lit(int(total // CHUNK_BYTES) + 1))
-    dealt = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), given, chunk.alias("chunk")).repartition("chunk")
-
-    def ask(rows: pa.Table) -> pa.Table:
-        own = np.zeros(0, np.uint64)
-        for batch in pieces(rows.to_batches(), "text"):
-            at, _, signs = grams_of(texts(batch, "text"))
-            if len(at):
-                own = np.union1d(own, needed(distinct_grams(signs, at)[1]))
-        return pa.table({"chunk": np.full(len(own), rows.column("chunk")[0].as_py(), np.int64), "gram": own.view(np.int64)})
-
-    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        own, made = Found(answers, len(languages)), []
-        for batch in pieces(rows.to_batches(), "text"):
-            entropies, n = own.entropies(texts(batch, "text"))
-            best = entropies.argmin(axis=1)
-            lowest = entropies[np.arange(len(n)), best]
+    languages, files = model.languages, model.files
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = files.reader()
+        for batch in pieces(batches, "text"):
+            bits, n = entropies(reader, texts(batch, "text"), len(languages))
+            best = bits.argmin(axis=1)
+            lowest = bits[np.arange(len(n)), best]
             # Differences over at most 50 symbols: beyond that every score would be 1.
-            weight = np.exp2(-(entropies - lowest[:, None]) * np.minimum(n, 50)[:, None]).sum(axis=1)
+            weight = np.exp2(-(bits - lowest[:, None]) * np.minimum(n, 50)[:, None]).sum(axis=1)
             some = n > 0
-            entropies[np.arange(len(n)), best] = FOREIGN
-            others = entropies.min(axis=1)
-            made.append(
-                pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(batch.schema.get_field_index("key")),
-                        batch.column(batch.schema.get_field_index("given")),
-                        pa.array([languages[i] if ok else NONE for i, ok in zip(best, some)], pa.string()),
-                        pa.array(np.where(some, 1 / weight, 0.0)),
-                        pa.array(np.where(some, lowest, 0.0)),
-                        pa.array(np.where(some, others, 0.0)),
-                        pa.array(n.astype(np.int64)),
-                    ],
-                    names=[key, "given", "lang_pred", "score", "entropy", "runner_up", "n_symbols"],
-                )
+            bits[np.arange(len(n)), best] = FOREIGN
+            others = bits.min(axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(batch.schema.get_field_index("key")),
+                    batch.column(batch.schema.get_field_index("given")),
+                    pa.array([languages[i] if ok else NONE for i, ok in zip(best, some)], pa.string()),
+                    pa.array(np.where(some, 1 / weight, 0.0)),
+                    pa.array(np.where(some, lowest, 0.0)),
+                    pa.array(np.where(some, others, 0.0)),
+                    pa.array(n.astype(np.int64)),
+                ],
+                names=[key, "given", "lang_pred", "score", "entropy", "runner_up", "n_symbols"],
             )
-        schema = pa.schema(
-            [(key, rows.schema.field("key").type), ("given", rows.schema.field("given").type), ("lang_pred", pa.string()), ("score", pa.float64()), ("entropy", pa.float64()), ("runner_up", pa.float64()), ("n_symbols", pa.int64())]
-        )
-        return pa.Table.from_batches(made, schema)
-
-    asked = dealt.groupBy("chunk").applyInArrow(ask, "chunk long, gram long")
-    answers = asked.join(model.table, "gram").select("chunk", "gram", "entries")
-    result = f"`{key}` {kind}, given string, lang_pred string, score double, entropy double, runner_up double, n_symbols long"
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, result)
+
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), given)
+    return rows.mapInArrow(run, f"`{key}` {kind}, given string, lang_pred string, score double, entropy double, runner_up double, n_symbols long")
 
 
 def with_rejection(scored: DataFrame, calibrating: Column) -> DataFrame:

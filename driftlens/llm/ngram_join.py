@@ -177,6 +177,7 @@ def verified(pairs: DataFrame, texts_of: DataFrame, n: int, p: int, q: int) -> D
     left = sets.select(F.col("id").alias("a"), F.col("grams").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("grams").alias("y"))
     common = F.size(F.array_intersect("x", "y")).cast("long")
+    # What the bit map let through wrongly meets no pair.
     both = pairs.join(left, "a").join(right, "b").select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("n"))
     found = stage(both.where(F.col("c") * q >= (F.col("n") - F.col("c")) * p).select("a", "b"), "links")
     discard(sets)
@@ -202,7 +203,8 @@ def join(
     ).where("before is not null or after is not null")
     shared = stage(beside.select("bucket", "id", "before"), "buckets")
     chosen = stage(shared.select("id").distinct(), "chosen")
-    bits = stage(with_keys(profile.where("n > 0").select("id", "n", *s), "id", chosen), "bits")
+    near_bits = with_keys(profile.where("n > 0").select("id", "n", *s), "id", chosen)
+    bits = stage(near_bits, "bits")
     discard(profile)
 
     texts_of = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))

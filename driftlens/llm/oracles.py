@@ -105,3 +105,68 @@ links AS (
 reach(a, b) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
 SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(b) AS component_id
 FROM reach JOIN w ON w.doc_id = reach.a LEFT JOIN sizes USING (doc_id) GROUP BY doc_id"""
+
+
+def _levels(name: str, levels: int, key: str) -> str:
+    """Common table expressions of the levels of a tree whose leaves are ``<name>0``: ``key, r, h, n``."""
+    return "".join(
+        f"""
+{name}{k + 1} AS (SELECT {key}, r // 3 AS r, (n + 2) // 3 AS n, CASE WHEN n > 1 THEN sha256(string_agg(h, '' ORDER BY r)) ELSE any_value(h) END AS h
+  FROM {name}{k} GROUP BY {key}, r // 3, n),"""
+        for k in range(levels)
+    )
+
+
+def _climb(name: str, tree: str, levels: int, start: str, key: str) -> str:
+    """From ``start`` (``doc_id, key, r, node, proof``) up the tree: what the node becomes, and its siblings so far."""
+    parts = [f"\n{name}0 AS ({start}),"]
+    for k in range(levels):
+        parts.append(
+            f"""
+{name}{k + 1} AS (SELECT p.doc_id, p.{key}, p.r // 3 AS r,
+    CASE WHEN any_value(t.n) > 1 THEN sha256(string_agg(CASE WHEN t.r = p.r THEN p.node ELSE t.h END, '' ORDER BY t.r)) ELSE any_value(p.node) END AS node,
+    any_value(p.proof) || coalesce(string_agg(CASE WHEN t.r <> p.r THEN t.h END, '' ORDER BY t.r), '') AS proof
+  FROM {name}{k} p JOIN {tree}{k} t ON t.{key} = p.{key} AND t.r // 3 = p.r // 3 GROUP BY p.doc_id, p.{key}, p.r),"""
+        )
+    return "".join(parts)
+
+
+def _spelled(*fields: str) -> str:
+    return " || ".join(f"coalesce(strlen({f}::VARCHAR) || ':' || {f}::VARCHAR, '-')" for f in fields)
+
+
+# Levels the statement spells out: enough for 3 ** 13 leaves of a source and 3 ** 7 sources.
+_LEAF_LEVELS, _SOURCE_LEVELS = 13, 7
+# The remainder of crc32 modulo 2, bit by bit over the decimal id.
+_CRC = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda crc, b:
+  list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: xor(x >> 1, 3988292384::BIGINT * (x & 1))))"""
+
+ORACLES["op12_manifest"] = f"""
+WITH d AS (
+  SELECT doc_id, coalesce('s' || source, '') AS g, sha256({_spelled("doc_id", "source", "lang", "n_chars", "text")}) AS leaf,
+    CASE WHEN xor({_CRC}, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS changed, source, lang, n_chars
+  FROM documents),
+l AS (SELECT doc_id, g, leaf, sha256({_spelled("doc_id", "source", "lang", "n_chars", "changed")}) AS changed,
+    row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS r, count(*) OVER (PARTITION BY g) AS n FROM d),
+t0 AS (SELECT g, r, n, leaf AS h FROM l),{_levels("t", _LEAF_LEVELS, "g")}
+s AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS r, count(*) OVER () AS n FROM t{_LEAF_LEVELS}),
+u0 AS (SELECT 0 AS z, r, n, subroot AS h FROM s),{_levels("u", _SOURCE_LEVELS, "z")}{_climb("p", "t", _LEAF_LEVELS, "SELECT doc_id, g, r, changed AS node, '' AS proof FROM l", "g")}{_climb("q", "u", _SOURCE_LEVELS, f"SELECT p.doc_id, 0 AS z, s.r, p.node, p.proof FROM p{_LEAF_LEVELS} p JOIN s USING (g)", "z")}
+top AS (SELECT h AS root FROM u{_SOURCE_LEVELS})
+SELECT l.doc_id, l.leaf, s.subroot, top.root, sha256(q.proof) AS proof_sha256, q.node AS folded_root, q.node = top.root AS verified
+FROM q{_SOURCE_LEVELS} q JOIN l USING (doc_id) JOIN s ON s.g = l.g, top
+"""
+
+ORACLES["op13_hard_negatives"] = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5)
+SELECT p.anchor AS anchor_id, p.id AS positive_id,
+  row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY n.score DESC, n.id)::INTEGER AS rank, n.id AS negative_id,
+  p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor = p.anchor AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY n.score DESC, n.id) <= 10
+"""

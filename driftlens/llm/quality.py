@@ -19,10 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftlens.llm.common import fold, stage
-from driftlens.llm.linear import apply, feature_counts, gather, labelled, platt, sample
+from driftlens.llm.linear import apply, feature_rows, gather, labelled, packed, places, platt, sample, unique_pairs, used_features
 from driftlens.llm.wordhash import mix, word_hashes
 
-BITS = 18
 # Labelled rows the descent may see, and the share of them kept for the sigmoid.
 SAMPLE_ROWS = 12_000
 FOR_SIGMOID = 4
@@ -75,15 +74,15 @@ def extract(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         level = np.floor(np.log2(n_words[of] / counts)).astype(np.uint64)
         owners.append(of)
         features.append(mix(((distinct & np.uint64((1 << 24) - 1)) << np.uint64(8)) + (level << np.uint64(2)) + np.uint64(n)))
-    numbers = np.concatenate(features) >> np.uint64(64 - BITS)
-    pairs = np.unique((np.concatenate(owners).astype(np.uint64) << np.uint64(BITS)) | numbers)
-    return (pairs >> np.uint64(BITS)).astype(np.int64), (pairs & np.uint64((1 << BITS) - 1)).astype(np.int64)
+    # Words and shapes are told apart by a constant.
+    features[0] = mix(features[0] + np.uint64(0x51ED270B))
+    return unique_pairs(np.concatenate(owners), np.concatenate(features))
 
 
-def log_ratios(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
-    """Class log-count ratio of each feature; 0 for features that no labelled row has."""
-    p, q = ones + SMOOTHING, zeros + SMOOTHING
-    return np.where(ones + zeros > 0, np.log((p / p.sum()) / (q / q.sum())), 0.0)
+def log_ratios(ones: np.ndarray, zeros: np.ndarray, all_ones: float, all_zeros: float, kinds: int) -> np.ndarray:
+    """Class log-count ratio of features, from the smoothed counts of all ``kinds`` features."""
+    p, q = (ones + SMOOTHING) / (all_ones + SMOOTHING * kinds), (zeros + SMOOTHING) / (all_zeros + SMOOTHING * kinds)
+    return np.log(p / q)
 
 
 def descend(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, float]:
@@ -112,15 +111,26 @@ def descend(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray) -> tuple[
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out: Column, text: str = "text", key: str = "doc_id", label: str = "quality"):
-    """Weights and bias of the score, or None without labelled rows of both classes."""
+    """Features in order, their weights and the bias, or None without labelled rows of both classes."""
     rows = stage(labelled(docs, labels, label, held_out, text, key), "labelled")
-    ones, zeros = feature_counts(rows, extract, BITS, "text", "label")
-    total = rows.count()
-    found, carried = gather(sample(rows, "key", SAMPLE_ROWS, total), extract, "text", "label")
+    counts = stage(feature_rows(rows, extract, "text", "label"), "counts")
+    texts_of = counts.where("f is null").first()
+    if texts_of is None or not texts_of["ones"] or not texts_of["zeros"]:
+        return None
+    chosen = stage(packed(sample(rows, "key", SAMPLE_ROWS, texts_of["ones"] + texts_of["zeros"]), extract, "text", "label"), "sample")
+    found, carried = gather(chosen, "label")
     y = np.array([c[0] for c in carried], np.int64)
     if len(set(y.tolist())) < 2:
         return None
-    ratios = log_ratios(ones, zeros)
+    sums = counts.where("f is not null").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"), F.count("*").alias("kinds")).first()
+    if not sums["kinds"]:
+        return None
+    table = counts.join(used_features(chosen), "f").toArrow().to_pandas()
+    names = table["f"].to_numpy().view(np.uint64)
+    order = np.argsort(names)
+    names, table = names[order], table.iloc[order]
+    ratios = log_ratios(table["ones"].to_numpy(), table["zeros"].to_numpy(), sums["ones"], sums["zeros"], sums["kinds"])
+    found = places(found, names)
     last = np.arange(len(y)) % FOR_SIGMOID == 0
     if len(set(y[last].tolist())) < 2 or len(set(y[~last].tolist())) < 2:
         last = np.zeros(len(y), bool)
@@ -129,14 +139,14 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, text: str = "tex
     judged = np.flatnonzero(last) if last.any() else fit
     margins = np.array([w[found[i]] @ ratios[found[i]] + b for i in judged])
     slope, shift = platt(margins, y[judged])
-    return w * ratios * slope, b * slope + shift
+    return names, w * ratios * slope, b * slope + shift
 
 
 def classify(docs: DataFrame, labels: DataFrame, held_out: Column, text: str = "text", key: str = "doc_id", label: str = "quality") -> DataFrame:
     """The key and ``held_out, score, predicted`` of each text."""
     model = train(docs, labels, held_out, text, key, label)
-    weights, bias = model if model else (np.zeros(1 << BITS), 0.0)
-    scored = apply(docs, extract, weights, bias, text, key)
+    names, weights, bias = model if model else (np.zeros(0, np.uint64), np.zeros(0), 0.0)
+    scored = apply(docs, extract, names, weights, bias, text, key)
     return scored.select(key, held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

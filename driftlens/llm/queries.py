@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlens.llm import chat, langid, mixing, near_vectors, ngram_join, packing, quality, rules, tokenfile, toxicity
+from driftlens.llm import chat, hard_negatives, langid, manifest, mixing, near_vectors, ngram_join, packing, pii, quality, rules, tokenfile, toxicity
 from driftlens.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,3 +93,21 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     formatted = chat.conversations(messages)
     named = formatted.select(F.expr("try_cast(leaf.c as long)").alias("conv_id"), "formatted", "loss")
     return chat.digests(named, "conv_id")
+
+
+@query("op11_pii")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digests(pii.find(read(spark, folder, "documents")))
+
+
+@query("op12_manifest")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.prove(read(spark, folder, "documents"), manifest.without_lines())
+
+
+@query("op13_hard_negatives")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = read(spark, folder, "embeddings").withColumn("label", label)
+    rows = hard_negatives.prepared(vectors, hard_negatives.whole_numbers())
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)

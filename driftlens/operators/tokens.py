@@ -6,14 +6,15 @@ share one shuffle of the compact strings, and no window ever spans more than one
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftlens.functions.text import newlines, strip, strip_quotes
 
-# Up to so many opening braces their number is taken for a text's depth; beyond that the braces are matched.
-FEW_BRACES = 10
-
 # The lexical grammar of operation documents (blanks, commas and comments between tokens; block
 # strings, strings, spreads, names, numbers, punctuators).
 GAP = r"(?:[\s,\x{FEFF}]++|#[^\n\r]*+)*+"
@@ -254,26 +255,39 @@ def error_position(lines: Column, start: Column, body: Column) -> Column:
     return F.when(F.length(probe) > 0, F.try_element_at(found, F.lit(1)) + F.greatest(F.lit(1), start - 9))
 
 
-def deepest(blocks: DataFrame) -> int:
-    """The deepest level of braces in any text, or a little more: how many levels a path may need."""
-    opened = F.length("raw") - F.length(F.replace("raw", F.lit("{")))
-    braces = F.filter(F.regexp_extract_all("raw", F.lit(TOKEN), F.lit(2)), lambda t: t.isin("{", "}"))
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
+def _with_paths(tokens: DataFrame) -> DataFrame:
+    """Adds ``path`` to the tokens of texts, which lie together and in order; ``text_id`` tells them apart.
+
+    One pass carries the paths of the open braces: a brace that opens at a depth sets the path of all that follows at that
+    depth, whatever the depth of any other text.
+    """
 
-    def step(a: Column, t: Column) -> Column:
-        now = a["now"] + F.when(t == "{", 1).otherwise(-1)
-        return F.struct(now.alias("now"), F.greatest(a["top"], now).alias("top"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text, open_paths = None, []
+        for batch in batches:
+            found = []
+            column = lambda name: batch.column(batch.schema.get_field_index(name)).to_pylist()  # noqa: E731, B023
+            for own, brace, opens, step in zip(column("text_id"), column("brace"), column("opens"), column("step")):
+                if own != text:
+                    text, open_paths = own, [""]
+                if opens and brace > 1:
+                    # A brace deeper than the last one known follows braces of arguments, which lead nowhere.
+                    open_paths += [""] * (brace - 1 - len(open_paths))
+                    before = open_paths[brace - 2]
+                    open_paths[brace - 1 :] = [f"{before}/{step}" if before else step]
+                found.append(open_paths[min(brace, len(open_paths)) - 1] if brace > 0 else "")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, "path"])
 
-    depth = F.when(opened <= FEW_BRACES, opened).otherwise(F.aggregate(braces, start, step)["top"])
-    return blocks.agg(F.max(depth)).first()[0] or 0
+    return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField("path", T.StringType())]))
 
 
 def selections(blocks: DataFrame, key: list[str]) -> DataFrame:
     """Selection rows of operation and fragment texts.
 
     ``blocks`` holds the ``key`` columns (unique per row) and ``raw``. Each row is a field, an inline fragment, a
-    spread, or an argument given to a field (with the field's ``node``), with its depth, its place in the text (lines count from 1) and ``path``: the fields and type conditions
-    that lead to it, outermost first, without itself. There are as many levels as the deepest text has.
+    spread, or an argument given to a field (with the field's ``node``), with its depth, its place in the text (lines count from 1)
+    and ``path``: the fields (``.name``) and type conditions (``:type``, ``:`` for none) that lead to it, outermost first, without itself,
+    joined by slashes. No depth is too deep.
     """
     keyed = blocks.select(F.struct(*key).alias("_key"), "raw")
     tokens = tokenize(keyed, "_key", "raw")
@@ -320,12 +334,11 @@ def selections(blocks: DataFrame, key: list[str]) -> DataFrame:
         place.alias("place"),
         outside.alias("_outside"),
     )
-    # The selection a brace belongs to, and the open braces at each depth.
-    step = F.when(
-        F.col("kind").isin("field", "inline"),
-        F.struct("kind", F.coalesce("name", "type_condition").alias("name")),
+    # The selection a brace belongs to.
+    step = F.when(F.col("kind") == "field", F.concat(F.lit("."), "name")).when(
+        F.col("kind") == "inline", F.concat(F.lit(":"), F.coalesce("type_condition", F.lit("")))
     )
-    opened = F.when(tok == "{", F.last(step, ignorenulls=True).over(upto))
+    opened = F.when(tok == "{", F.coalesce(F.last(step, ignorenulls=True).over(upto), F.lit(":")))
     given_to = F.last("_outside", ignorenulls=True).over(upto)
     tokens = tokens.select("*", opened.alias("_owner"), given_to.alias("_to")).filter(
         F.col("kind").isNotNull() | (tok == "{")
@@ -335,16 +348,14 @@ def selections(blocks: DataFrame, key: list[str]) -> DataFrame:
     of_field = to["is_field"] & (to["brace"] == F.col("brace"))
     is_argument = F.coalesce(F.col("kind") == "argument", F.lit(False))
     tokens = tokens.filter(~is_argument | of_field)
-    owners = [
-        F.last(F.when((tok == "{") & (F.col("brace") == level), F.col("_owner")), ignorenulls=True).over(upto)
-        for level in range(2, max(deepest(blocks), 2) + 1)
-    ]
-    path = F.slice(F.array(*owners), F.lit(1), F.greatest(F.col("brace") - 1, F.lit(0)).cast("int"))
-    return (
+    placed = _with_paths(
         tokens.select(
-            "_key", F.when(is_argument, to["n"]).otherwise(F.col("n")).alias("n"), "brace", "kind", "name", "alias",
-            "type_condition", "place", path.alias("path"),
-        )
+            "_key", F.xxhash64("_key").alias("text_id"), F.when(is_argument, to["n"]).otherwise(F.col("n")).alias("n"), "brace",
+            "kind", "name", "alias", "type_condition", "place", (tok == "{").alias("opens"), F.col("_owner").alias("step"), F.col("n").alias("_at"),
+        ).sortWithinPartitions("_key", "_at")
+    )
+    return (
+        placed
         .filter(F.col("kind").isNotNull())
         .select(
             *[F.col(f"_key.{k}").alias(k) for k in key],

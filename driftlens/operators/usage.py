@@ -6,6 +6,9 @@ per selection, and only paths with something to report are joined back to the se
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,132 +114,125 @@ def with_roots(blocks: DataFrame, types: DataFrame, old: str, named_roots=None)
         "array<struct<client:string,root:string>>")).alias("roots"))
 
 
-def path_text(path: Column) -> Column:
-    """A path as one string: ``.name`` for a field, ``:type`` for a type condition, ``:`` for none."""
-    return F.array_join(
-        F.transform(
-            path,
-            lambda step: F.concat(
-                F.when(step["kind"] == "field", ".").otherwise(":"), F.coalesce(step["name"], F.lit(""))
-            ),
-        ),
-        "/",
-    )
-
-
 def block_selections(blocks: DataFrame) -> DataFrame:
     """Selections of blocks that parse, with the block's ``start_line``, ``type``, ``roots`` and so on."""
     good = blocks.filter(F.col("error").isNull())
-    found = selections(good, BLOCK_KEY).withColumn("path", path_text(F.col("path")))
+    found = selections(good, BLOCK_KEY)
     about = good.select(*BLOCK_KEY, "type", F.col("name").alias("block_name"),
                         F.col("type_condition").alias("block_condition"), F.col("client").alias("block_client"),
                         "start_line", "roots")
     return found.join(about, BLOCK_KEY)
 
 
-def expand_spreads(found: DataFrame) -> DataFrame:
-    """Field rows of blocks, with the fields of spread fragments under the path of the spread.
+def uses_of(fields: DataFrame) -> DataFrame:
+    """Field rows once per client they are checked against; ``root`` is the type their path starts from."""
+    return fields.select("file", "start_line", "depth", "path", "name", "line", "col", F.inline("roots"))
+
 
-    ``found`` should be a staged table: it is read several times. A fragment is looked up by name in the whole file; the last definition counts. Expansion goes round by round
-    until no spread is left. A path that enters a fragment for the second time ends there: all that would follow has been
-    seen on it.
+def expand_spreads(found: DataFrame, lookup: DataFrame) -> DataFrame:
+    """Field rows of blocks once per client, with the fields of all fragments that a block reaches.
+
+    ``found`` should be a staged table: it is read several times. A fragment is looked up by name in the whole file; the last
+    definition counts. Its fields start from its type condition, so what it says depends on the client alone, not on the
+    way that led to it: every block has the fields of a fragment it reaches once, below the type condition, however many
+    spreads lead there. A spread counts where the path to it can be walked.
     """
-    keep = ["file", "start_line", "roots", "depth", "path", "name", "line", "col"]
-    fields = found.filter("kind = 'field'").select(*keep)
-    nothing = F.array().cast("array<string>")
-    frontier = found.filter("kind = 'spread'").select(*keep[:-2], nothing.alias("entered")).distinct()
-    if frontier.isEmpty():
-        return fields
+    direct = uses_of(found.filter("kind = 'field'"))
+    spreads = found.filter("kind = 'spread'").select("file", "start_line", F.inline("roots"), "path", F.col("name").alias("to"))
+    spreads = stage(spreads.distinct(), "spreads")
+    if spreads.isEmpty():
+        return direct
     last = (
         found.filter("type = 'fragment'")
         .groupBy("file", "block_name")
         .agg(F.max_by(F.struct(*BLOCK_KEY[1:]), F.struct("start_line", *BLOCK_KEY[1:])).alias("k"))
         .select("file", "k.*")
     )
-    inside = found.join(last, BLOCK_KEY, "left_semi").select(
-        "file",
-        F.col("block_name").alias("fragment"),
-        F.col("block_condition").alias("condition"),
-        "kind",
-        F.col("name").alias("in_name"),
-        F.col("depth").alias("in_depth"),
-        F.col("path").alias("in_path"),
-        "line",
-        "col",
+    below = F.concat_ws("/", F.concat(F.lit(":"), "block_condition"), F.nullif("path", F.lit("")))
+    inside = found.join(last, BLOCK_KEY, "left_semi").filter("kind IN ('field', 'spread')").select(
+        "file", F.col("block_name").alias("fragment"), F.col("block_condition").alias("root"), "kind", "name", "depth",
+        below.alias("path"), "line", "col",
     )
     inside = stage(inside, "fragments")
-    parts = [fields]
-    while True:
-        grown = (
-            frontier.withColumnRenamed("name", "fragment")
-            .filter(~F.array_contains("entered", F.col("fragment")))
-            .join(inside, ["file", "fragment"])
-            .select(
-                "file",
-                "start_line",
-                "roots",
-                (F.col("depth") + F.col("in_depth")).cast("int").alias("depth"),
-                F.concat_ws(
-                    "/",
-                    F.nullif("path", F.lit("")),
-                    F.concat(F.lit(":"), "condition"),
-                    F.nullif("in_path", F.lit("")),
-                ).alias("path"),
-                F.col("in_name").alias("name"),
-                "line",
-                "col",
-                "kind",
-                F.array_append("entered", F.col("fragment")).alias("entered"),
+    leads = inside.filter("kind = 'spread'").select("file", "fragment", "root", "path", F.col("name").alias("to"))
+    leads = leads.join(spreads.select("file", "client").distinct(), "file")
+    place = ["client", "root", "path"]
+    walked = walk(spreads.select(*place).union(leads.select(*place)), lookup)
+    alive = stage(walked.select("end"), "alive")
+    starts = spreads.join(alive, path_id() == F.col("end"), "left_semi")
+    leads = leads.join(alive, path_id() == F.col("end"), "left_semi")
+    starts = starts.groupBy("file", "client", "start_line").agg(F.collect_set("to").alias("to"))
+    # One file's spreads are one value: a text bounds them.
+    leads = leads.groupBy("file", "client").agg(F.collect_set(F.struct("fragment", "to")).alias("leads"))
+    reached = _reached(starts.join(leads, ["file", "client"], "left"))
+    entered = reached.join(inside.filter("kind = 'field'").drop("kind"), ["file", "fragment"])
+    return direct.unionByName(entered.select(*direct.columns))
+
+
+def _reached(starts: DataFrame) -> DataFrame:
+    """``file, client, start_line, fragment``: what the fragments ``to`` lead to over the pairs ``leads``, themselves included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                after: dict[str, list[str]] = {}
+                for lead in row["leads"] or ():
+                    after.setdefault(lead["fragment"], []).append(lead["to"])
+                seen, waiting = set(row["to"]), list(row["to"])
+                while waiting:
+                    fresh = [to for to in after.get(waiting.pop(), ()) if to not in seen]
+                    seen.update(fresh)
+                    waiting += fresh
+                rows.append(sorted(seen))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(name) for name in ("file", "client", "start_line")), pa.array(rows, pa.list_(pa.string()))],
+                names=["file", "client", "start_line", "fragments"],
             )
-        )
-        grown = stage(grown, "spread")
-        parts.append(grown.filter("kind = 'field'").select(*keep))
-        frontier = grown.filter("kind = 'spread'").select(*keep[:-2], "entered").distinct()
-        if frontier.isEmpty():
-            break
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
 
+    schema = "file string, client string, start_line int, fragments array<string>"
+    return starts.mapInArrow(run, schema).select("file", "client", "start_line", F.explode("fragments").alias("fragment"))
 
-def uses_of(fields: DataFrame) -> DataFrame:
-    """Field rows once per client they are checked against."""
-    return fields.select(
-        "file", "start_line", "depth", "path", "name", "line", "col", F.inline("roots")
-    )
 
+def path_id(client: str = "client", root: str = "root", path: Column | str = "path") -> Column:
+    """A number for a path from a root."""
+    return F.xxhash64(client, root, path)
 
-def resolve_paths(uses: DataFrame, lookup: DataFrame) -> DataFrame:
-    """For every distinct ``(client, root, path, name)`` the parent type and what both versions know of the field.
 
-    Paths are walked one step per join against the lookup. A row whose path has ended, or cannot go on, gets a join
-    key of its own, so that such rows never gather in one task.
+def walk(paths: DataFrame, lookup: DataFrame) -> DataFrame:
+    """``end, at``: the number of each path of ``client, root, path`` that can be walked, and the type it ends at.
+
+    The paths become a trie: one row per distinct prefix. Each round walks one level, one step for each prefix, and is
+    written down, so a prefix is looked up once however many paths share it, and no plan grows with the depth.
     """
-    paths = stage(uses.select("client", "root", "path", "name").distinct(), "paths")
-    longest = paths.agg(F.max(F.when(F.col("path") == "", 0).otherwise(F.size(F.split("path", "/"))))).first()[0] or 0
-    nowhere = F.concat(F.lit(" "), F.hex(F.xxhash64("client", "root", "path", "name")))
-    # A failed field step ends the path for good: `dead` also holds past later type conditions.
-    rows = paths.select(
-        "*",
-        F.when(F.col("path") != "", F.split("path", "/")).otherwise(F.array().cast("array<string>")).alias("steps"),
-        F.col("root").alias("at"),
-        F.lit(False).alias("dead"),
+    steps = F.when(F.col("path") != "", F.split("path", "/")).otherwise(F.array().cast("array<string>"))
+    split = paths.distinct().withColumn("steps", steps)
+    prefix = lambda k: path_id(path=F.array_join(F.slice("steps", F.lit(1), k), "/"))
+    every = F.transform(
+        F.filter(F.sequence(F.lit(0), F.size("steps")), lambda k: k > 0),
+        lambda k: F.struct(k.alias("level"), prefix(k).alias("end"), prefix(k - 1).alias("before"), F.element_at("steps", k).alias("step")),
     )
+    trie = stage(split.select("client", F.inline(every)).distinct(), "trie")
+    longest = trie.agg(F.max("level")).first()[0] or 0
+    known = [stage(paths.select(path_id(path=F.lit("")).alias("end"), F.col("root").alias("at")).distinct(), "walked")]
     for level in range(1, longest + 1):
-        step = F.try_element_at("steps", F.lit(level))
-        by_field = F.coalesce(step.startswith("."), F.lit(False))
-        condition = F.substring(step, F.lit(2), F.length(step))
-        rows = _look_up(rows, lookup, F.when(by_field & ~F.col("dead"), F.col("at")), condition, nowhere)
-        found = F.coalesce(F.col("old.named_type"), new_field(condition)["named_type"])
-        rows = rows.select(
-            "client", "root", "path", "name", "steps",
-            F.when(step.isNull(), F.col("at")).when(by_field, found).otherwise(condition).alias("at"),
-            (
-                F.col("dead") | (by_field & found.isNull()) | F.coalesce(step == ":", F.lit(False))
-            ).alias("dead"),
-        )
-    rows = rows.filter(~F.col("dead"))
+        rows = trie.filter(F.col("level") == level).drop("level").join(known[-1].withColumnRenamed("end", "before"), "before")
+        by_field = F.col("step").startswith(".")
+        name = F.substring("step", F.lit(2), F.length("step"))
+        rows = _look_up(rows, lookup, F.when(by_field, F.col("at")), name, F.concat(F.lit(" "), F.hex("end")))
+        to = F.when(by_field, F.coalesce(F.col("old.named_type"), new_field(name)["named_type"])).otherwise(F.nullif(name, F.lit("")))
+        known.append(stage(rows.select("end", to.alias("at")).filter("at IS NOT NULL"), "walked"))
+    whole = known[0]
+    for part in known[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def resolve_paths(uses: DataFrame, lookup: DataFrame) -> DataFrame:
+    """For every distinct ``(client, root, path, name)`` the parent type and what both versions know of the field."""
+    paths = stage(uses.select("client", "root", "path", "name").distinct(), "paths")
+    rows = paths.join(walk(paths.select("client", "root", "path"), lookup), path_id() == F.col("end")).drop("end")
+    nowhere = F.concat(F.lit(" "), F.hex(path_id()))
     rows = _look_up(rows, lookup, F.col("at"), F.col("name"), nowhere)
     return rows.select(
         "client", "root", "path", "name",
@@ -326,7 +322,7 @@ def drift_of(
 ) -> DataFrame:
     """Drift issues of ``found``, the staged selections of blocks."""
     lookup = stage(drift_lookup(types, fields, old, new, strict_added), "lookup")
-    uses = uses_of(expand_spreads(found))
+    uses = stage(expand_spreads(found, lookup), "uses")
     flagged = path_status(resolve_paths(uses, lookup))
     issues = uses.join(flagged, ["client", "root", "path", "name"]).select(
         "file",

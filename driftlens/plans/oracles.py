@@ -130,32 +130,33 @@ rooted AS (
   WHERE c.client = 'Unknown' OR c.client = t.schema)"""
 
 USES = f"""{CLIENTS},
+old_eff AS (
+  SELECT schema, type_name, field_name, is_deprecated OR deprecation_reason IS NOT NULL AS is_deprecated, deprecation_reason, named_type
+  FROM (SELECT * FROM old_fields UNION ALL
+        SELECT n.* FROM new_fields n WHERE NOT EXISTS (SELECT 1 FROM old_types t WHERE t.schema = n.schema AND t.type_name = n.type_name))),
+any_field AS (SELECT schema, type_name, field_name, max(named_type) AS named_type FROM
+  (SELECT schema, type_name, field_name, named_type FROM old_eff UNION ALL SELECT schema, type_name, field_name, named_type FROM new_fields)
+  GROUP BY schema, type_name, field_name),
 selected(tpl, type, name, path) AS ({values((*planted.SELECTED, *DOCUMENT_SELECTED))}),
 direct AS (
   SELECT r.file, r.o, r.k, r.k1, r.tpl, r.type, r.checked AS client, r.client AS found, r.root, r.raw, r.start_line, {filled('s.name')} AS name,
          {filled('s.path')} AS path, length(s.path) - length(replace(s.path, '/', '')) + CASE WHEN s.path = '' THEN 0 ELSE 1 END + 1 AS depth
   FROM rooted r JOIN selected s USING (tpl, type)),
 spreads AS (
-  SELECT q.file, q.o, q.k, q.k1, q.tpl, q.type, q.checked AS client, q.client AS found, q.root, f.raw, q.start_line, n.name,
-         '.t' || q.k || '/:T' || q.k AS path, 3 AS depth
+  SELECT q.file, q.o, q.k, q.k1, q.tpl, q.type, q.checked AS client, q.client AS found, 'T' || q.k AS root, f.raw, q.start_line, n.name,
+         ':T' || q.k AS path, 1 AS depth
   FROM rooted q JOIN blocks f ON f.file = q.file AND f.type = 'fragment' AND q.tpl = 6 AND q.type = 'query'
-  CROSS JOIN (VALUES ('f1'), ('f2')) n(name)),
+  CROSS JOIN (VALUES ('f1'), ('f2')) n(name)
+  WHERE EXISTS (SELECT 1 FROM any_field a WHERE a.schema = q.checked AND a.type_name = q.root AND a.field_name = 't' || q.k)),
 uses AS (
   SELECT u.*, instr(raw, name) AS pos FROM (SELECT * FROM direct UNION ALL SELECT * FROM spreads) u),
 placed AS (
   SELECT u.*, length(before) - length(replace(before, chr(10), '')) + 1 AS line,
          length(before) - CASE WHEN instr(before, chr(10)) = 0 THEN 0 ELSE length(before) - instr(reverse(before), chr(10)) + 1 END + 1 AS col
   FROM (SELECT *, substr(raw, 1, pos - 1) AS before FROM uses) u),
-old_eff AS (
-  SELECT schema, type_name, field_name, is_deprecated OR deprecation_reason IS NOT NULL AS is_deprecated, deprecation_reason, named_type
-  FROM (SELECT * FROM old_fields UNION ALL
-        SELECT n.* FROM new_fields n WHERE NOT EXISTS (SELECT 1 FROM old_types t WHERE t.schema = n.schema AND t.type_name = n.type_name))),
-any_field AS (SELECT schema, type_name, field_name, max(named_type) AS named_type FROM
-  (SELECT schema, type_name, field_name, named_type FROM old_eff UNION ALL SELECT schema, type_name, field_name, named_type FROM new_fields)
-  GROUP BY schema, type_name, field_name),
 walked AS (
   SELECT p.*,
-    CASE WHEN path = '' THEN root
+    CASE WHEN path = '' OR path LIKE ':T%' THEN root
          WHEN path LIKE '%/.f0%' THEN (SELECT b.named_type FROM any_field a JOIN any_field b ON b.schema = a.schema AND b.type_name = a.named_type AND b.field_name = 'f0'
               WHERE a.schema = p.client AND a.type_name = p.root AND a.field_name = 't' || p.k)
          ELSE (SELECT a.named_type FROM any_field a WHERE a.schema = p.client AND a.type_name = p.root
@@ -187,7 +188,7 @@ chain AS (
               WHERE a.schema = p.client AND a.type_name = p.root AND a.field_name = 't' || p.k)
          ELSE (SELECT a.named_type FROM old_fields a WHERE a.schema = p.client AND a.type_name = p.root
               AND a.field_name = CASE WHEN path LIKE '.m%' THEN 'm' ELSE 't' END || p.k) END AS at_type
-  FROM placed p WHERE path NOT LIKE '.t%/:T%' AND path NOT LIKE '.t%/.f0/:T%' AND NOT (found = 'Unknown' AND client = 'Storefront')
+  FROM placed p WHERE path NOT LIKE ':T%' AND path NOT LIKE '.t%/.f0/:T%' AND NOT (found = 'Unknown' AND client = 'Storefront')
   UNION ALL
   SELECT p.*, (SELECT b.named_type FROM old_fields a JOIN old_fields b ON b.schema = a.schema AND b.type_name = a.named_type AND b.field_name = 'f0'
               WHERE a.schema = p.client AND a.type_name = p.root AND a.field_name = 't' || p.k)
@@ -551,7 +552,7 @@ class A' || c_custkey || '(BaseModel):
     "j3_paths": with_(USES, "SELECT file, client, path, name, type_name, CAST(depth AS BIGINT) AS depth, line, col FROM resolved"),
     "j4_inline": with_(USES, "SELECT file, client, name, type_name, line, col FROM resolved WHERE path LIKE '%.f0/%'"),
     "j5_spreads": with_(USES, """SELECT file, client, path, name, start_line, line, col, CAST(depth AS BIGINT) AS depth FROM placed
-      WHERE depth = 3 AND path LIKE '%/:T%'"""),
+      WHERE path LIKE ':T%'"""),
     "j6_client": with_(CLIENTS, "SELECT file, type, name, client FROM clients"),
     "j7_both_clients": with_(CLIENTS, "SELECT file, type, name, checked, root FROM rooted WHERE client = 'Unknown' AND type <> 'unknown'"),
     "j8_roots": with_(SCHEMA, """SELECT schema, version, CASE type_name WHEN 'QueryRoot' THEN 'query' ELSE 'mutation' END AS operation,

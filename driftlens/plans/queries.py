@@ -447,16 +447,22 @@ def _selections(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _uses(spark: SparkSession, folder: str) -> DataFrame:
-    return _once(
-        spark, folder, "uses", lambda: stage(usage.uses_of(usage.expand_spreads(_selections(spark, folder))), "uses")
-    )
+    def make() -> DataFrame:
+        return stage(usage.expand_spreads(_selections(spark, folder), _lookup(spark, folder)), "uses")
+
+    return _once(spark, folder, "uses", make)
+
+
+def _lookup(spark: SparkSession, folder: str) -> DataFrame:
+    def make() -> DataFrame:
+        return stage(catalog.drift_lookup(*schema(spark, folder), OLD, NEW), "lookup")
+
+    return _once(spark, folder, "lookup", make)
 
 
 def _resolved(spark: SparkSession, folder: str) -> DataFrame:
-    types, fields = schema(spark, folder)
-    lookup = stage(catalog.drift_lookup(types, fields, OLD, NEW), "lookup")
     uses = _uses(spark, folder)
-    resolved = usage.resolve_paths(uses, lookup)
+    resolved = usage.resolve_paths(uses, _lookup(spark, folder))
     return uses.join(resolved, ["client", "root", "path", "name"])
 
 
@@ -487,7 +493,7 @@ def j4(spark, folder):
 @query("j5_spreads")
 def j5(spark, folder):
     return longs(
-        _uses(spark, folder).filter("path RLIKE '^[.]t[0-9]+/:T[0-9]+$'").select(
+        _uses(spark, folder).filter("path LIKE ':%'").select(
             "file", "client", "path", "name", "start_line", "line", "col", "depth"
         )
     )
@@ -617,9 +623,7 @@ def sd7_list(spark, folder):
 
 @query("sd8_path_status")
 def sd8(spark, folder):
-    types, fields = schema(spark, folder)
-    lookup = stage(catalog.drift_lookup(types, fields, OLD, NEW), "lookup")
-    return usage.path_status(usage.resolve_paths(_uses(spark, folder), lookup)).select("client", "path", "name", "type_name", "kind", "reason")
+    return usage.path_status(usage.resolve_paths(_uses(spark, folder), _lookup(spark, folder))).select("client", "path", "name", "type_name", "kind", "reason")
 
 
 @query("a1_evolution")

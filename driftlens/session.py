@@ -72,6 +72,20 @@ def drop_run(spark: SparkSession) -> int:
     return sum(_delete(spark, path) for path in _runs.pop(spark.sparkContext.applicationId, []))
 
 
+def staged_paths(spark: SparkSession) -> list[str]:
+    """What the session has staged so far and not yet deleted."""
+    return list(_runs.get(spark.sparkContext.applicationId, []))
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete some of the session's staged paths; others are passed over."""
+    kept = _runs.get(spark.sparkContext.applicationId, [])
+    for path in paths:
+        if path in kept:
+            kept.remove(path)
+            _delete(spark, path)
+
+
 def _delete(spark: SparkSession, path: str) -> int:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = place.getFileSystem(spark._jsc.hadoopConfiguration())

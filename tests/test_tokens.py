@@ -1,7 +1,4 @@
-from pyspark.sql import functions as F
-
 from driftlens.operators.tokens import definitions, selections
-from driftlens.operators.usage import path_text
 
 
 def candidate_rows(spark, texts, mode="node"):
@@ -66,7 +63,7 @@ def test_selections(spark):
         "  last\n}"
     )
     blocks = spark.createDataFrame([("f", text)], "file string, raw string")
-    rows = selections(blocks, ["file"]).withColumn("path", path_text(F.col("path"))).orderBy("line", "col").collect()
+    rows = selections(blocks, ["file"]).orderBy("line", "col").collect()
     got = [(r.kind, r.name, r.alias, r.type_condition, r.depth, r.path, r.line, r.col) for r in rows]
     assert got == [
         ("field", "user", "me", None, 1, "", 2, 3),
@@ -83,6 +80,15 @@ def test_selections(spark):
 
 
 def test_selections_have_no_depth_limit(spark):
-    text = "{ " + " { ".join(f"a{i}" for i in range(1, 15)) + " }" * 14
+    text = "{ " + " { ".join(f"a{i}" for i in range(1, 601)) + " }" * 600
+    blocks = spark.createDataFrame([("f", text), ("g", "{ b { c } d }")], "file string, raw string")
+    rows = {(r.file, r.name): (r.depth, r.path) for r in selections(blocks, ["file"]).collect()}
+    assert rows.pop(("g", "c")) == (2, ".b") and rows.pop(("g", "b")) == rows.pop(("g", "d")) == (1, "")
+    assert rows == {("f", f"a{i}"): (i, "/".join(f".a{k}" for k in range(1, i))) for i in range(1, 601)}
+
+
+def test_braces_of_arguments_lead_nowhere(spark):
+    text = "{ a(x: {y: {z: 1}}) { b c(q: {r: 2}) d { e } } f(o: {p: {}}) { g } }"
     blocks = spark.createDataFrame([("f", text)], "file string, raw string")
-    assert {r.name for r in selections(blocks, ["file"]).collect()} == {f"a{i}" for i in range(1, 15)}
+    rows = {r.name: r.path for r in selections(blocks, ["file"]).collect() if r.kind == "field"}
+    assert rows == {"a": "", "b": ".a", "c": ".a", "d": ".a", "e": ".a/.d", "f": "", "g": ".f"}

@@ -114,6 +114,34 @@ def test_spread_fields_have_no_depth_limit(spark, schema):
     assert [k for line, _, k, _, f, _ in got if line == 51 and f == "extra"] == ["ADDED"]
 
 
+def test_doubling_spreads_cost_what_their_text_does(spark, schema):
+    fragments = [f"fragment F{i} on User {{ friend {{ ...F{i + 1} ...F{i + 1} }} }}" for i in range(24)]
+    rows = [block("fragment", f"F{i}", text, 10 * i + 10, i, "User") for i, text in enumerate(fragments)]
+    rows.append(block("fragment", "F24", "fragment F24 on User { extra ...F0 }", 250, 24, "User"))
+    rows.append(block("query", "Q", "query Q { user { ...F0 nope { ...F3 } } }", 500, 25))
+    types, fields = schema
+    rooted = stage(usage.rooted_blocks(blocks_of(spark, rows), types, fields, OLD), "rooted")
+    found = stage(usage.block_selections(rooted), "selections")
+    lookup = stage(catalog.drift_lookup(types, fields, OLD, NEW), "lookup")
+    uses = usage.expand_spreads(found, lookup).filter("start_line = 500 AND path LIKE ':%'").collect()
+    assert sorted((r.path, r.name) for r in uses) == [(":User", "extra")] + [(":User", "friend")] * 24
+    got = drift(spark, schema, rows)
+    # The fragments' texts are one line each, so their fields share a line, in the columns their names leave.
+    places = [(c, k, f) for line, c, k, _, f, _ in got if line == 501]
+    assert len(places) == 5 and {(k, f) for _, k, f in places} == {("ADDED", "extra"), ("DEPRECATED", "friend"), ("REMOVED", "friend")}
+
+
+def test_a_spread_below_an_unknown_field_is_not_entered(spark, schema):
+    rows = [block("fragment", "F", "fragment F on User { extra }", 1, 0, "User"), block("query", "Q", "query Q { user { nope { ...F } } }", 50, 1)]
+    assert not [f for line, _, _, _, f, _ in drift(spark, schema, rows) if line == 51]
+
+
+def test_deep_paths_are_walked(spark, schema):
+    raw = "query Q { user { " + "friend { " * 40 + "extra" + " }" * 42
+    got = drift(spark, schema, [block("query", "Q", raw)])
+    assert sum(k == "REMOVED" for _, _, k, _, _, _ in got) == 40 and [f for _, _, k, _, f, _ in got if k == "ADDED"] == ["extra"]
+
+
 def test_clients(spark, schema):
     types, fields = schema
     rows = [

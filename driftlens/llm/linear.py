@@ -97,13 +97,26 @@ def packed(docs: DataFrame, extract: Extract, text: str, *carried: str) -> DataF
     return docs.select(text, *carried).mapInArrow(run, schema)
 
 
-def gather(rows: DataFrame, *carried: str) -> tuple[list, list]:
+def as_places(rows: DataFrame, names: np.ndarray) -> DataFrame:
+    """``packed`` rows with the places of their features among ``names``, 32-bit numbers, instead of the features."""
+    shared = rows.sparkSession.sparkContext.broadcast(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = places([np.frombuffer(value, "<u8") for value in batch.column(0).to_pylist()], shared.value)
+            values = pa.array([part.astype("<i4").tobytes() for part in own], pa.binary())
+            yield pa.RecordBatch.from_arrays([values, *batch.columns[1:]], names=batch.schema.names)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def gather(rows: DataFrame, *carried: str, kind: str = "<u8") -> tuple[list, list]:
     """Features and the carried columns of the ``packed`` rows of a bounded sample, in an order of their own."""
     table = rows.toArrow()
     found = list(zip(*[table.column(name).to_pylist() for name in ("features", *carried)]))
     # The same rows give the same model, whatever order they arrive in.
     found.sort(key=lambda row: (hashlib.md5(row[0]).digest(), row[1:]))
-    return [np.frombuffer(row[0], "<u8") for row in found], [row[1:] for row in found]
+    return [np.frombuffer(row[0], kind) for row in found], [row[1:] for row in found]
 
 
 def used_features(rows: DataFrame) -> DataFrame:

@@ -210,8 +210,9 @@ def join(
     texts_of = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     pairs = shared.where("before <> id").select(F.least("before", "id").alias("a"), F.greatest("before", "id").alias("b")).distinct()
     near = (
-        pairs.join(bits.alias("x"), F.col("a") == F.col("x.id"))
-        .join(bits.alias("y"), F.col("b") == F.col("y.id"))
+        # Sorted at every size: sketches are never small enough to hand to all tasks.
+        pairs.join(bits.alias("x").hint("merge"), F.col("a") == F.col("x.id"))
+        .join(bits.alias("y").hint("merge"), F.col("b") == F.col("y.id"))
         .where(_near("x", "y", p, q))
         .select("a", "b")
         .distinct()
@@ -221,7 +222,7 @@ def join(
 
     placed = shared.select("bucket", "id").join(joined, "id", "left").withColumn("c", F.coalesce("component", "id"))
     mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
-    open_rows = stage(placed.join(mixed, "bucket", "left_semi").select("bucket", "id", "c").join(bits, "id"), "open")
+    open_rows = stage(placed.join(mixed, "bucket", "left_semi").select("bucket", "id", "c").join(bits.hint("merge"), "id"), "open")
     across = (
         open_rows.alias("x")
         .join(open_rows.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") < F.col("y.c")) & _near("x", "y", p, q))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from driftlens.llm import hashfiles
 from driftlens.llm.common import fold, pieces, stage, texts
-from driftlens.llm.linear import apply, feature_rows, gather, labelled, packed, places, platt, sample, sigmoid, used_features
+from driftlens.llm.linear import apply, as_places, feature_rows, gather, labelled, packed, platt, sample, sigmoid, used_features
 from driftlens.llm.wordhash import mix, stretch_hashes
 
 # Common English insults.
@@ -39,7 +39,7 @@ BEGINNINGS = (2, 3, 4, 5, 6, 8)
 LEVELS = (1, 2, 4)
 LEXICON_VOTERS = 12
 # Texts the classifier may see, and into how many parts they are split for the sigmoid.
-SAMPLE_ROWS, FOLDS = 16_000, 4
+SAMPLE_ROWS, FOLDS = 12_000, 4
 PENALTY = 1e-3
 THRESHOLD = 0.7
 # Toxic texts for each clean one that a word of the lexicon must have, one standard deviation less than counted.
@@ -192,14 +192,14 @@ def label_model(masks: np.ndarray, counts: np.ndarray, prior: float) -> tuple[np
 
 def fit(rows: list[np.ndarray], goal: np.ndarray, n: int) -> tuple[np.ndarray, float]:
     """Logistic weights of ``n`` features on soft labels, L2-penalised, by accelerated gradient steps."""
-    of = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-    column = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    of = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in rows])
+    column = np.concatenate(rows) if rows else np.zeros(0, np.int32)
     # Both classes weigh the same in the fit.
     weight = goal / max(goal.sum(), 1e-9) + (1 - goal) / max((1 - goal).sum(), 1e-9)
     target = (goal / max(goal.sum(), 1e-9)) / np.maximum(weight, 1e-12)
     # Frequent features must not slow the others down: each is scaled by how often it occurs.
     scale = 1 / np.sqrt(np.maximum(np.bincount(column, weights=weight[of], minlength=n), 1e-3))
-    values = scale[column]
+    values = scale[column].astype(np.float32)
     w, b = np.zeros(n), 0.0
     memory, bias_memory, t = w.copy(), b, 1.0
     # The step is as long as the curvature allows: the largest eigenvalue of the weighted squares, by power iteration.
@@ -257,13 +257,12 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, text: str = "tex
     total = int(table["n"].sum())
     chosen = stage(packed(sample(seen, "key", SAMPLE_ROWS, total), extract, "text", "key"), "sample")
     by_key = sample(voted, "key", SAMPLE_ROWS, total).groupBy("key").agg(F.max("mask").alias("mask"))
-    found, carried = gather(chosen.join(by_key, "key"), "mask")
+    names = _worth(ranked, chosen)
+    found, carried = gather(as_places(chosen.join(by_key, "key").select("features", "mask"), names), "mask", kind="<i4")
     if not found:
         return None
     own_masks = np.array([mask for (mask,) in carried])
     goal = posterior[np.searchsorted(table["mask"].to_numpy(), own_masks)]
-    names = _worth(ranked, chosen)
-    found = places(found, names)
 
     # Margins of each part come from a fit on the others; the sigmoid goes through those of labelled texts.
     part, unseen = np.arange(len(found)) % FOLDS, np.zeros(len(found))
@@ -281,8 +280,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, text: str = "tex
 
 def _worth(ranked: DataFrame, chosen: DataFrame) -> np.ndarray:
     """Features of the sample with odds of their own, in order, and the insults."""
-    # Two standard deviations: weaker ones are noise, which the penalty would have to hold down.
-    rows = ranked.where("abs(z) > 2 and ones + zeros >= 3").join(used_features(chosen), "f").select("f").toArrow()
+    # Three standard deviations: weaker ones are noise, which the penalty would have to hold down.
+    rows = ranked.where("abs(z) > 3 and ones + zeros >= 3").join(used_features(chosen), "f").select("f").toArrow()
     return np.unique(np.concatenate([rows.column("f").to_numpy().view(np.uint64), INSULTED]))
 
 

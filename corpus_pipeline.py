@@ -9,12 +9,37 @@ a duplicate; texts that are null, empty or without a letter are rejected by the
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlens.llm import langid, mixing, ngram_join, packing, quality
 from driftlens.llm.common import read, stage
 from driftlens.llm.queries import VOCABULARY
+from driftlens.session import discard, drop_paths, staged_paths
+
+Step = Callable[[SparkSession, DataFrame, str], DataFrame]
+_left: dict[str, list[str]] = {}
+
+
+def tidy(step: Step) -> Step:
+    """A stage that deletes what the stage before it has staged for itself: models, decisions, side tables.
+
+    A stage's rows are written before the next one begins, so nothing reads them any more.
+    """
+
+    @functools.wraps(step)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        application = spark.sparkContext.applicationId
+        drop_paths(spark, _left.pop(application, []))
+        before = set(staged_paths(spark))
+        result = step(spark, docs, sf_dir)
+        _left[application] = [path for path in staged_paths(spark) if path not in before]
+        return result
+
+    return run
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -23,18 +48,21 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
+@tidy
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents that the calibrated limit rejects go."""
     judged = stage(langid.identify(docs, langid.held_out()), "judged")
     return _without(docs, judged.where("rejected"))
 
 
+@tidy
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents predicted to be of low quality go."""
     judged = stage(quality.classify(docs, read(spark, sf_dir, "labels"), quality.held_out()), "judged")
     return _without(docs, judged.where("predicted = 0"))
 
 
+@tidy
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join, five words and 0.8: of each group the document with the smallest id stays, once."""
     groups = stage(ngram_join.join(docs, n=5, p=80, q=100), "groups")
@@ -46,11 +74,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return single.unionByName(several)
 
 
+@tidy
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: each document as often as its source's target asks for."""
     return mixing.repeated(docs)
 
 
+@tidy
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packing: the pieces of all documents left."""
     packed = packing.pack(docs, packing.tokenizer_file(VOCABULARY), end_id=1)
@@ -72,7 +102,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, step in STAGES:
         docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return docs

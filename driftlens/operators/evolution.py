@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlens.operators.catalog import NO_REASON, in_version, is_deprecated
 from driftlens.session import stage
 
+# Parts a type's fields are dealt to where they meet its status.
+PARTS = 16
 COUNTERS = ("removed_types", "added_types", "removed_fields", "added_fields", "deprecated_fields")
 
 
@@ -40,31 +42,47 @@ def common_types(types: DataFrame, old: str, new: str) -> DataFrame:
     return type_diff(types, old, new).filter("status = 'common'").drop("status")
 
 
-def field_diff(types: DataFrame, fields: DataFrame, old: str, new: str) -> DataFrame:
-    """Fields of types both versions have: ``status`` is removed, added or kept; ``is_deprecated`` and ``reason``
-    are the old field's.
+def diff_rows(types: DataFrame, fields: DataFrame, old: str, new: str) -> DataFrame:
+    """Types and fields with what becomes of them: ``schema, type_name, field_name, is_type, status, type_status, is_deprecated, reason``.
 
-    Both versions meet in one grouping by field, which is what a full outer join of the two would shuffle.
+    ``status`` is removed, added or kept; ``is_deprecated`` and ``reason`` are the old field's. Types and fields of both
+    versions meet in one grouping. A field learns its type's status in a window over the type and a part of its fields: a
+    root type has as many fields as the schema has entry points, so its fields are dealt to ``PARTS`` parts, to each of
+    which the type's own row goes.
     """
     is_old = F.col("version") == old
-    merged = (
-        fields.filter(F.col("version").isin(old, new))
-        .groupBy("schema", "type_name", "field_name")
-        .agg(
-            F.bool_or(is_old).alias("in_old"),
-            F.bool_or(F.col("version") == new).alias("in_new"),
-            F.bool_or(is_old & is_deprecated()).alias("is_deprecated"),
-            F.max(F.when(is_old, F.col("deprecation_reason"))).alias("reason"),
+    bit = F.when(is_old, 1).otherwise(2).alias("bit")
+    nothing = F.lit(None).cast("string")
+    rows = types.filter(F.col("version").isin(old, new)).select(
+        "schema", "type_name", nothing.alias("field_name"), F.lit(True).alias("is_type"), bit, F.lit(False).alias("flag"), nothing.alias("reason")
+    ).unionByName(
+        fields.filter(F.col("version").isin(old, new)).select(
+            "schema", "type_name", "field_name", F.lit(False).alias("is_type"), bit, (is_old & is_deprecated()).alias("flag"),
+            F.when(is_old, F.col("deprecation_reason")).alias("reason"),
         )
     )
-    status = F.when(~F.col("in_new"), "removed").when(~F.col("in_old"), "added").otherwise("kept")
-    common = common_types(types, old, new)
-    return merged.join(common, ["schema", "type_name"], "left_semi").select(
-        "schema", "type_name", "field_name", status.alias("status"), "is_deprecated",
-        F.when(F.col("is_deprecated"), F.coalesce(F.nullif("reason", F.lit("")), F.lit(NO_REASON))).alias("reason"),
+    merged = rows.groupBy("schema", "type_name", "field_name", "is_type").agg(
+        F.bit_or("bit").alias("has"), F.bool_or("flag").alias("is_deprecated"), F.max("reason").alias("reason")
+    )
+    every = F.sequence(F.lit(0), F.lit(PARTS - 1))
+    own = F.array(F.pmod(F.xxhash64("field_name"), F.lit(PARTS)).cast("int"))
+    dealt = merged.select("*", F.explode(F.when(F.col("is_type"), every).otherwise(own)).alias("part"))
+    of_type = F.max(F.when(F.col("is_type"), F.col("has"))).over(Window.partitionBy("schema", "type_name", "part"))
+    dealt = dealt.withColumn("type_has", of_type).filter("NOT is_type OR part = 0")
+    named = lambda c: F.when(c == 1, "removed").when(c == 2, "added").when(c == 3, "kept")
+    return dealt.select(
+        "schema", "type_name", "field_name", "is_type", named(F.col("has")).alias("status"), named(F.col("type_has")).alias("type_status"),
+        "is_deprecated", F.when(F.col("is_deprecated"), F.coalesce(F.nullif("reason", F.lit("")), F.lit(NO_REASON))).alias("reason"),
     )
 
 
+def field_diff(types: DataFrame, fields: DataFrame, old: str, new: str) -> DataFrame:
+    """Fields of types both versions have: ``status`` is removed, added or kept; ``is_deprecated`` and ``reason``
+    are the old field's."""
+    rows = diff_rows(types, fields, old, new).filter("NOT is_type AND type_status = 'kept'")
+    return rows.select("schema", "type_name", "field_name", "status", "is_deprecated", "reason")
+
+
 def deprecated_in_common(types: DataFrame, fields: DataFrame, old: str, new: str) -> DataFrame:
     """Deprecated fields of the old version in types both versions have."""
     return field_diff(types, fields, old, new).filter("is_deprecated").select(
@@ -74,40 +92,29 @@ def deprecated_in_common(types: DataFrame, fields: DataFrame, old: str, new: str
 
 def changes(types: DataFrame, fields: DataFrame, old: str, new: str) -> DataFrame:
     """Every change as a row ``(schema, change, type_name, field_name, reason)``."""
-    by_type = type_diff(types, old, new).filter("status <> 'common'").select(
-        "schema",
-        F.concat("status", F.lit("_types")).alias("change"),
-        "type_name",
-        F.lit(None).cast("string").alias("field_name"),
-        F.lit(None).cast("string").alias("reason"),
-    )
-    marks = F.array_compact(
-        F.array(
-            F.when(F.col("status") == "removed", "removed_fields"),
-            F.when(F.col("status") == "added", "added_fields"),
-            F.when(F.col("is_deprecated"), "deprecated_fields"),
-        )
-    )
-    by_field = field_diff(types, fields, old, new).select(
-        "schema", F.explode(marks).alias("change"), "type_name", "field_name", "reason"
-    ).withColumn("reason", F.when(F.col("change") == "deprecated_fields", F.col("reason")))
-    return by_type.unionByName(by_field)
+    marks = F.filter(F.array(*[F.when(test, name) for name, test in _tests().items()]), lambda mark: mark.isNotNull())
+    rows = diff_rows(types, fields, old, new).select("schema", F.explode(marks).alias("change"), "type_name", "field_name", "reason")
+    return rows.withColumn("reason", F.when(F.col("change") == "deprecated_fields", F.col("reason")))
+
+
+def _tests() -> dict[str, Column]:
+    """What makes a row of ``diff_rows`` a change of each kind; fields count in types that both versions have."""
+    is_type, status = F.col("is_type"), F.col("status")
+    common = ~is_type & (F.col("type_status") == "kept")
+    return {
+        "removed_types": is_type & (status == "removed"),
+        "added_types": is_type & (status == "added"),
+        "removed_fields": common & (status == "removed"),
+        "added_fields": common & (status == "added"),
+        "deprecated_fields": common & F.col("is_deprecated"),
+    }
 
 
 def evolution_counts(types: DataFrame, fields: DataFrame, old: str, new: str) -> DataFrame:
     """Per schema the five counters of the evolution summary."""
-    by_type = type_diff(types, old, new).groupBy("schema").agg(
-        F.count_if(F.col("status") == "removed").alias("removed_types"),
-        F.count_if(F.col("status") == "added").alias("added_types"),
-    )
-    by_field = field_diff(types, fields, old, new).groupBy("schema").agg(
-        F.count_if(F.col("status") == "removed").alias("removed_fields"),
-        F.count_if(F.col("status") == "added").alias("added_fields"),
-        F.count_if(F.col("is_deprecated")).alias("deprecated_fields"),
-    )
-    return by_type.join(by_field, "schema", "left").select(
-        "schema", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in COUNTERS]
-    )
+    tests = _tests()
+    rows = diff_rows(types, fields, old, new).filter("type_status IS NOT NULL")
+    return rows.groupBy("schema").agg(*[F.count_if(F.coalesce(tests[c], F.lit(False))).cast("bigint").alias(c) for c in COUNTERS])
 
 
 def type_counts(types: DataFrame) -> DataFrame:

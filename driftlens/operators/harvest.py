@@ -23,6 +23,7 @@ from driftlens.functions.text import (
 from driftlens.operators.dedupe import first_blocks
 from driftlens.operators.facts import python_facts
 from driftlens.operators.locate import assignment_end_line, assignment_line
+from driftlens.operators.models import reached_names
 from driftlens.operators.tokens import definitions, error_position
 
 # The patterns of the harvest strategies.
@@ -310,14 +311,11 @@ def document_candidates(files: DataFrame, exact_lines: bool = False) -> DataFram
     )
 
 
-def only_models(found: DataFrame, models: DataFrame) -> DataFrame:
-    """Drop class fields whose class is not a model reached from a model root."""
-    pydantic = models.filter(F.col("type") == "BaseModel/RootModel").select(
-        "file", F.col("model_name").alias("owner")
-    ).distinct()
-    plain = found.filter(F.col("owner").isNull())
-    owned = found.filter(F.col("owner").isNotNull())
-    return plain.unionByName(owned.join(pydantic, ["file", "owner"], "left_semi").select(*found.columns))
+def model_candidates(python: DataFrame) -> DataFrame:
+    """Candidate texts without the class fields whose class does not reach a model root; told inside the row."""
+    reached = reached_names(F.col("classes"), F.col("imports"))
+    kept = F.filter("found", lambda c: c["owner"].isNull() | F.array_contains("reached", c["owner"]))
+    return candidates(python.withColumn("reached", reached).withColumn("found", kept))
 
 
 def blocks(found: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from driftlens.functions.text import newlines, strip
 from driftlens.operators.facts import UNREADABLE
-from driftlens.session import stage
 
 # The imports that give a role its names, and the name a role has when it is not imported.
 ROLES = {
@@ -43,49 +42,44 @@ def aliases(python: DataFrame) -> DataFrame:
     )
 
 
-def classes(python: DataFrame) -> DataFrame:
-    """Class rows, in the order they are met, with the model names of their file."""
-    imports = F.col("imports")
-    roots = F.array_union(role_aliases(imports, "basemodel"), role_aliases(imports, "rootmodel"))
-    return python.select(
-        "file",
-        roots.alias("roots"),
-        role_aliases(imports, "pydantic_dataclass").alias("pydantic_decorators"),
-        role_aliases(imports, "std_dataclass").alias("std_decorators"),
-        F.transform("classes", lambda c: c["name"]).alias("class_names"),
-        F.posexplode("classes").alias("ord", "c"),
-    ).select("*", "c.*").drop("c")
+def closure(first: Column, classes: Column) -> Column:
+    """The names ``first`` and those of ``classes`` (with ``name, bases``) that reach them through any chain of bases.
 
+    A fixed point inside the row: every step adds a level of inheritance, and once nothing is new the rest of the steps, one
+    for each class at most, do nothing. A cycle adds nothing new.
+    """
 
-def edges_of(class_rows: DataFrame) -> DataFrame:
-    """Inheritance edges ``(file, class, base, is_root)``; of classes with one name the last counts."""
-    bases = class_rows.groupBy("file", F.col("name").alias("class")).agg(
-        F.max_by(F.struct("bases", "roots", "class_names"), "ord").alias("c")
-    )
-    edges = bases.select("file", "class", "c.roots", "c.class_names", F.explode("c.bases").alias("base"))
-    is_root = F.array_contains("roots", F.col("base"))
-    # A base that is neither a model root nor a class of the file leads nowhere.
-    return edges.filter(is_root | F.array_contains("class_names", F.col("base"))).select(
-        "file", "class", "base", is_root.alias("is_root")
-    )
+    def step(held: Column, _: Column) -> Column:
+        heirs = F.filter(classes, lambda c: F.coalesce(F.arrays_overlap(c["bases"], held["found"]), F.lit(False)))
+        more = F.array_union(held["found"], F.transform(heirs, lambda c: c["name"]))
+        grown = F.named_struct(F.lit("found"), more, F.lit("done"), F.size(more) == F.size(held["found"]))
+        return F.when(held["done"], held).otherwise(grown)
+
+    start = F.named_struct(F.lit("found"), first.cast("array<string>"), F.lit("done"), F.lit(False))
+    return F.aggregate(F.sequence(F.lit(0), F.size(classes)), start, step, lambda held: held["found"])
+
+
+def reached_names(classes: Column, imports: Column) -> Column:
+    """Names of a file's classes that reach a model root; of classes with one name the last counts."""
+    roots = F.array_union(role_aliases(imports, "basemodel"), role_aliases(imports, "rootmodel"))
+    named = F.transform(classes, lambda c: F.named_struct(F.lit("name"), c["name"], F.lit("bases"), c["bases"]))
+    names = F.array_distinct(F.transform(classes, lambda c: c["name"]))
+    last = F.transform(names, lambda n: F.element_at(F.filter(named, lambda c: c["name"] == n), -1))
+    once = F.when(F.size(names) == F.size(classes), named).otherwise(last)
+    heirs = F.filter(once, lambda c: F.coalesce(F.arrays_overlap(c["bases"], roots), F.lit(False)))
+    return F.coalesce(closure(F.transform(heirs, lambda c: c["name"]), once), F.array().cast("array<string>"))
 
 
 def reaching_roots(edges: DataFrame) -> DataFrame:
-    """``(file, class)`` of the classes that reach a root through any chain of bases.
+    """``(file, class)`` of the classes that reach a root, from edges ``file, class, base, is_root``.
 
-    Goes outward from the roots, one level of inheritance per round; each edge is followed once, and a cycle adds
-    nothing new. ``edges`` should be a table or a cheap plan: it is read once per round.
+    One file's edges are one value, which its text bounds.
     """
-    edges = stage(edges.select("file", "class", "base", "is_root"), "edges")
-    frontier = stage(edges.filter("is_root").select("file", "class").distinct(), "reach")
-    found = frontier
-    inner = edges.filter(~F.col("is_root")).select("file", "class", "base")
-    while not frontier.isEmpty():
-        step = inner.join(frontier.withColumnRenamed("class", "base"), ["file", "base"], "left_semi")
-        fresh = step.select("file", "class").distinct().join(found, ["file", "class"], "left_anti")
-        frontier = stage(fresh, "reach")
-        found = found.unionByName(frontier)
-    return found
+    grouped = edges.groupBy("file").agg(
+        F.collect_list(F.struct(F.col("class").alias("name"), F.array("base").alias("bases"))).alias("classes"),
+        F.collect_set(F.when(F.col("is_root"), F.col("class"))).alias("first"),
+    )
+    return grouped.select("file", F.explode(closure(F.col("first"), F.col("classes"))).alias("class"))
 
 
 def models(python: DataFrame) -> DataFrame:
@@ -93,8 +87,14 @@ def models(python: DataFrame) -> DataFrame:
 
     A file that is not valid Python gives one ``unknown`` row with its error.
     """
-    rows = classes(python)
-    reached = reaching_roots(edges_of(rows)).withColumnRenamed("class", "name").withColumn("is_model", F.lit(True))
+    imports = F.col("imports")
+    rows = python.select(
+        "file",
+        role_aliases(imports, "pydantic_dataclass").alias("pydantic_decorators"),
+        role_aliases(imports, "std_dataclass").alias("std_decorators"),
+        reached_names(F.col("classes"), imports).alias("reached"),
+        F.explode("classes").alias("c"),
+    ).select("*", "c.*").withColumn("is_model", F.array_contains("reached", F.col("name")))
 
     def decorated(names: Column, any_dotted: bool) -> Column:
         return F.exists(
@@ -109,9 +109,7 @@ def models(python: DataFrame) -> DataFrame:
         .when(decorated(F.col("std_decorators"), False), MODEL_TYPES[2])
     )
     good = (
-        rows.select("file", "name", "decorators", "pydantic_decorators", "std_decorators", "raw", "first", "last")
-        .join(reached, ["file", "name"], "left")
-        .select(
+        rows.select(
             "file",
             F.col("name").alias("model_name"),
             kind.alias("type"),

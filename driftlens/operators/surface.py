@@ -178,16 +178,30 @@ def argument_issues(uses: DataFrame, given: DataFrame, args: DataFrame, version:
         *place,
         F.concat(F.lit("Cannot query field '"), "name", F.lit("' on type '"), "type_name", F.lit("'.")).alias("message"),
     )
+    # One row per field of the schema and one per selection with arguments: what is missing and what is unknown are
+    # differences of two lists, each bounded by one field.
+    accepted = allowed.groupBy("client", "type_name", "name").agg(
+        F.collect_set("arg").alias("args"),
+        F.collect_list(F.when(F.col("is_required"), F.struct("arg", "named_type"))).alias("required"),
+    )
+    lists = given.groupBy(*BLOCK_KEY, "node").agg(F.collect_list(F.struct("arg", F.col("line").alias("at_line"), F.col("col").alias("at_col"))).alias("given"))
     fields = uses.filter("known").select(*BLOCK_KEY, "node", "client", "type_name", "name", "start_line", "line", "col")
-    passed = fields.drop("line", "col").join(given, [*BLOCK_KEY, "node"])
-    unknown_arg = passed.join(allowed, ["client", "type_name", "name", "arg"], "left_anti").select(
-        *place,
+    both = fields.join(accepted, ["client", "type_name", "name"], "left").join(lists, [*BLOCK_KEY, "node"], "left")
+    known, passed = F.coalesce("args", F.array().cast("array<string>")), F.transform("given", lambda g: g["arg"])
+    unknown = F.filter("given", lambda g: ~F.array_contains(known, g["arg"]))
+    lacking = F.filter("required", lambda r: ~F.coalesce(F.array_contains(passed, r["arg"]), F.lit(False)))
+    differences = both.select("file", "start_line", "type_name", "name", "line", "col", unknown.alias("unknown"), lacking.alias("lacking"))
+    unknown_arg = differences.filter(F.size("unknown") > 0).select(
+        "file", "start_line", "type_name", "name", F.inline("unknown")
+    ).select(
+        "file",
+        (F.col("start_line") + F.col("at_line") - 1).cast("int").alias("line"),
+        F.col("at_col").cast("int").alias("column"),
         F.concat(
             F.lit("Unknown argument '"), "arg", F.lit("' on field '"), "type_name", F.lit("."), "name", F.lit("'.")
         ).alias("message"),
     )
-    required = fields.join(allowed.filter("is_required"), ["client", "type_name", "name"])
-    missing = required.join(given.select(*BLOCK_KEY, "node", "arg"), [*BLOCK_KEY, "node", "arg"], "left_anti").select(
+    missing = differences.filter(F.size("lacking") > 0).select("file", "start_line", "name", "line", "col", F.inline("lacking")).select(
         *place,
         F.concat(
             F.lit("Field '"), "name", F.lit("' argument '"), "arg", F.lit("' of type '"), "named_type",

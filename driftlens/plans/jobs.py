@@ -28,7 +28,7 @@ class Harvest:
         self.python = stage(harvest.read_python(files), "python")
         self.all_models = find_models(self.python)
         self.models = stage(first_models(self.all_models), "models")
-        found = harvest.only_models(harvest.candidates(self.python), self.models)
+        found = harvest.model_candidates(self.python)
         found = found.unionByName(harvest.document_candidates(files, exact_lines))
         self.defined = stage(definitions(found), "definitions")
         self.blocks = stage(harvest.first_blocks(self.defined), "blocks")

@@ -454,6 +454,16 @@ TREE = """tree AS (
     ['py', 'py', 'graphql', 'py', 'gql', 'txt'][k % 6 + 1] AS ext,
     '# customer ' || k || chr(10) || '# orders ' || count(*) || chr(10) AS text FROM orders GROUP BY o_custkey)"""
 
+UNREADABLE = """SELECT 'o' || o_orderkey || '.py' AS file, CAST(1 AS BIGINT) AS line, CAST(1 AS BIGINT) AS "column", 'error' AS level,
+      '[VALIDATION_ERROR] File processing error: the text is not valid UTF-8' AS message FROM orders WHERE o_orderkey % 10 = 0"""
+
+# The blocks of the nested spreads; for the second fragment ``k`` is its own type's number.
+NESTED = (
+    f"{ORDERS}, blocks AS (SELECT 'nest/o' || o || '.py' AS file, o, CASE WHEN start_line = 2 THEN k1 ELSE k END AS k, k1, k AS first_k, "
+    "start_line AS tpl, type, '' AS name, '' AS raw, start_line, start_line AS end_line "
+    "FROM o CROSS JOIN (VALUES ('fragment', 1), ('fragment', 2), ('fragment', 3), ('query', 4)) v(type, start_line))"
+)
+
 ORACLES: dict[str, str] = {
     "s2_exclusions": """SELECT o_orderkey AS o, 'src/m.py' AS file FROM orders
       WHERE o_orderkey % 5 >= 3 AND o_orderkey % 7 NOT IN (0, 1)""",
@@ -543,16 +553,24 @@ class A' || c_custkey || '(BaseModel):
       WITH v(type, name, n_vars, start_line, end_line) AS ({values(planted.DOCUMENT_BLOCKS)})
       SELECT 'gql/c' || c_custkey || '.graphql' AS file, type, replace(name, '<c>', CAST(c_custkey AS VARCHAR)) AS name, n_vars,
         start_line, end_line FROM customer CROSS JOIN v""",
-    "h22_string_lines": located([(0, 4, 5), (2, 3, 4), (6, 4, 4)], "first, last"),
-    "h23_assignment_line": located([(4, 2), (6, 5), (2, 1), (8, 3)], "line"),
-    "h24_assignment_end": located([(0, 6), (2, 3), (4, 1), (6, 7)], "line"),
-    "h25_block_lines": located([(0, 3, 5), (6, 3, 3), (1, 1, 1)], "first, last"),
+    "h22_string_lines": located(
+        [(0, 4, 5), (1, 1, 1), (2, 3, 4), (3, 1, 1), (4, 2, 2), (5, 2, 2), (6, 4, 4), (7, 2, 2), (8, 4, 4)], "first, last"),
+    "h23_assignment_line": located([(0, 2), (1, 1), (2, 1), (3, 1), (4, 2), (5, 2), (6, 5), (7, 1), (8, 3)], "line"),
+    "h24_assignment_end": located([(0, 6), (1, 1), (2, 3), (3, 1), (4, 1), (5, 2), (6, 7), (7, 2), (8, 2)], "line"),
+    "h25_block_lines": located(
+        [(0, 3, 5), (1, 1, 1), (2, 1, 3), (3, 1, 1), (4, 1, 1), (5, 2, 2), (6, 3, 3), (7, 2, 2), (8, 4, 4)], "first, last"),
     "j1_old_lookup": with_(USES, "SELECT file, client, path, name, old_field FROM resolved"),
     "j2_new_lookup": with_(USES, "SELECT file, client, path, name, new_field FROM resolved"),
     "j3_paths": with_(USES, "SELECT file, client, path, name, type_name, CAST(depth AS BIGINT) AS depth, line, col FROM resolved"),
     "j4_inline": with_(USES, "SELECT file, client, name, type_name, line, col FROM resolved WHERE path LIKE '%.f0/%'"),
     "j5_spreads": with_(USES, """SELECT file, client, path, name, start_line, line, col, CAST(depth AS BIGINT) AS depth FROM placed
       WHERE path LIKE ':T%'"""),
+    "j5_nested_spreads": with_(CLIENTS.replace(ALL_BLOCKS, NESTED), """SELECT file, client, start_line, path, name FROM (
+        SELECT r.file, r.checked AS client, r.start_line, '' AS path, CASE start_line WHEN 1 THEN 'f1' WHEN 2 THEN 'f2' WHEN 3 THEN 'f4' ELSE 't' || k END AS name FROM rooted r
+        UNION ALL SELECT r.file, r.checked, r.start_line, '.t' || k, 'nope' FROM rooted r WHERE type = 'query'
+        UNION ALL SELECT r.file, r.checked, r.start_line, ':T' || CASE f WHEN 2 THEN k1 ELSE first_k END, CASE f WHEN 1 THEN 'f1' WHEN 2 THEN 'f2' ELSE 'f4' END
+        FROM rooted r CROSS JOIN (VALUES (1), (2), (3)) v(f)
+        WHERE type = 'fragment' OR EXISTS (SELECT 1 FROM fields a WHERE a.schema = r.checked AND a.type_name = r.root AND a.field_name = 't' || r.k))"""),
     "j6_client": with_(CLIENTS, "SELECT file, type, name, client FROM clients"),
     "j7_both_clients": with_(CLIENTS, "SELECT file, type, name, checked, root FROM rooted WHERE client = 'Unknown' AND type <> 'unknown'"),
     "j8_roots": with_(SCHEMA, """SELECT schema, version, CASE type_name WHEN 'QueryRoot' THEN 'query' ELSE 'mutation' END AS operation,
@@ -575,7 +593,7 @@ class A' || c_custkey || '(BaseModel):
     "j12_override": with_(ISSUES, """, drift AS (
       SELECT 'f' || user_id AS file, event_id % 500 AS line, event_id % 80 + 1 AS "column",
         row_number() OVER (PARTITION BY user_id, event_id % 500, event_id % 80 ORDER BY CASE WHEN event_id % 2 = 0 THEN 'Admin' ELSE 'Storefront' END DESC,
-          event_id // 2000 % 3 DESC, 'drift ' || event_id DESC) AS r, 'drift ' || event_id AS message FROM events WHERE event_id % 3 = 0)
+          (event_id + event_id // 2000) % 3 DESC, 'drift ' || event_id DESC) AS r, 'drift ' || event_id AS message FROM events)
       SELECT i.file, i.line, i."column", CASE WHEN d.message IS NULL THEN i.level ELSE 'warning' END AS level,
         coalesce(d.message, i.message) AS message FROM issues i LEFT JOIN drift d ON d.r = 1 AND d.file = i.file AND d.line = i.line
         AND d."column" = i."column" """),
@@ -666,8 +684,7 @@ class A' || c_custkey || '(BaseModel):
       '[GRAPHQL_VALIDATION] GraphQL parsing error: the text is not a valid operation document' AS message FROM blocks WHERE type = 'unknown'"""),
     "g11_located_parse_errors": with_(ALL_BLOCKS, """SELECT file, start_line AS line, CAST(1 AS BIGINT) AS "column", 'error' AS level,
       '[GRAPHQL_PARSE] the text is not a valid operation document' AS message FROM blocks WHERE type = 'unknown'"""),
-    "g12_unreadable": """SELECT 'o' || o_orderkey || '.py' AS file, CAST(1 AS BIGINT) AS line, CAST(1 AS BIGINT) AS "column", 'error' AS level,
-      '[VALIDATION_ERROR] File processing error: the text is not valid UTF-8' AS message FROM orders WHERE o_orderkey % 10 = 0""",
+    "g12_unreadable": UNREADABLE,
     "c1_harvest": with_(ALL_BLOCKS, f"""SELECT file, count(*) AS n_blocks,
       CAST(CASE WHEN any_value(tpl) < 90 AND any_value(o) % {N} IN (7, 8) THEN 1 ELSE 0 END AS BIGINT) AS n_models,
       string_agg(type, ',' ORDER BY start_line, type = 'unknown') AS types,
@@ -683,29 +700,38 @@ class A' || c_custkey || '(BaseModel):
     "c3_usage_drift": with_(USES + INPUTS, """SELECT file, line, "column", level, message FROM drift_issues
       UNION ALL SELECT * FROM input_issues"""),
     "c4_surface": " UNION ALL ".join(
-        [f"SELECT * FROM ({defects(rows)})" for rows in G.values()]
+        [f"SELECT * FROM ({defects(rows)}) WHERE CAST(regexp_extract(file, 'o([0-9]+)', 1) AS BIGINT) % 11 <> 0" for rows in G.values()]
         + [f"SELECT * FROM ({class_hits(M[rule])})" for rule in ("m1", "m2", "m3", "m4", "m5")]
+        + ["""SELECT 'ops/o' || o_orderkey || '.py', CAST(10 AS BIGINT), CAST(1 AS BIGINT), 'error',
+          '[GRAPHQL_VALIDATION] GraphQL parsing error: the text is not a valid operation document' FROM orders WHERE o_orderkey % 11 = 0""", UNREADABLE]
     ),
-    "c5_surface_schema": with_(CHECKED + """, general AS (SELECT file, line, "column", level, kind AS tag FROM arguments
-      UNION ALL SELECT file, start_line + 1, 1, 'error', 'INVALID_FRAGMENT' FROM clients c
+    "c5_surface_schema": with_(CHECKED + f""", general AS (SELECT file, line, "column", level, message FROM arguments
+      UNION ALL SELECT file, start_line + 1, 1, 'error', '[INVALID_FRAGMENT] Type ''T' || k1 || ''' does not exist in schema' FROM clients c
         WHERE tpl = 6 AND type = 'query' AND NOT EXISTS (SELECT 1 FROM old_types t WHERE t.type_name = 'T' || c.k1
         AND t.schema = CASE WHEN c.client = 'Storefront' THEN 'Storefront' ELSE 'Admin' END)
-      UNION ALL SELECT file, start_line + 1, 1, 'error', 'INVALID_FIELD_SELECTION' FROM clients c
+      UNION ALL SELECT file, start_line + 1, 1, 'error', '[INVALID_FIELD_SELECTION] Field ''f4'' does not exist on type ''T' || k1 || '''' FROM clients c
         JOIN old_types t ON t.type_name = 'T' || c.k1 AND t.schema = CASE WHEN c.client = 'Storefront' THEN 'Storefront' ELSE 'Admin' END
         WHERE tpl = 6 AND type = 'query' AND NOT EXISTS (SELECT 1 FROM old_fields f WHERE f.schema = t.schema AND f.type_name = t.type_name
         AND f.field_name = 'f4')
-      UNION ALL SELECT file, start_line, 1, 'error', 'GRAPHQL_PARSE' FROM blocks WHERE type = 'unknown'
-      UNION ALL SELECT file, start_line, 1, 'error', 'INVALID_OPERATION' FROM blocks WHERE tpl = 92
-      UNION ALL SELECT file, start_line + 1, instr(raw, '... on'), 'error', 'GRAPHQL_INVALID_FRAGMENT' FROM blocks
-        CROSS JOIN (VALUES (1), (2)) WHERE tpl = 6 AND type = 'query'
-      UNION ALL SELECT file, start_line + 1, 1, 'warning', 'GRAPHQL_FRAGMENT_DEFINITION' FROM blocks WHERE type = 'fragment'
-      UNION ALL SELECT file, start_line + 1, 1, 'warning', 'GRAPHQL_SUBSCRIPTION' FROM blocks WHERE type = 'subscription'),
-      last_drift AS (SELECT file, line, "column", kind, row_number() OVER (PARTITION BY file, line, "column" ORDER BY client DESC,
+      UNION ALL SELECT file, start_line, 1, 'error', '[GRAPHQL_PARSE] the text is not a valid operation document' FROM blocks WHERE type = 'unknown'
+      UNION ALL SELECT file, start_line, 1, 'error', '[INVALID_OPERATION] Unnamed operation in multi-operation file' FROM blocks WHERE tpl = 92
+      UNION ALL SELECT file, start_line + 1, instr(raw, '... on'), 'error', CASE i WHEN 1 THEN
+          '[GRAPHQL_INVALID_FRAGMENT] inline fragment on type ''T' || k1 || ''' may not be compatible'
+          ELSE '[GRAPHQL_INVALID_FRAGMENT] fragment spread ''on'' likely does not exist' END FROM blocks
+        CROSS JOIN (VALUES (1), (2)) v(i) WHERE tpl = 6 AND type = 'query'
+      UNION ALL SELECT file, start_line + 1, 1, 'warning', '[GRAPHQL_FRAGMENT_DEFINITION] fragment ''' || name || ''' on type ''T' || k || ''' may not be valid'
+        FROM blocks WHERE type = 'fragment'
+      UNION ALL SELECT file, start_line + 1, 1, 'warning', '[GRAPHQL_SUBSCRIPTION] subscription ''' || name || ''' may not be properly configured'
+        FROM blocks WHERE type = 'subscription'
+      UNION ALL {UNREADABLE}),
+      last_drift AS (SELECT file, line, "column", message, row_number() OVER (PARTITION BY file, line, "column" ORDER BY client DESC,
         CASE kind WHEN 'DEPRECATED' THEN 1 WHEN 'REMOVED' THEN 2 ELSE 3 END DESC, message DESC) AS r FROM drift_issues)""",
-      """SELECT file, line, "column", level, kind AS tag FROM drift_issues
-      UNION ALL SELECT g.file, g.line, g."column", CASE WHEN d.kind IS NULL THEN g.level ELSE 'warning' END, coalesce(d.kind, g.tag)
+      """SELECT file, line, "column", level, message FROM drift_issues
+      UNION ALL SELECT g.file, g.line, g."column", CASE WHEN d.message IS NULL THEN g.level ELSE 'warning' END, coalesce(d.message, g.message)
       FROM general g LEFT JOIN last_drift d ON d.r = 1 AND d.file = g.file AND d.line = g.line AND d."column" = g."column" """),
-    "c6_validation": with_(USES + """, kinds AS (SELECT kind AS category FROM drift_issues
+    "c6_validation": with_(USES + INPUTS + """, kinds AS (SELECT kind AS category FROM drift_issues
+      UNION ALL SELECT 'OTHER' FROM input_issues
+      UNION ALL SELECT 'OTHER' FROM orders WHERE o_orderkey % 10 = 0
       UNION ALL SELECT 'GRAPHQL_VALIDATION' FROM blocks WHERE type = 'unknown'
       UNION ALL SELECT 'GRAPHQL_VALIDATION' FROM blocks CROSS JOIN (VALUES (1), (2)) WHERE tpl = 6 AND type = 'query'
       UNION ALL SELECT 'OTHER' FROM blocks WHERE type IN ('fragment', 'subscription'))""", category_table("kinds")),
@@ -714,7 +740,8 @@ class A' || c_custkey || '(BaseModel):
     "c8_summary": with_(ALL_BLOCKS, """SELECT file, type, coalesce(name, 'None') AS name, start_line, end_line, md5(raw) AS shown,
       CAST(0 AS BIGINT) AS left_out, row_number() OVER (PARTITION BY file ORDER BY start_line, CASE type WHEN 'unknown' THEN 1 ELSE 0 END) AS position
       FROM blocks"""),
-    "flagship_drift_categories": with_(USES + ", kinds AS (SELECT kind AS category FROM drift_issues)", category_table("kinds")),
+    "flagship_drift_categories": with_(USES + INPUTS + """, kinds AS (SELECT kind AS category FROM drift_issues
+      UNION ALL SELECT 'OTHER' FROM input_issues)""", category_table("kinds")),
 }
 
 ORACLES["s9_json"] = f"SELECT file, n_blocks, n_models FROM ({ORACLES['c1_harvest']})"

@@ -292,7 +292,7 @@ _strategy("h10_concat", lambda s, f: harvest.concatenated_strings(f))
 @query("h9_model_defaults")
 def h9(spark, folder):
     h = harvested(spark, folder)
-    found = harvest.only_models(harvest.candidates(h.python).filter("strategy = 6"), h.models)
+    found = harvest.model_candidates(h.python).filter("strategy = 6")
     return found.select("file", F.col("start_line").cast("bigint").alias("start_line"), md5("body", "body"))
 
 
@@ -386,11 +386,20 @@ def h21(spark, folder):
     return _block_rows(harvest.blocks(found)).drop("raw", "type_condition")
 
 
-# Fixed texts to locate: template, text or name, hint.
-LOCATE_STRINGS = ((0, "  t<k> { f0 { f1 f2 } f3 }\n}", 2), (2, "\n  t<k>(first: $a) { f0 { f6 } }", 3), (6, "no such text", 4))
-LOCATE_NAMES = ((4, "full", 1), (6, "again", 1), (2, "query", 3), (8, "missing", 3))
-LOCATE_STARTS = ((0, 2), (2, 1), (4, 1), (6, 5))
-LOCATE_BLOCKS = ((0, "query Q<o> {\n  t<k> { f0 { f1 f2 } f3 }\n}", 2), (6, "\nquery Q<o> { t<k> { ...F<o>", 1), (1, "nowhere\n\n", 1))
+# Fixed texts to locate, one for each template: template, text or name, hint.
+LOCATE_STRINGS = (
+    (0, "  t<k> { f0 { f1 f2 } f3 }\n}", 2), (1, "query Q<o> { t<k> { f4", 1), (2, "\n  t<k>(first: $a) { f0 { f6 } }", 3), (3, "{ f1 }", 1),
+    (4, " t<k> { f2 f3 } ", 1), (5, "t<k> { f5 }", 2), (6, "no such text", 4), (7, "mutation M<o>", 1), (8, "subscription S<o> { t<k> { f1 } }", 2),
+)
+LOCATE_NAMES = (
+    (0, "q", 6), (1, "client", 1), (2, "query", 3), (3, "text", 1), (4, "full", 1), (5, "load", 2), (6, "again", 1), (7, "broken", 1), (8, "missing", 3),
+)
+LOCATE_STARTS = ((0, 2), (1, 1), (2, 1), (3, 1), (4, 1), (5, 2), (6, 5), (7, 2), (8, 2))
+LOCATE_BLOCKS = (
+    (0, "query Q<o> {\n  t<k> { f0 { f1 f2 } f3 }\n}", 2), (1, "nowhere\n\n", 1), (2, "query Q<o>($a: Int) {\n  t<k>(first: $a) { f0 { f6 } }\n}", 1),
+    (3, "query Q<o> {{ t<k>", 1), (4, "query Q<o> {", 1), (5, "query Q<o> {", 2), (6, "\nquery Q<o> { t<k> { ...F<o>", 1),
+    (7, "mutation M<o> { m<k> { f1 } }", 1), (8, "subscription S<o> { t<k> { f1 } }", 1),
+)
 
 
 def _locate(spark, folder, rows, build):
@@ -403,7 +412,7 @@ def _locate(spark, folder, rows, build):
     result = F.lit(None)
     for row in rows:
         result = F.when(o % size == row[0], build(lines, row, keys)).otherwise(result)
-    return files.select("file", result.alias("at")).filter("at IS NOT NULL")
+    return files.select("file", result.alias("at"))
 
 
 @query("h22_string_lines")
@@ -499,6 +508,35 @@ def j5(spark, folder):
     )
 
 
+# Spreads of spreads: repeated, in a circle, and below a field that no type has; one file per order.
+NESTED = (
+    ("fragment", "A", "T<k>", "fragment A<o> on T<k> { f1 ...B<o> ...B<o> }"),
+    ("fragment", "B", "T<k1>", "fragment B<o> on T<k1> { f2 ...C<o> ...C<o> }"),
+    ("fragment", "C", "T<k>", "fragment C<o> on T<k> { f4 ...A<o> }"),
+    ("query", "Q", None, "query Q<o> { t<k> { ...A<o> nope { ...B<o> } } }"),
+)
+
+
+@query("j5_nested_spreads")
+def j5_nested(spark, folder):
+    keys = derived._order_keys()
+    rows = F.array(*[
+        F.struct(
+            F.lit(kind).alias("type"), F.concat(F.lit(name), keys["o"]).alias("name"),
+            (fill(condition, keys) if condition else F.lit(None).cast("string")).alias("type_condition"), fill(raw, keys).alias("raw"),
+            F.lit(i + 1).alias("start_line"), F.lit(i).alias("seq"),
+        )
+        for i, (kind, name, condition, raw) in enumerate(NESTED)
+    ])
+    blocks = table(spark, folder, "orders").select(F.concat(F.lit("nest/o"), keys["o"], F.lit(".py")).alias("file"), F.inline(rows)).select(
+        "*", F.lit(1).alias("strategy"), F.lit(0).alias("def_no"), F.lit(None).cast("string").alias("error")
+    )
+    rooted = stage(usage.rooted_blocks(blocks, *schema(spark, folder), OLD), "rooted")
+    found = stage(usage.block_selections(rooted), "selections")
+    uses = usage.expand_spreads(found, _lookup(spark, folder))
+    return longs(uses.select("file", "client", "start_line", "path", "name"))
+
+
 @query("j6_client")
 def j6(spark, folder):
     return _rooted(spark, folder).select("file", "type", "name", "client")
@@ -550,12 +588,12 @@ def j11(spark, folder):
 def j12(spark, folder):
     general = derived.issues(spark, folder)
     e = F.col("event_id")
-    drift = table(spark, folder, "events").filter("event_id % 3 = 0").select(
+    drift = table(spark, folder, "events").select(
         F.concat(F.lit("f"), "user_id").alias("file"),
         (e % 500).cast("int").alias("line"),
         (e % 80 + 1).cast("int").alias("column"),
         F.lit("warning").alias("level"),
-        F.element_at(F.array(F.lit("DEPRECATED"), F.lit("REMOVED"), F.lit("ADDED")), (e % 3 + F.floor(e / 2000) % 3 + 1).cast("int")).alias("kind"),
+        F.element_at(F.array(F.lit("DEPRECATED"), F.lit("REMOVED"), F.lit("ADDED")), ((e + F.floor(e / 2000)) % 3 + 1).cast("int")).alias("kind"),
         F.when(e % 2 == 0, "Admin").otherwise("Storefront").alias("client"),
         F.concat(F.lit("drift "), e).alias("message"),
     )
@@ -854,14 +892,19 @@ def g11(spark, folder):
     return longs(jobs.parse_issues(all_blocks(spark, folder), detailed=True))
 
 
-@query("g12_unreadable")
-def g12(spark, folder):
+def _unreadable(spark: SparkSession, folder: str) -> DataFrame:
+    """A file per order, every tenth of them not valid UTF-8."""
     o = F.col("o_orderkey")
     files = table(spark, folder, "orders").select(
         F.concat(F.lit("o"), o, F.lit(".py")).alias("file"),
         F.when(o % 10 == 0, F.concat(F.encode(F.lit("x"), "UTF-8"), F.unhex(F.lit("FF"))).cast("string")).otherwise("x = 1").alias("source"),
     )
-    return longs(jobs.file_issues(corpus.unreadable(files)))
+    return corpus.unreadable(files)
+
+
+@query("g12_unreadable")
+def g12(spark, folder):
+    return longs(jobs.file_issues(_unreadable(spark, folder)))
 
 
 def _model_query(rule: str) -> None:
@@ -919,8 +962,10 @@ def c3(spark, folder):
 
 @query("c4_surface")
 def c4(spark, folder):
-    blocks = derived.defect_blocks(spark, folder).withColumn("error", F.lit(None).cast("string"))
-    found = jobs.surface_lint(blocks, derived.model_texts(spark, folder))
+    # Every eleventh text counts as one that does not parse.
+    o = F.regexp_extract("file", r"/o(\d+)\.py", 1).cast("bigint")
+    blocks = derived.defect_blocks(spark, folder).withColumn("error", F.when(o % 11 == 0, "the text is not a valid operation document"))
+    found = jobs.surface_lint(blocks, derived.model_texts(spark, folder), _unreadable(spark, folder))
     return longs(found)
 
 
@@ -929,18 +974,18 @@ def c5(spark, folder):
     types, fields = schema(spark, folder)
     h = harvested(spark, folder)
     found = jobs.surface_check(
-        h.blocks, h.models, types, fields, derived.schema_args(spark, folder), OLD, NEW, h.defined
+        h.blocks, h.models, types, fields, derived.schema_args(spark, folder), OLD, NEW, h.defined, _unreadable(spark, folder)
     )
-    tag = F.regexp_extract("message", r"^\[(\w+)\]", 1)
-    return longs(found.select("file", "line", "column", "level", tag.alias("tag")))
+    return longs(found.select("file", "line", "column", "level", "message"))
 
 
 @query("c6_validation")
 def c6(spark, folder):
     types, fields = schema(spark, folder)
     h = harvested(spark, folder)
-    drift = stage(jobs.usage_drift(all_blocks(spark, folder), types, fields, OLD, NEW), "drift")
-    linted = jobs.surface_lint(h.blocks, h.models)
+    args, inputs = derived.schema_args(spark, folder), derived.input_fields(spark, folder)
+    drift = stage(jobs.usage_drift(all_blocks(spark, folder), types, fields, OLD, NEW, args=args, inputs=inputs), "drift")
+    linted = jobs.surface_lint(h.blocks, h.models, _unreadable(spark, folder))
     whole = jobs.validation([drift, linted, drift])
     return issues.category_counts(whole)
 
@@ -960,7 +1005,8 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Files to drift issues by category, end to end from the tables."""
     h = jobs.Harvest(derived.code_files(spark, folder).unionByName(derived.document_files(spark, folder)))
     fields = stage(derived.schema_fields(spark, folder), "fields")
-    drift = jobs.usage_drift(h.blocks, derived.schema_types(fields), fields, OLD, NEW)
+    args, inputs = derived.schema_args(spark, folder), derived.input_fields(spark, folder)
+    drift = jobs.usage_drift(h.blocks, derived.schema_types(fields), fields, OLD, NEW, args=args, inputs=inputs)
     return issues.category_counts(drift)
 
 

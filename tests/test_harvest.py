@@ -107,7 +107,7 @@ CASES = {
 def harvested_cases(spark):
     rows = [(case, "py", source) for case, (source, _) in CASES.items()]
     python = stage(harvest.read_python(spark.createDataFrame(rows, "file string, ext string, source string")), "cases")
-    found = harvest.only_models(harvest.candidates(python), models.models(python))
+    found = harvest.model_candidates(python)
     return harvest.blocks(found).select("file", "type", "name", "start_line").collect()
 
 

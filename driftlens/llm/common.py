@@ -20,7 +20,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 # Text bytes an Arrow function works on at once; bounds its memory whatever the batch size of the session.
 PIECE_BYTES = 1 << 20
 
-__all__ = ["WORD", "fold", "join_key", "open_folder", "pieces", "read", "run_folder", "stage", "texts", "with_keys"]
+__all__ = ["WORD", "fold", "join_key", "open_folder", "pieces", "read", "run_folder", "stage", "texts", "with_keys", "without_keys"]
 
 
 # Rows of one Arrow batch where the session keeps Spark's default, which suits short rows: a batch of texts is held several
@@ -54,13 +54,29 @@ def with_keys(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     A bit map of hashed keys drops most other rows before a join deals the rows out: all but one in sixteen as long as the map
     may grow with the keys, which it does up to a fixed size.
     """
+    return _marked(rows, key, keys).where("_maybe").select(*rows.columns)
+
+
+def without_keys(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose key is not among ``keys`` (one column, no repeats, no null); a null key is not.
+
+    Rows that the bit map tells apart stay where they are; only the others meet the keys.
+    """
+    marked, name = _marked(rows, key, keys), keys.columns[0]
+    sure = marked.where("NOT _maybe").select(*rows.columns)
+    gone = keys.select(F.col(name).alias("_gone"))
+    return sure.unionByName(marked.where("_maybe").select(*rows.columns).join(gone, F.col(key) == F.col("_gone"), "left_anti"))
+
+
+def _marked(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Adds ``_maybe``: whether the bit map has the row's key."""
     name = keys.columns[0]
     words = min(max(WORDS[0], 1 << (keys.count() // 4).bit_length()), WORDS[1])
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(words * 64))
     marks = keys.select(slot(F.col(name)).alias("s")).groupBy((F.col("s") / 64).cast("int").alias("_word"))
     marks = marks.agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("_bits"))
-    near = rows.withColumn("_s", slot(F.col(key))).join(F.broadcast(marks), (F.col("_s") / 64).cast("int") == F.col("_word"))
-    return near.where(F.expr("(shiftright(_bits, cast(_s % 64 as int)) & 1L) = 1L")).select(*rows.columns)
+    near = rows.withColumn("_s", slot(F.col(key))).join(F.broadcast(marks), (F.col("_s") / 64).cast("int") == F.col("_word"), "left")
+    return near.withColumn("_maybe", F.expr("coalesce((shiftright(_bits, cast(_s % 64 as int)) & 1L) = 1L, false)"))
 
 
 def run_folder(spark: SparkSession, label: str) -> str:

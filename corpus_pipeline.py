@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlens.llm import langid, mixing, ngram_join, packing, quality
-from driftlens.llm.common import read, stage
+from driftlens.llm.common import read, stage, without_keys
 from driftlens.llm.queries import VOCABULARY
 from driftlens.session import discard, drop_paths, staged_paths
 
@@ -44,8 +44,8 @@ def tidy(step: Step) -> Step:
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents whose id is not among ``ids``."""
-    gone = ids.select(F.col("doc_id").alias("_gone")).where("_gone is not null").distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = ids.select(F.col("doc_id").alias("gone")).where("gone is not null").distinct()
+    return without_keys(docs, "doc_id", gone)
 
 
 @tidy

@@ -13,11 +13,13 @@ different bits, is at most the size of the symmetric difference. A similarity of
   component by that. Then pairs of a bucket in different components are verified, the rest of what could change a
   component. Bit sketches drop pairs inside the join that cannot be similar. So every link between different texts is
   either verified or lies inside a component, and no group of copies is expanded into its pairs.
+* Before verification, sketches with two bits or more for each n-gram drop pairs again: the short ones, of one length for all,
+  are full for long texts. Lengths are powers of two, so the longer sketch of a pair folds to the length of the shorter one.
 * Verification intersects the whole sets of 64-bit n-gram hashes.
 
 Defined results: null and empty texts and texts of white space have an empty set and are linked with nothing; fewer
-words than n give the whole sequence as one n-gram; rows with the same id count as one node with all their texts; a null id is
-linked with nothing and keeps a null component; other columns are ignored; an empty table gives no rows.
+words than n give the whole sequence as one n-gram; rows with the same id count as one node with all their texts, so they share a
+component; a null id is linked with nothing and keeps a null component; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from driftlens.llm.common import pieces, stage, texts, with_keys
+from driftlens.llm.common import pieces, stage, texts, with_keys, without_keys
 from driftlens.llm.components import components
 from driftlens.llm.wordhash import mix, word_hashes
 from driftlens.session import discard
@@ -93,10 +95,12 @@ class Bands:
         return d + 1 + spare, spare
 
 
-def sketch(tokens: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket hashes of a set and its sketch of bits."""
-    places = (tokens >> np.uint64(20)) % np.uint64(BITS)
-    bits = np.bincount(places.astype(np.int64), minlength=BITS).astype(np.uint8) & 1
+def sketch(tokens: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bucket hashes of a set, its sketch of ``BITS`` bits, and the one of two bits or more for each token."""
+    length = max(BITS, 1 << (2 * len(tokens) - 1).bit_length())
+    places = (tokens >> np.uint64(20)) % np.uint64(length)
+    bits = np.bincount(places.astype(np.int64), minlength=length).astype(np.uint8) & 1
+    long = np.packbits(bits, bitorder="little").view("<u8")
     found = []
     values = mix(tokens)
     for band in bands.of(len(tokens)):
@@ -111,17 +115,17 @@ def sketch(tokens: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
             empty = np.setdiff1d(np.arange(count), used)
             used, parity = np.concatenate([used, empty]), np.concatenate([parity, np.zeros(len(empty), np.uint64)])
         found.append(mix(parity + mix(used.astype(np.uint64) + np.uint64(band << 40))))
-    return np.concatenate(found), np.packbits(bits, bitorder="little").view("<u8")
+    return np.concatenate(found), np.bitwise_xor.reduce(long.reshape(-1, BITS // 64), axis=0), long
 
 
 def profiles(docs: DataFrame, n: int, p: int, q: int, text: str, key: str) -> DataFrame:
-    """``id, n, h1, h2, bits, buckets`` of each text; no buckets for an empty set."""
+    """``id, n, h1, h2, bits, long, buckets`` of each text; no buckets for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(p, q)
         for batch in pieces(batches, text):
             sets = shingle_sets(texts(batch, text), n)
-            nothing = (np.zeros(0, np.uint64), np.zeros(BITS // 64, np.uint64))
+            nothing = (np.zeros(0, np.uint64), np.zeros(BITS // 64, np.uint64), np.zeros(0, np.uint64))
             made = [sketch(own, bands) if len(own) else nothing for own in sets]
             signed = lambda a: pa.array(np.asarray(a, np.uint64).view(np.int64), pa.int64())
             lists = lambda xs: pa.ListArray.from_arrays(
@@ -133,13 +137,14 @@ def profiles(docs: DataFrame, n: int, p: int, q: int, text: str, key: str) -> Da
                     pa.array([len(own) for own in sets], pa.int64()),
                     signed([np.bitwise_xor.reduce(own) for own in sets]),
                     signed([mix(own).sum(dtype=np.uint64) for own in sets]),
-                    lists([bits for _, bits in made]),
-                    lists([keys for keys, _ in made]),
+                    lists([bits for _, bits, _ in made]),
+                    lists([long for _, _, long in made]),
+                    lists([keys for keys, _, _ in made]),
                 ],
-                names=["id", "n", "h1", "h2", "bits", "buckets"],
+                names=["id", "n", "h1", "h2", "bits", "long", "buckets"],
             )
 
-    schema = "id long, n long, h1 long, h2 long, bits array<long>, buckets array<long>"
+    schema = "id long, n long, h1 long, h2 long, bits array<long>, long array<long>, buckets array<long>"
     return docs.select(key, text).mapInArrow(run, schema)
 
 
@@ -167,6 +172,37 @@ def _near(a: str, b: str, p: int, q: int) -> Column:
     return (n1 * q >= n2 * p) & (n2 * q >= n1 * p) & (distance * (p + q) <= (n1 + n2) * (q - p))
 
 
+def _distance(x: str, y: str) -> Column:
+    """The number of different bits of two sketches, the longer one folded to the length of the shorter one."""
+    least = F.least(F.size(x), F.size(y))
+
+    def folded(bits: str, i: Column) -> Column:
+        places = F.sequence(i, F.size(bits) - 1, least)
+        return F.aggregate(places, F.lit(0).cast("long"), lambda v, j: v.bitwiseXOR(F.get(bits, j)))
+
+    return F.aggregate(
+        F.sequence(F.lit(0), least - 1),
+        F.lit(0).cast("long"),
+        lambda total, i: total + F.bit_count(folded(x, i).bitwiseXOR(folded(y, i))),
+    )
+
+
+def sifted(pairs: DataFrame, sketches: DataFrame, p: int, q: int) -> DataFrame:
+    """The pairs ``a, b`` whose long sketches allow a similarity of p/q, written down.
+
+    ``sketches`` has ``id, n, long``; those of the pairs' ends only are dealt out.
+    """
+    ends = stage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ends")
+    own = stage(with_keys(sketches.select("id", "n", "long"), "id", ends), "long")
+    left = own.select(F.col("id").alias("a"), F.col("n").alias("n1"), F.col("long").alias("x"))
+    right = own.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("long").alias("y"))
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+    close = _distance("x", "y") * (p + q) <= (F.col("n1") + F.col("n2")) * (q - p)
+    found = stage(both.where(close).select("a", "b").distinct(), "sifted")
+    discard(own)
+    return found
+
+
 def verified(pairs: DataFrame, texts_of: DataFrame, n: int, p: int, q: int) -> DataFrame:
     """The pairs ``a, b`` of ids whose sets have a similarity of at least p/q, written down.
 
@@ -190,12 +226,17 @@ def join(
     """``doc_id, n_shingles, component_id``: the smallest id reachable over pairs with a Jaccard similarity of p/q."""
     profile = stage(profiles(docs, n, p, q, text, key), "profiles")
     narrow = stage(profile.select("id", "n", "h1", "h2"), "narrow")
+    text_key = F.struct("id", "n", "h1", "h2").alias("text_key")
     classes = narrow.where("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
     classes = stage(classes, "classes")
-    # Of equal sets only the representative goes on; the others are few or many, so only their ids are dealt out.
-    equal = stage(narrow.join(classes, ["n", "h1", "h2"]).where("id <> rep").select("id").distinct(), "equal")
+    # Of equal sets only the representative goes on; the others are few or many, so only their keys are dealt out.
+    equal = stage(narrow.join(classes, ["n", "h1", "h2"]).where("id <> rep").select(text_key).distinct(), "equal")
+    member = narrow.join(classes, ["n", "h1", "h2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
+    # The texts of one id may be represented by different ids, which are one node then.
+    repeated = narrow.where("id is not null").groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id")
+    same_id = stage(member.join(repeated, "id").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")), "same")
     s = [F.element_at("bits", i + 1).alias(f"s{i}") for i in range(BITS // 64)]
-    reps = profile.where("n > 0 and id is not null").join(equal, "id", "left_anti")
+    reps = without_keys(profile.where("n > 0 and id is not null").select("id", "buckets", text_key), "text_key", equal)
     in_bucket = Window.partitionBy("bucket").orderBy("id")
     rows = reps.select("id", F.explode("buckets").alias("bucket"))
     beside = rows.select(
@@ -203,8 +244,9 @@ def join(
     ).where("before is not null or after is not null")
     shared = stage(beside.select("bucket", "id", "before"), "buckets")
     chosen = stage(shared.select("id").distinct(), "chosen")
-    near_bits = with_keys(profile.where("n > 0").select("id", "n", *s), "id", chosen)
-    bits = stage(near_bits, "bits")
+    near_bits = with_keys(profile.where("n > 0").select("id", "n", *s, "long"), "id", chosen)
+    sketches = stage(near_bits, "bits")
+    bits = sketches.drop("long")
     discard(profile)
 
     texts_of = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
@@ -217,7 +259,7 @@ def join(
         .select("a", "b")
         .distinct()
     )
-    links = verified(stage(near, "near"), texts_of, n, p, q)
+    links = verified(sifted(stage(near, "near"), sketches, p, q), texts_of, n, p, q).unionByName(same_id)
     joined = components(links)
 
     placed = shared.select("bucket", "id").join(joined, "id", "left").withColumn("c", F.coalesce("component", "id"))
@@ -229,11 +271,10 @@ def join(
         .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
         .distinct()
     )
-    more = verified(stage(across, "across"), texts_of, n, p, q)
+    more = verified(sifted(stage(across, "across"), sketches, p, q), texts_of, n, p, q)
     discard(open_rows)
     final = components(links.unionByName(more))
 
-    member = narrow.join(classes, ["n", "h1", "h2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     return member.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),

@@ -23,7 +23,7 @@ FOLDER = "/root/testdata/sf0.001"
 def test_join_matches_all_pairs(spark, n, p):
     rng = random.Random(n)
     texts = []
-    for size in (0, 1, 2, 3, 4, 7, 12, 30, 80, 200):
+    for size in (0, 1, 2, 3, 4, 7, 12, 30, 80, 200, 520, 1100):
         base = [f"w{rng.randrange(400)}" for _ in range(size)]
         for copies in range(14):
             own = base[:]
@@ -54,6 +54,23 @@ def test_pigeonhole_holds_for_every_similar_pair():
                 assert len(np.intersect1d(ngram_join.sketch(a, bands)[0], ngram_join.sketch(b, bands)[0]))
 
 
+def test_folded_sketches_never_exceed_the_difference(spark):
+    rng = np.random.default_rng(2)
+    bands, rows = ngram_join.Bands(50, 100), []
+    for size in (1, 40, 257, 500, 1030, 4000):
+        for share in (0.1, 0.5, 0.9, 1.0, 1.9):
+            a = np.unique(rng.integers(0, 1 << 62, size).astype(np.uint64))
+            more = rng.integers(0, 1 << 62, int(share * size)).astype(np.uint64)
+            b = np.unique(np.concatenate([a[: int(size * min(share, 1))], more]))
+            if len(b):
+                long = [ngram_join.sketch(x, bands)[2].view(np.int64).tolist() for x in (a, b)]
+                rows.append((len(np.setxor1d(a, b)), len(long[0]) != len(long[1]), *long))
+    df = spark.createDataFrame(rows, "apart long, folds boolean, x array<long>, y array<long>")
+    found = df.select("apart", "folds", ngram_join._distance("x", "y").alias("d"), ngram_join._distance("y", "x").alias("e")).collect()
+    assert any(r["folds"] for r in found) and all(r["d"] == r["e"] <= r["apart"] for r in found)
+    assert sum(r["d"] for r in found) > 0.5 * sum(r["apart"] for r in found)
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(200)] + [(rng.randrange(300, 600), rng.randrange(300, 600)) for _ in range(150)] + [(900, x) for x in range(901, 960)]

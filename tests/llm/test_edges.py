@@ -124,6 +124,15 @@ def test_join_of_copies_beside_a_long_word(spark, tmp_path):
     assert found == {1: 1, 2: 2, 3: 3, 4: 1}
 
 
+def test_join_of_repeated_ids_with_different_texts(spark):
+    first, second, third = ("some words of the first text", "other words that stand in a second text", "a third text has none of these")
+    rows = [(1, first), (5, first), (5, second), (9, second), (7, third), (8, ""), (8, third), (3, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.join(docs, n=3, p=90, q=100).collect()
+    assert len(got) == len(rows)
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (5, 1), (9, 1), (7, 7), (8, 7), (3, 3)}
+
+
 def test_a_hash_depends_on_its_own_word_only():
     words = [b"some", b"words", b"w" * 4096, b"v" * 4097, b"u" * 9000]
     alone = [int(word_hashes(np.frombuffer(word, np.uint8))[2][0]) for word in words]

@@ -59,13 +59,20 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of ``x`` to all rows of ``y``."""
+    return np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1) - 2 * x @ y.T, 0)
+
+
 def cells_of(x: np.ndarray, pivots: np.ndarray | None, reach: float) -> tuple[np.ndarray, np.ndarray]:
     """Home cell of each unit vector, and for each pair of vector and cell whether the vector is needed there."""
     if pivots is None:
         return np.zeros(len(x), np.int64), np.ones((len(x), 1), bool)
-    square = np.maximum((x * x).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1) - 2 * x @ pivots.T, 0)
+    square = squares(x, pivots)
     home = square.argmin(axis=1)
-    apart = np.sqrt(np.maximum(((pivots[:, None] - pivots[None]) ** 2).sum(axis=2), 0))[home]
+    # Rows of the vectors' homes only: as large as ``square``, never all pivots against all. Rounded up, as a longer distance
+    # only asks for more replication.
+    apart = np.sqrt(squares(pivots[home], pivots) + 1e-12)
     own = square[np.arange(len(x)), home][:, None]
     by_triangle = np.sqrt(square) - np.sqrt(own) <= 2 * reach + SLACK
     by_plane = square - own <= 2 * apart * (reach + SLACK) + SLACK

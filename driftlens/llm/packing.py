@@ -3,7 +3,7 @@
 All token ids form one line; windows of fixed length cut it into sequences. A first pass writes each partition's ids
 and where each document lies inside its partition; the sum of the partitions before it, a prefix sum over one number
 per partition, places a partition in the line. A second pass cuts. A window over the end of a partition gives one
-boundary record on each side, and only those meet in a shuffle.
+boundary record on each side; both say so in ``boundary``, and ``sequences`` puts them together.
 
 Defined results: a null or empty text is its end id alone; equal rows are documents of their own; a null id stays
 null; an empty table gives no pieces; other columns are ignored. Texts of any length are cut as often as needed. Only
@@ -112,25 +112,34 @@ def pack(
     )
 
 
-def sequences(packed: DataFrame, width: int = 2) -> DataFrame:
+def sequences(packed: DataFrame) -> DataFrame:
     """The packed sequences: ``sequence_id``, ``ids`` and the number of ids; padding is left to the reader.
 
     Windows inside one partition are put together from that partition's pieces, boundary records by themselves; a
     group is one window, so no group is larger than the window length.
     """
-    joined = packed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
+    joined = packed.groupBy("sequence_id").agg(
+        F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts"), F.sum("length").cast("int").alias("n")
+    )
     hexed = F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["ids"])), ""))
-    return joined.select("sequence_id", hexed.alias("ids")).withColumn("n", (F.length("ids") / width).cast("int"))
+    return joined.select("sequence_id", hexed.alias("ids"), "n")
+
 
+def wide_crc(pieces_df: DataFrame, ids: str = "ids", length: str = "length") -> DataFrame:
+    """Adds ``ids_crc32``: crc32 of the ids as little-endian unsigned 32-bit integers, in place of the ids.
 
-def wide_crc(pieces_df: DataFrame, ids: str = "ids") -> DataFrame:
-    """Adds ``ids_crc32``: crc32 of the ids as little-endian unsigned 32-bit integers."""
+    The column ``length`` says how many ids a row has, and so how many bytes each one takes.
+    """
     import zlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(ids)
-            sums = [zlib.crc32(np.frombuffer(value, "<u2").astype("<u4")) for value in batch.column(at).to_pylist()]
+            counts = batch.column(batch.schema.get_field_index(length)).to_pylist()
+            sums = [
+                zlib.crc32(np.frombuffer(value, f"<u{len(value) // n}").astype("<u4")) if n else 0
+                for value, n in zip(batch.column(at).to_pylist(), counts)
+            ]
             rest = [name for name in batch.schema.names if name != ids]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index(n)) for n in rest] + [pa.array(sums, pa.int64())],

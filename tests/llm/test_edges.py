@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -63,6 +65,15 @@ def test_packed_sequences_hold_all_ids(docs):
     assert packed.where("boundary").count() > 0
 
 
+@pytest.mark.parametrize("width", [2, 4])
+def test_checksums_of_ids_of_either_width(spark, width):
+    ids = [7, 65_000, 3] if width == 2 else [7, 130_000, 3]
+    rows = [(3, np.array(ids, f"<u{width}").tobytes()), (0, b"")]
+    pieces = spark.createDataFrame([(n, bytearray(value)) for n, value in rows], "length long, ids binary")
+    got = {r["length"]: r["ids_crc32"] for r in packing.wide_crc(pieces).collect()}
+    assert got == {3: zlib.crc32(np.array(ids, "<u4").tobytes()), 0: 0}
+
+
 def test_token_files(spark, docs, none, tmp_path):
     folder = f"file://{tmp_path}/a"
     manifest = tokenfile.write(docs, tokenizer(), 2, folder)

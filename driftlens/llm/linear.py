@@ -111,12 +111,17 @@ def as_places(rows: DataFrame, names: np.ndarray) -> DataFrame:
 
 
 def gather(rows: DataFrame, *carried: str, kind: str = "<u8") -> tuple[list, list]:
-    """Features and the carried columns of the ``packed`` rows of a bounded sample, in an order of their own."""
+    """Features and the carried columns of the ``packed`` rows of a bounded sample, in an order of their own.
+
+    The features are views of what has arrived, which is not copied.
+    """
     table = rows.toArrow()
-    found = list(zip(*[table.column(name).to_pylist() for name in ("features", *carried)]))
+    views = [value.as_buffer() for value in table.column("features")]
+    others = list(zip(*[table.column(name).to_pylist() for name in carried]))
     # The same rows give the same model, whatever order they arrive in.
-    found.sort(key=lambda row: (hashlib.md5(row[0]).digest(), row[1:]))
-    return [np.frombuffer(row[0], kind) for row in found], [row[1:] for row in found]
+    order = sorted(range(len(views)), key=lambda i: (hashlib.md5(views[i]).digest(), others[i]))
+    features = [np.frombuffer(views[i], kind) if views[i].size else np.zeros(0, kind) for i in order]
+    return features, [others[i] for i in order]
 
 
 def used_features(rows: DataFrame) -> DataFrame:

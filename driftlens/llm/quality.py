@@ -15,11 +15,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftlens.llm.common import fold, stage
-from driftlens.llm.linear import apply, feature_rows, gather, labelled, packed, places, platt, sample, unique_pairs, used_features
+from driftlens.llm.linear import apply, as_places, feature_rows, gather, labelled, packed, platt, sample, unique_pairs, used_features
 from driftlens.llm.wordhash import mix, word_hashes
 
 # Labelled rows the descent may see, and the share of them kept for the sigmoid.
@@ -91,7 +92,8 @@ def descend(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray) -> tuple[
     alpha = np.zeros(len(rows))
     n_ones = max((y > 0).sum(), 1)
     bound = np.where(y > 0, len(y) / (2 * n_ones), len(y) / (2 * max(len(y) - n_ones, 1))) * COST
-    values = [ratios[row] for row in rows]
+    ends = np.cumsum([len(row) for row in rows])
+    values = np.split(ratios[np.concatenate(rows)], ends[:-1])
     norms = np.array([(v * v).sum() + 1.0 for v in values])
     rng = np.random.default_rng(7)
     for _ in range(EPOCHS):
@@ -118,10 +120,6 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, text: str = "tex
     if texts_of is None or not texts_of["ones"] or not texts_of["zeros"]:
         return None
     chosen = stage(packed(sample(rows, "key", SAMPLE_ROWS, texts_of["ones"] + texts_of["zeros"]), extract, "text", "label"), "sample")
-    found, carried = gather(chosen, "label")
-    y = np.array([c[0] for c in carried], np.int64)
-    if len(set(y.tolist())) < 2:
-        return None
     sums = counts.where("f is not null").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"), F.count("*").alias("kinds")).first()
     if not sums["kinds"]:
         return None
@@ -129,8 +127,12 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, text: str = "tex
     names = table["f"].to_numpy().view(np.uint64)
     order = np.argsort(names)
     names, table = names[order], table.iloc[order]
+    # The driver gets the features' 32-bit places instead of the features.
+    found, carried = gather(as_places(chosen.select("features", "label"), names), "label", kind="<i4")
+    y = np.array([c[0] for c in carried], np.int64)
+    if len(set(y.tolist())) < 2:
+        return None
     ratios = log_ratios(table["ones"].to_numpy(), table["zeros"].to_numpy(), sums["ones"], sums["zeros"], sums["kinds"])
-    found = places(found, names)
     last = np.arange(len(y)) % FOR_SIGMOID == 0
     if len(set(y[last].tolist())) < 2 or len(set(y[~last].tolist())) < 2:
         last = np.zeros(len(y), bool)
@@ -146,6 +148,8 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column, text: str = "
     """The key and ``held_out, score, predicted`` of each text."""
     model = train(docs, labels, held_out, text, key, label)
     names, weights, bias = model if model else (np.zeros(0, np.uint64), np.zeros(0), 0.0)
+    # Later steps of the session need the driver's memory: Arrow would keep what the sample took.
+    pa.default_memory_pool().release_unused()
     scored = apply(docs, extract, names, weights, bias, text, key)
     return scored.select(key, held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

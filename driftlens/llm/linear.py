@@ -20,7 +20,7 @@ from driftlens.llm.common import pieces, texts, with_keys
 # From UTF-8 texts to the owner of each feature and the feature; each pair once, in order of owner.
 Extract = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 # Distinct features a task adds up before it hands them on.
-HELD = 1_000_000
+HELD = 400_000
 
 
 def unique_pairs(owners: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

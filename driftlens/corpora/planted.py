@@ -146,3 +146,18 @@ DEFECTS = (
     ((1, 0, "}"),),
     ((8, 0, "fragment Part<o> on T<k> { id }"), (1, 0, "# end")),
 )
+
+# Texts that do not parse: text, line and column of the first wrong token, what is told about it.
+WRONG = (
+    ("query Q<o> {\n  a( ) { b }\n}", 2, 6, "Expected Name, found ')'."),
+    ("query Q<o>(\n  $x: ) { a }", 2, 7, "Expected Name, found ')'."),
+    ("fragment F<o>\n  { a }", 2, 3, "Expected 'on', found '{'."),
+    ("{ a }\nhello<o> { b }", 2, 1, "Unexpected Name 'hello<o>'."),
+    ('query Q<o> {\n  a(s: "open) { b }\n}', 2, 20, "Unterminated string."),
+    ("query Q<o> {\n  a ? b\n}", 2, 5, "Unexpected character: '?'."),
+    ("query Q<o> {\n  ... on { a }\n}", 2, 10, "Expected Name, found '{'."),
+    ("query Q<o> {\n  a(x: [1, {y: ]) }\n}", 2, 16, "Unexpected ']'."),
+    ("query Q<o>\n  @skip { a", 2, 12, "Expected Name, found <EOF>."),
+    ("mutation M<o>", 1, 0, "Expected '{', found <EOF>."),
+    ("{ a(x: 1) { b(<o> }", 1, 15, "Expected Name, found Int '<o>'."),
+)

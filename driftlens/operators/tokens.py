@@ -145,7 +145,9 @@ def definitions(candidates: DataFrame) -> DataFrame:
         F.coalesce(F.col("next_tok") == "$", F.lit(False))
         | (next_is_name & F.coalesce(F.col("next2") == ":", F.lit(False)))
     )
-    broken = bad | bad_opening | (F.col("brace") < 0) | (F.col("paren") < 0) | (F.col("square") < 0)
+    # A type condition names its type.
+    bad_condition = (tok == "...") & F.coalesce(F.col("next_tok") == "on", F.lit(False)) & ~F.coalesce(F.col("next2").rlike(NAME), F.lit(False))
+    broken = bad | bad_opening | bad_condition | (F.col("brace") < 0) | (F.col("paren") < 0) | (F.col("square") < 0)
     alien = (
         (F.col("brace") >= 1)
         & (F.col("paren") == 0)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.operators import evolution, harvest, issues, lint, surface, usage
+from driftlens.operators import evolution, harvest, issues, lint, surface, syntax, usage
 from driftlens.operators.catalog import drift_lookup
 from driftlens.operators.dedupe import first_models
 from driftlens.operators.models import models as find_models
@@ -75,14 +75,26 @@ def usage_drift(
 
 
 def parse_issues(blocks: DataFrame, detailed: bool = False) -> DataFrame:
-    """Blocks that do not parse; ``detailed`` uses the tag of a located parse error."""
-    tag = "[GRAPHQL_PARSE] " if detailed else "[GRAPHQL_VALIDATION] GraphQL parsing error: "
-    return blocks.filter(F.col("error").isNotNull()).select(
+    """Blocks that do not parse; ``detailed`` tells the first wrong token, its place and what was expected there."""
+    bad = blocks.filter(F.col("error").isNotNull())
+    if not detailed:
+        return bad.select(
+            "file",
+            F.col("start_line").alias("line"),
+            F.lit(1).alias("column"),
+            F.lit("error").alias("level"),
+            F.concat(F.lit("[GRAPHQL_VALIDATION] GraphQL parsing error: "), "error").alias("message"),
+        )
+    # Each different text is read once, whatever the number of files that hold it.
+    text = F.coalesce("raw", F.lit(""))
+    texts = bad.select(F.sha2(text, 256).alias("_text_id"), text.alias("_raw")).dropDuplicates(["_text_id"])
+    places = syntax.syntax_errors(texts, "_text_id", "_raw")
+    return bad.select("file", "start_line", F.sha2(text, 256).alias("_text_id")).join(places, "_text_id").select(
         "file",
-        F.col("start_line").alias("line"),
-        F.lit(1).alias("column"),
+        (F.col("start_line") + F.col("at_line") - 1).cast("int").alias("line"),
+        F.col("at_col").alias("column"),
         F.lit("error").alias("level"),
-        F.concat(F.lit(tag), "error").alias("message"),
+        F.concat(F.lit("[GRAPHQL_PARSE] "), "problem").alias("message"),
     )
 
 

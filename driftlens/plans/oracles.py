@@ -62,6 +62,12 @@ ALL_BLOCKS = (
     "FROM c CROSS JOIN in_documents)"
 )
 
+# Template 3 lacks a value, template 5 a closing brace.
+PARSE_ERRORS = """SELECT file, start_line AS line, CASE tpl WHEN 3 THEN instr(raw, ')') ELSE length(raw) + 1 END AS "column",
+      'error' AS level, '[GRAPHQL_PARSE] Syntax Error: ' || CASE tpl WHEN 3 THEN 'Unexpected '')''.' ELSE 'Expected Name, found <EOF>.' END
+      AS message FROM blocks WHERE type = 'unknown'"""
+WRONG = values([(i, *row) for i, row in enumerate(planted.WRONG)])
+
 # The catalogue, from the line items.
 SCHEMA = f"""
 items AS (
@@ -682,8 +688,10 @@ class A' || c_custkey || '(BaseModel):
     "g5_conversations": words("conversations", "conv_id, turn", "text"),
     "g10_parse_errors": with_(ALL_BLOCKS, """SELECT file, start_line AS line, CAST(1 AS BIGINT) AS "column", 'error' AS level,
       '[GRAPHQL_VALIDATION] GraphQL parsing error: the text is not a valid operation document' AS message FROM blocks WHERE type = 'unknown'"""),
-    "g11_located_parse_errors": with_(ALL_BLOCKS, """SELECT file, start_line AS line, CAST(1 AS BIGINT) AS "column", 'error' AS level,
-      '[GRAPHQL_PARSE] the text is not a valid operation document' AS message FROM blocks WHERE type = 'unknown'"""),
+    "g11_located_parse_errors": with_(ALL_BLOCKS, f"""{PARSE_ERRORS}
+      UNION ALL SELECT 'bad/o' || o_orderkey || '.graphql', l, CASE c WHEN 0 THEN length(replace(t, '<o>', CAST(o_orderkey AS VARCHAR))) + 1 ELSE c END,
+      'error', '[GRAPHQL_PARSE] Syntax Error: ' || replace(m, '<o>', CAST(o_orderkey AS VARCHAR))
+      FROM orders JOIN ({WRONG}) w(i, t, l, c, m) ON i = o_orderkey % {len(planted.WRONG)}"""),
     "g12_unreadable": UNREADABLE,
     "c1_harvest": with_(ALL_BLOCKS, f"""SELECT file, count(*) AS n_blocks,
       CAST(CASE WHEN any_value(tpl) < 90 AND any_value(o) % {N} IN (7, 8) THEN 1 ELSE 0 END AS BIGINT) AS n_models,
@@ -713,7 +721,7 @@ class A' || c_custkey || '(BaseModel):
         JOIN old_types t ON t.type_name = 'T' || c.k1 AND t.schema = CASE WHEN c.client = 'Storefront' THEN 'Storefront' ELSE 'Admin' END
         WHERE tpl = 6 AND type = 'query' AND NOT EXISTS (SELECT 1 FROM old_fields f WHERE f.schema = t.schema AND f.type_name = t.type_name
         AND f.field_name = 'f4')
-      UNION ALL SELECT file, start_line, 1, 'error', '[GRAPHQL_PARSE] the text is not a valid operation document' FROM blocks WHERE type = 'unknown'
+      UNION ALL {PARSE_ERRORS}
       UNION ALL SELECT file, start_line, 1, 'error', '[INVALID_OPERATION] Unnamed operation in multi-operation file' FROM blocks WHERE tpl = 92
       UNION ALL SELECT file, start_line + 1, instr(raw, '... on'), 'error', CASE i WHEN 1 THEN
           '[GRAPHQL_INVALID_FRAGMENT] inline fragment on type ''T' || k1 || ''' may not be compatible'

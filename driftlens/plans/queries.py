@@ -889,7 +889,16 @@ def g10(spark, folder):
 
 @query("g11_located_parse_errors")
 def g11(spark, folder):
-    return longs(jobs.parse_issues(all_blocks(spark, folder), detailed=True))
+    wrong = F.array(*[F.lit(text) for text, *_ in planted.WRONG])
+    o = F.col("o_orderkey")
+    texts = table(spark, folder, "orders").select(
+        F.concat(F.lit("bad/o"), o, F.lit(".graphql")).alias("file"), F.lit(1).alias("strategy"), F.lit(0).alias("seq"),
+        F.replace(F.element_at(wrong, (o % len(planted.WRONG) + 1).cast("int")), F.lit("<o>"), o.cast("string")).alias("body"),
+        F.lit(1).alias("start_line"), F.lit("document").alias("mode"), F.lit(1).alias("error_line"),
+    )
+    blocks = all_blocks(spark, folder).select("file", "start_line", "raw", "error")
+    blocks = blocks.unionByName(tokens.definitions(texts).select("file", "start_line", "raw", "error"))
+    return longs(jobs.parse_issues(blocks, detailed=True))
 
 
 def _unreadable(spark: SparkSession, folder: str) -> DataFrame:

@@ -46,6 +46,7 @@ BROKEN = [
     "", "   # nothing\n", "query A {", "query A { a } }", "{ }", "{ a( }", "{ a(x: ) }", "hello { a }", "{ a } tail",
     "query A { a ( b { c ) } }", "fragment on on T { a }", "query A", '{ a(s: "open) }', "query A ($x: ) { a }",
     "{a: 1}", '{"a": "b"}', "{ a [b] }", "{ a: { b } }",
+    "{ ... on { a } }", "{ ... on",
 ]
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftlens.functions.text import newlines
-from driftlens.operators.tokens import tokenize
+from driftlens.operators.lexer import tokens_of
 
 OPERATIONS = ("query", "mutation", "subscription")
 TYPE_WORDS = ("type", "schema", "scalar", "interface", "union", "enum", "input", "directive", "extend")
@@ -173,13 +173,9 @@ def syntax_errors(texts: DataFrame, key: str, text: str) -> DataFrame:
 
     A text in which the automaton finds nothing wrong has its first place and a general message.
     """
-    tokens = tokenize(texts, key, text, [text]).select(
-        key, "head", F.struct("n", "offset", "line", "col", "tok", _class(F.col("tok")).alias("kind")).alias("t")
-    )
-    whole = tokens.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.when(F.col("t.tok").isNotNull(), F.col("t")))).alias("tokens"),
-        F.max("head").alias("_head"),
-    ).withColumn("_text", F.coalesce(F.col("_head")[text], F.lit("")))
+    read = texts.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text"), tokens_of(F.col(text)).alias("_read"))
+    classed = F.transform("_read", lambda t: F.struct(*[t[c].alias(c) for c in ("n", "offset", "line", "col", "tok")], _class(t["tok"]).alias("kind")))
+    whole = read.select(key, "_text", classed.alias("tokens"))
     last = F.substring_index("_text", "\n", -1)
     end = F.struct(
         F.size("tokens").alias("n"), F.length("_text").cast("int").alias("offset"), (newlines(F.col("_text")) + 1).cast("int").alias("line"),

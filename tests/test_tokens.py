@@ -93,3 +93,21 @@ def test_braces_of_arguments_lead_nowhere(spark):
     blocks = spark.createDataFrame([("f", text)], "file string, raw string")
     rows = {r.name: r.path for r in selections(blocks, ["file"]).collect() if r.kind == "field"}
     assert rows == {"a": "", "b": ".a", "c": ".a", "d": ".a", "e": ".a/.d", "f": "", "g": ".f"}
+
+
+def test_texts_are_read_inside_their_rows(spark):
+    blocks = spark.createDataFrame([("f", "query Q { a(x: 1) { ...F b } }")], "file string, raw string")
+    plans = [selections(blocks, ["file"]), definitions(candidate_rows(spark, ["query Q { a }"], "node"))]
+    for df in plans:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        # Tokens are no rows: nothing is ordered, windowed or grouped by the number of a token.
+        assert "regexp_extract_all" not in plan and "brace" not in plan
+    assert [(r.kind, r.name, r.path) for r in plans[0].collect()] == [
+        ("field", "a", ""), ("argument", "x", ""), ("spread", "F", ".a"), ("field", "b", ".a"),
+    ]
+
+
+def test_texts_that_share_a_key_do_not_parse(spark):
+    rows = candidate_rows(spark, ["query Q { a }"], "node")
+    got = definitions(rows.union(rows)).collect()
+    assert [(r.type, r.raw) for r in got] == [("unknown", "query Q { a }")]

@@ -211,3 +211,20 @@ def test_roots_prefer_the_named_type(spark):
         [("A", OLD, "Query"), ("A", OLD, "QueryRoot"), ("B", OLD, "Query")], "schema string, version string, type_name string")
     named = spark.createDataFrame([("B", OLD, "query", "Start")], "schema string, version string, operation string, type_name string")
     assert {(r.schema, r.type_name) for r in catalog.roots(types, named).collect()} == {("A", "QueryRoot"), ("B", "Start")}
+
+
+def test_spread_places_keep_every_way_to_a_fragment(spark):
+    texts = [
+        ("fragment", "A", "T", "fragment A on T { f1 ...B }"), ("fragment", "B", "T", "fragment B on T { f2 ...A }"),
+        ("query", "Q", None, "query Q { t { ...A nope { ...B } } }"),
+    ]
+    rows = [("f", 1, i, 0, kind, name, condition, raw, "Admin", i, [("Admin", "R")], None) for i, (kind, name, condition, raw) in enumerate(texts)]
+    blocks = spark.createDataFrame(
+        rows, "file string, strategy int, seq int, def_no int, type string, name string, type_condition string, raw string, client string, "
+        "start_line int, roots array<struct<client:string,root:string>>, error string",
+    )
+    found = stage(usage.block_selections(blocks), "selections")
+    got = {(r.path, r.name, r.depth) for r in usage.spread_places(found).filter("start_line = 2 AND path LIKE '%:T%'").collect()}
+    assert got == {
+        (".t/:T", "f1", 3), (".t/:T/:T", "f2", 4), (".t/.nope/:T", "f2", 4), (".t/.nope/:T/:T", "f1", 5),
+    }

@@ -83,3 +83,21 @@ def test_plain_answers_and_deep_types(spark, tmp_path):
     assert [tuple(r) for r in introspection.schema_fields(docs).select("schema", "version", "named_type").collect()] == [("Admin", "2024-04", "B")]
     assert [r.schema for r in introspection.rejected(docs).collect()] == ["Shop"]
     assert {r.schema for r in introspection.schema_types(introspection.read_schemas(spark, str(tmp_path / "Admin_2024-04.json"), True, "X", "1")).collect()} == {"X"}
+
+
+def test_documents_are_written_once_and_small(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from driftlens.plans import queries
+
+    items = [(o, p, "R" if p % 2 else "N") for o in range(1, 400) for p in range(9)]
+    day = F.lit("1998-06-01").cast("timestamp").alias("l_shipdate")
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_returnflag string").select("*", day).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(o,) for o in range(1, 400)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    read = queries._documents(spark, str(tmp_path))
+    files = [file.rpartition("/")[2] for file in read.inputFiles()]
+    assert files and all(file.endswith(".gz") for file in files)
+    assert sorted(r.version for r in queries.s8(spark, str(tmp_path)).collect()) == sorted(f"v{o}" for o in range(50, 400, 50))
+    got = {(r.schema, r.version, r.type_name, r.field_name) for r in queries.s7(spark, str(tmp_path)).collect()}
+    wanted = queries.schema(spark, str(tmp_path))[1].select("schema", "version", "type_name", "field_name").collect()
+    assert got == set(map(tuple, wanted)) and len(got) == len(wanted)

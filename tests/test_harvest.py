@@ -161,3 +161,10 @@ def test_facts_never_raise():
         assert sum(len(s["parts"]) for s in facts["strings"]) <= 2 * terms
     deep = list_facts("x = " + "(" * 5000 + "1" + ")" * 5000)
     assert deep["strings"] == [] and deep["error"]
+
+
+def test_body_keys_are_shuffled_as_bytes(spark):
+    from driftlens.operators.dedupe import body_key
+
+    rows = spark.createDataFrame([("{ a }",), ("{a} # x",), ("{ b }",), (None,)], "raw string").select(body_key().alias("k")).collect()
+    assert rows[0].k == rows[1].k != rows[2].k and {len(r.k) for r in rows} == {32}

@@ -228,3 +228,17 @@ def test_spread_places_keep_every_way_to_a_fragment(spark):
     assert got == {
         (".t/:T", "f1", 3), (".t/:T/:T", "f2", 4), (".t/.nope/:T", "f2", 4), (".t/.nope/:T/:T", "f1", 5),
     }
+
+
+def test_reached_over_pairs_in_columns(spark):
+    schema = "file string, client string, start_line int, to array<string>, leads array<struct<fragment:string,to:string>>"
+    rows = [
+        ("a", "Admin", 1, ["A"], [("A", "B"), ("B", "C"), ("C", "A"), ("X", "Y")]),
+        ("b", "Admin", 2, ["A", "Z"], None),
+        ("c", "Admin", 3, ["B"], []),
+        ("d", "Admin", 4, ["X"], [("A", "B"), ("X", "A")]),
+    ]
+    got = usage._reached(spark.createDataFrame(rows, schema).coalesce(1)).collect()
+    assert sorted((r.file, r.fragment) for r in got) == [
+        ("a", "A"), ("a", "B"), ("a", "C"), ("b", "A"), ("b", "Z"), ("c", "B"), ("d", "A"), ("d", "B"), ("d", "X"),
+    ]

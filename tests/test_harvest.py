@@ -163,6 +163,16 @@ def test_facts_never_raise():
     assert deep["strings"] == [] and deep["error"]
 
 
+def test_batches_are_read_without_searching_for_cycles(spark):
+    import gc
+
+    from driftlens.functions.batches import uncollected
+
+    with uncollected():
+        assert not gc.isenabled()
+    assert gc.isenabled()
+
+
 def test_body_keys_are_shuffled_as_bytes(spark):
     from driftlens.operators.dedupe import body_key
 

@@ -84,3 +84,15 @@ def test_quotes_and_predicates(spark):
     assert all(r[0] == r[1] for r in df.select(strip_quotes(F.col("raw")), "want").collect())
     df = spark.createDataFrame([(" \n QUERY x {}", True, True), ("a query", False, False), ("fragment {", True, False)], "t string, s boolean, b boolean")
     assert all(r[0] == r[1] and r[2] == r[3] for r in df.select(starts_like_operation(F.col("t")), "s", balanced_braces(F.col("t")), "b").collect())
+
+
+def test_strip_takes_every_blank(spark):
+    from driftlens.functions.regex import BLANK, BLANKS
+    from driftlens.functions.text import strip
+
+    every = spark.range(0xFFFE).filter("id NOT BETWEEN 55296 AND 57343").select("id", F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
+    blank = every.filter(F.regexp_like("c", F.lit(spell(f"^[{BLANK}]\\z"))))
+    assert {r.c for r in blank.collect()} == set(BLANKS)
+    pad = F.concat("c", F.lit(" a"), "c", F.lit("b　"), "c")
+    was = F.regexp_replace(pad, spell(r"^\s+|\s+\z"), "")
+    assert every.filter(~was.eqNullSafe(strip(pad))).count() == 0

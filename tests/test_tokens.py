@@ -111,3 +111,27 @@ def test_texts_that_share_a_key_do_not_parse(spark):
     rows = candidate_rows(spark, ["query Q { a }"], "node")
     got = definitions(rows.union(rows)).collect()
     assert [(r.type, r.raw) for r in got] == [("unknown", "query Q { a }")]
+
+
+def test_texts_are_dealt_out_once(spark, capsys):
+    """Definitions and what tells the first block of a group share one shuffle, whatever is repeated."""
+    from driftlens.operators.dedupe import first_blocks, marked_blocks
+
+    text = "query A { a }"
+    rows = [
+        ("f", 1, 0, text, 4, "node", 4), ("f", 2, 1, f" {text}\n", 3, "node", 3), ("f", 4, 2, "query {", 2, "node", 2), ("g", 1, 0, text, 1, "node", 1),
+        # One key twice, and files without a name.
+        ("g", 2, 1, text, 1, "node", 1), ("g", 2, 1, "query B { b }", 2, "node", 7), (None, 1, 0, text, 1, "node", 1), (None, 2, 1, text, 2, "node", 2),
+    ]
+    found = spark.createDataFrame(rows, "file string, strategy int, seq int, body string, start_line int, mode string, error_line int")
+    defined = definitions(found)
+    marked = marked_blocks(defined)
+    marked.explain()
+    assert capsys.readouterr().out.count("Exchange") == 1
+    got = sorted((r.file or "", r.strategy, r.type, r.raw, r.start_line, r.is_first) for r in marked.collect())
+    assert got == [
+        ("", 1, "query", text, 1, True), ("", 2, "query", text, 2, False), ("f", 1, "query", text, 4, False), ("f", 2, "query", text, 3, True),
+        ("f", 4, "unknown", "query {", 2, True), ("g", 1, "query", text, 1, True), ("g", 2, "unknown", "query B { b }", 7, True),
+    ]
+    first = marked.filter("is_first").drop("is_first")
+    assert sorted(map(str, first.collect())) == sorted(map(str, first_blocks(defined).collect()))

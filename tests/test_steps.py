@@ -1,12 +1,55 @@
 """Steps that many queries share do their work once: what their plans hold, with results on rows where that is easily lost."""
 
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from driftlens.corpora import derived
 from driftlens.operators import surface
 
 
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def joins_of(df) -> int:
     return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
 
 
+def test_schema_fields_group_the_items_once(spark, tmp_path):
+    early, late, both = datetime(1995, 1, 1), datetime(1999, 6, 1), datetime(1998, 6, 1)
+    rows = [
+        (4, 7, "R", early), (4, 7, "N", early), (5, 14, "N", both), (4, 1, None, early), (4, None, "R", late), (4, -2, "N", late),
+        (6, 3, "R", both), (None, 2, "R", late), (8, 3, "R", None), (40, 10, "A", late),
+    ]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_returnflag string, l_shipdate timestamp").write.parquet(
+        f"{tmp_path}/lineitem.parquet"
+    )
+    found = derived.schema_fields(spark, str(tmp_path))
+    assert plan_of(found).count("FileScan") == 1
+    old, new = derived.OLD, derived.NEW
+    admin, shop = "Admin", "Storefront"
+    # A grouping row by row says the same.
+    item = spark.read.parquet(f"{tmp_path}/lineitem.parquet").select(
+        F.floor(F.col("l_orderkey") / 2).cast("bigint").alias("k"), (F.col("l_partkey") % 7).alias("p"),
+        F.explode(F.array_compact(F.array(
+            F.when(F.col("l_shipdate") < F.lit(derived.LAST_OLD).cast("timestamp"), old),
+            F.when(F.col("l_shipdate") >= F.lit(derived.FIRST_NEW).cast("timestamp"), new),
+        ))).alias("version"), (F.col("l_returnflag") == "R").alias("flagged"),
+    ).groupBy("k", "p", "version").agg(F.bool_or("flagged").alias("flagged"))
+    own = {(r.version, None if r.k is None else f"T{r.k}", None if r.p is None else f"f{r.p}", r.flagged, r.p) for r in item.collect()}
+    got = [r for r in found.collect() if r.type_name not in ("QueryRoot", "Mutation")]
+    assert len(got) == len(own) and {(r.version, r.type_name, r.field_name, r.is_deprecated, r.ord) for r in got} == own
+    starts = {(r.schema, r.version, r.type_name, r.field_name, r.named_type, r.is_deprecated) for r in found.collect()} - {
+        (r.schema, r.version, r.type_name, r.field_name, r.named_type, r.is_deprecated) for r in got
+    }
+    assert starts == {
+        *[(shop, v, "QueryRoot", f"t{k}", f"T{k}", False) for k in (2, 3) for v in (old, new)],
+        *[(shop, v, "Mutation", "m3", "T3", False) for v in (old, new)],
+        (admin, new, "QueryRoot", "t20", "T20", True),
+    }
+
+
 def test_what_is_told_of_an_argument_is_told_in_one_pass(spark):
     uses = spark.createDataFrame(
         [("f", 1, 0, 0, 1, "Admin", "Q", "user", 10, 1, 3, True, True), ("f", 1, 0, 0, 2, "Admin", "Q", "nope", 10, 2, 3, False, True),

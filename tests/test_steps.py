@@ -5,7 +5,9 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from driftlens.corpora import derived
-from driftlens.operators import surface
+from driftlens.operators import surface, tokens, usage
+from driftlens.plans import jobs
+from driftlens.session import staged_paths
 
 
 def plan_of(df) -> str:
@@ -50,6 +52,41 @@ def test_schema_fields_group_the_items_once(spark, tmp_path):
     }
 
 
+BLOCK = "file string, strategy int, seq int, def_no int, raw string, start_line int"
+
+
+def test_texts_with_a_key_of_their_own_are_not_shuffled(spark):
+    rows = [("a", 1, 0, 0, "{ x { y } }", 1), ("b", 1, 0, 0, "{ z(k: 1) }", 2), (None, 1, 0, 0, "{ n }", 3)]
+    found = tokens.selections_beside(spark.createDataFrame(rows, BLOCK), usage.BLOCK_KEY, ["start_line"])
+    assert "Exchange" not in plan_of(found)
+    assert sorted((r.file or "", r.name, r.start_line) for r in found.collect()) == [
+        ("", "n", 3), ("a", "x", 1), ("a", "y", 1), ("b", "k", 2), ("b", "z", 2),
+    ]
+
+
+def test_texts_that_share_a_key_are_read_with_their_number(spark):
+    rows = [("a", 1, 0, 0, "{ x }", 1), ("a", 1, 0, 0, "{ x }", 1), (None, 1, 0, 0, "{ n }", 3), (None, 1, 0, 0, "{ n }", 3), ("b", 1, 0, 0, "{ z }", 2)]
+    blocks = spark.createDataFrame(rows, BLOCK)
+    key = usage.BLOCK_KEY
+    whole = tokens.selections(blocks, key)
+    beside = tokens.selections_beside(blocks, key, ["start_line"]).drop("start_line")
+    assert sorted(map(tuple, beside.distinct().collect()), key=str) == sorted(map(tuple, whole.distinct().collect()), key=str)
+    assert beside.count() == 2 * whole.filter("file IS NULL OR file = 'a'").count() + 1
+
+
+def test_models_are_staged_when_asked_for(spark):
+    files = spark.createDataFrame(
+        [("m.py", "py", "from pydantic import BaseModel\nclass A(BaseModel):\n    query: str = 'query Q { a }'\n"), ("n.py", "py", "class B:\n    query = 'query R { a }'\n"),
+         ("o.py", "py", "q = 'query S { a }'\n")],
+        "file string, ext string, source string",
+    )
+    before = len(staged_paths(spark))
+    h = jobs.Harvest(files)
+    assert not [p for p in staged_paths(spark)[before:] if "/models-" in p]
+    assert sorted(r.name for r in h.blocks.collect()) == ["Q", "R", "S"]
+    assert [r.model_name for r in h.models.collect()] == ["A"] and h.models is h.models
+
+
 def test_what_is_told_of_an_argument_is_told_in_one_pass(spark):
     uses = spark.createDataFrame(
         [("f", 1, 0, 0, 1, "Admin", "Q", "user", 10, 1, 3, True, True), ("f", 1, 0, 0, 2, "Admin", "Q", "nope", 10, 2, 3, False, True),
